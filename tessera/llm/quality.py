@@ -24,13 +24,18 @@ from tessera.llm.common import checkpointed
 BUCKETS, LABELLED = 1 << 14, 10_000
 #: Share of labelled target documents that k may leave out.
 LOSS = 0.002
+_AGAIN = np.uint64(0xA0761D6478BD642F)
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the text's unigrams and bigrams, repeated as they occur; none for a null or blank text."""
+    """Buckets of the text's unigrams and bigrams, repeated as they occur; none for a null or blank text.
+
+    A token that repeats the one before it counts as one symbol, whatever it is.
+    """
     found = _TOKENS.findall(text) if text else []
     one = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    one[1:][one[1:] == one[:-1]] = _AGAIN
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (np.concatenate([one, two]) >> np.uint64(50)).astype(np.int64)
 
