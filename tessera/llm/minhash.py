@@ -1,18 +1,20 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Each document's set of word shingles is summed up by TREES * DEPTH MinHash
-values, dealt to TREES orders of DEPTH values each. Sorting an order by its
-values puts documents with a long common prefix side by side; candidates are the
-rows that share the first ROOT values of some order. Where such a region holds
-more than BLOCK rows, the first pass goes deeper there (longer prefixes) until
-regions are small, and the second pass comes back for what deeper prefixes
-separate: it compares across blocks only the rows that the first pass left
-outside the region's largest component, so that a region of n near copies costs
-n comparisons, not n squared, and yet no pair of a region stays unseen unless
-both ends are linked already.
-
-Candidates pass on 8-bit values of the whole signature (a filter five standard
-deviations below the threshold) and are then confirmed on full shingle sets.
+values, dealt to TREES orders of DEPTH values each. Sorting an order by its values puts documents with a long common prefix
+side by side; candidates are the rows that share the first ROOT values of some
+order. In a region of at most BLOCK such rows each is held against the others.
+A larger, dense region is cut at longer prefixes until its blocks are small, and
+a block finds all its links on full shingle sets without sending out pairs.
+
+What longer prefixes separate comes together in a second pass: of each region,
+the rows outside its largest component so far are held against all rows, in
+blocks. So no pair of a region stays unseen unless both ends are linked already,
+and yet n near copies, once joined, cost n comparisons rather than n squared.
+
+In small regions candidates first pass on 8-bit values of the whole signature (a
+filter five standard deviations below the threshold); every link is confirmed on
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from tessera.llm.components import connected_components
 
 TREES, DEPTH, ROOT = 16, 8, 3
 VALUES = TREES * DEPTH
-BLOCK = 256
+#: Rows of a region that needs no cutting; rows of either side of a block in the second pass.
+BLOCK, SIDE = 256, 512
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -111,13 +114,13 @@ def _pairs_in_runs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _best_earlier(least: int, percent: int):
-    """Of each row, the closest row of its block with a smaller id (null if it has only larger partners)."""
+    """Of each row, the closest row of its region with a smaller id (null if it has only larger partners)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "blk"):
+        for t in whole_groups(batches, "key"):
             ids, n, sketch = t.column("rep").to_numpy(), t.column("n").to_numpy(), fixed_bytes(t.column("sketch"), VALUES)
-            best, of, touched = np.zeros(len(ids), np.int16), np.full(len(ids), -1), t.column("dense").to_numpy(zero_copy_only=False).copy()
-            for i, j in _pairs_in_runs(t.column("blk").to_numpy()):
+            best, of, touched = np.zeros(len(ids), np.int16), np.full(len(ids), -1), np.zeros(len(ids), bool)
+            for i, j in _pairs_in_runs(t.column("key").to_numpy()):
                 agree = _close(sketch, n, i, j, least, percent)
                 hit = agree > 0
                 touched[i[hit]] = touched[j[hit]] = True
@@ -129,26 +132,72 @@ def _best_earlier(least: int, percent: int):
     return run
 
 
-def _across(least: int, percent: int, sided: bool):
-    """All close pairs of a block whose ends are in different components; if sided, only of a probe with a row that isn't."""
+def _met_before(roots: np.ndarray, tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j share a region of an order before this one, where they meet, too."""
+    same = roots[i] == roots[j]
+    return (same & (np.arange(TREES)[None, :] < tree[i][:, None])).any(axis=1)
+
+
+def _across(least: int, percent: int):
+    """All close pairs of a region whose ends are in different components, each in the first order where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "blk"):
-            ids, n, comp, sketch = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy(), fixed_bytes(t.column("sketch"), VALUES)
-            probe = t.column("probe").to_numpy(zero_copy_only=False)
-            for i, j in _pairs_in_runs(t.column("blk").to_numpy()):
+        for t in whole_groups(batches, "key"):
+            ids, n, comp, tree = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "tree"))
+            sketch = fixed_bytes(t.column("sketch"), VALUES)
+            roots = np.array(t.column("roots").to_pylist(), np.int64)
+            for i, j in _pairs_in_runs(t.column("key").to_numpy()):
                 use = comp[i] != comp[j]
-                if sided:
-                    use &= probe[i] != probe[j]
                 i, j = i[use], j[use]
                 hit = _close(sketch, n, i, j, least, percent) > 0
-                if hit.any():
-                    x, y = ids[i[hit]], ids[j[hit]]
+                i, j = i[hit], j[hit]
+                new = ~_met_before(roots, tree, i, j)
+                if new.any():
+                    x, y = ids[i[new]], ids[j[new]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
 
 
+def _linked_within(percent: int):
+    """Links that span what is linked within a block, found on the full sets of its rows; no pair leaves the task otherwise.
+
+    Rows with `probe` are held against all rows of the block. Rows that have a
+    component already are not linked within it again.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["probe", "rep"], ascending=[False, True]).drop_duplicates("rep")
+        ids, n, comp = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(ids)), n)[order]
+        _, root = np.unique(comp, return_inverse=True)
+        out = []
+        for i in np.flatnonzero(pdf["probe"].to_numpy()):
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            size = hi - lo
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            both = np.bincount(owner[at], minlength=len(ids))
+            linked = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (root != root[i]))
+            for j in linked:
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _full_sets(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"rep": pdf["id"], "hashes": [shingles(t, words).tobytes() for t in pdf["text"]]})
+
+    return texts.select("id", "text").mapInPandas(run, "rep long, hashes binary")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -197,41 +246,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1")
     at = F.col("tree") * DEPTH * 4 + 1
     deeper = {f"k{v}": F.when(F.col("g") > BLOCK, F.xxhash64("key", F.substring("minhash", at, F.lit(v * 4)))) for v in (5, DEPTH)}
-    regions = checkpointed(keyed.join(shared, "key").join(reps, "rep").select("rep", "key", "g", "n", "sketch", *[c.alias(k) for k, c in deeper.items()]))
+    regions = checkpointed(keyed.join(shared, "key").join(reps, "rep").select("rep", "tree", "key", "g", "n", "sketch", *[c.alias(k) for k, c in deeper.items()]))
 
-    # First pass: each row's closest earlier row, at the depth its region needs.
-    dense = regions.filter(F.col("g") > BLOCK)
+    # First pass: each row's closest earlier row; in dense regions all links of a block, at the depth that the region needs.
+    small, dense = regions.filter(F.col("g") <= BLOCK), regions.filter(F.col("g") > BLOCK)
+    found = small.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_best_earlier(least, percent), "b long, a long, agree int")
+    best = checkpointed(found.groupBy("b").agg(F.max(F.struct(F.col("agree"), (-F.col("a")).alias("neg"))).alias("m")).select("b", (-F.col("m.neg")).alias("a")))
+    needed = best.select(F.col("b").alias("id")).unionByName(dense.select(F.col("rep").alias("id"))).distinct()
+    texts = checkpointed(own.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    first = best.filter("a is not null").select("a", "b")
+    sets = checkpointed(_full_sets(texts.join(dense.select(F.col("rep").alias("id")), "id", "left_semi"), words))
     n5, n8 = (dense.groupBy(k).agg(F.count("*").alias(f"n_{k}")) for k in ("k5", f"k{DEPTH}"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col(f"n_k{DEPTH}") / BLOCK))
     deep = dense.join(n5, "k5").join(n8, f"k{DEPTH}").withColumn("blk", F.when(F.col("n_k5") <= BLOCK, F.col("k5")).otherwise(F.xxhash64(f"k{DEPTH}", part)))
-    blocks = regions.filter(F.col("g") <= BLOCK).withColumn("blk", F.col("key")).select("blk", "rep", "n", "sketch", F.lit(False).alias("dense"))
-    blocks = blocks.unionByName(deep.select("blk", "rep", "n", "sketch", F.lit(True).alias("dense")))
-    found = blocks.repartition("blk").sortWithinPartitions("blk", "rep").mapInArrow(_best_earlier(least, percent), "b long, a long, agree int")
-    best = checkpointed(found.groupBy("b").agg(F.max(F.struct(F.col("agree"), (-F.col("a")).alias("neg"))).alias("m")).select("b", (-F.col("m.neg")).alias("a")))
-    texts = checkpointed(own.join(best.select(F.col("b").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
-    first = best.filter("a is not null").select("a", "b")
-    links = checkpointed(_confirmed(first, texts, words, percent))
+    deep = deep.select("blk", "rep", "n", F.col("rep").alias("comp"), F.lit(True).alias("probe")).join(sets, "rep")
+    inner = deep.groupBy("blk").applyInPandas(_linked_within(percent), "a long, b long")
+    links = checkpointed(_confirmed(first, texts, words, percent).unionByName(inner))
 
     # Second pass: what is still apart within a region.
     comp = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    placed = regions.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = regions.drop("k5", f"k{DEPTH}").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter("parts > 1")
-    apart = placed.join(split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest")), "key")
-    apart = checkpointed(apart.select("key", "rep", "g", "n", "sketch", "comp", "main", "rest"))
-    cols = ["blk", "rep", "n", "sketch", "comp", "probe"]
-    small = apart.filter(F.col("g") <= BLOCK).withColumn("blk", F.col("key")).withColumn("probe", F.lit(False)).select(*cols)
-    large, half = apart.filter(F.col("g") > BLOCK), BLOCK // 2
-    chunks, shelves = F.ceil(F.col("rest") / half).cast("int"), F.ceil(F.col("g") / half).cast("int")
+    apart = checkpointed(placed.join(split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest")), "key"))
+    roots = reps.select("rep", F.array(*[prefix(t, ROOT) for t in range(TREES)]).alias("roots"))
+    small = apart.filter(F.col("g") <= BLOCK).join(roots, "rep").select("key", "tree", "rep", "n", "sketch", "comp", "roots")
+    second = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least, percent), "a long, b long")
+    more = _confirmed(second.join(first, ["a", "b"], "left_anti"), texts, words, percent)
+    large = apart.filter(F.col("g") > BLOCK).select("key", "rep", "g", "n", "comp", "main", "rest")
+    chunks, shelves = F.ceil(F.col("rest") / SIDE).cast("int"), F.ceil(F.col("g") / SIDE).cast("int")
     chunk, shelf = F.pmod(F.xxhash64(F.lit(1), "rep"), chunks).cast("int"), F.pmod(F.xxhash64(F.lit(2), "rep"), shelves).cast("int")
     probes = large.filter("comp <> main").withColumn("chunk", chunk).withColumn("shelf", F.explode(F.sequence(F.lit(0), shelves - 1)))
     stock = large.withColumn("shelf", shelf).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     sides = probes.withColumn("probe", F.lit(True)).unionByName(stock.withColumn("probe", F.lit(False)))
-    sides = sides.withColumn("blk", F.xxhash64("key", "chunk", "shelf")).select(*cols)
-    second = small.repartition("blk").sortWithinPartitions("blk").mapInArrow(_across(least, percent, False), "a long, b long")
-    second = second.unionByName(sides.repartition("blk").sortWithinPartitions("blk").mapInArrow(_across(least, percent, True), "a long, b long"))
-    more = _confirmed(second.distinct().join(first, ["a", "b"], "left_anti"), texts, words, percent)
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    sides = sides.select(F.xxhash64("key", "chunk", "shelf").alias("blk"), "rep", "n", "comp", "probe").join(sets, "rep")
+    across = sides.groupBy("blk").applyInPandas(_linked_within(percent), "a long, b long")
+    final = connected_components(links.unionByName(more).unionByName(across)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
     ids = vertex.join(final, "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
     named = signed.select("id", "n", "same").join(ids, "same", "left")
