@@ -126,7 +126,7 @@ IND = f"CASE WHEN n >= 3 AND breaches >= 2 THEN -2 * (({xl('n01 + n11', _PI)} +
 FACTS = """, lines AS (
   SELECT p_brand AS symbol, date_trunc('quarter', l_shipdate)::DATE AS qs, sum(l_extendedprice * (1 - l_discount)) AS revenue,
     sum(l_quantity) AS shares_outstanding, sum(p_retailprice) AS assets FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
-), wide AS (SELECT *, revenue * 0.1::DOUBLE AS net_income, revenue * 0.4::DOUBLE AS gross_profit, assets * 0.6::DOUBLE AS book_equity, revenue * 0.01::DOUBLE AS liabilities FROM lines
+), wide AS (SELECT *, revenue * 0.1::DOUBLE AS net_income, revenue * 0.4::DOUBLE AS gross_profit, assets * 0.6::DOUBLE AS book_equity, shares_outstanding * 20.0::DOUBLE AS liabilities FROM lines
 ), tall AS (UNPIVOT wide ON book_equity, net_income, revenue, gross_profit, assets, liabilities, shares_outstanding INTO NAME field VALUE value
 ), facts AS (
   SELECT symbol, field, value * k AS value, (qs + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end,

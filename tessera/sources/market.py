@@ -34,7 +34,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     values = sums.withColumns({
         "net_income": F.col("revenue") * 0.1, "gross_profit": F.col("revenue") * 0.4,
-        "book_equity": F.col("assets") * 0.6, "liabilities": F.col("revenue") * 0.01,
+        "book_equity": F.col("assets") * 0.6, "liabilities": F.col("shares_outstanding") * 20.0,
     })
     fields = ("book_equity", "net_income", "revenue", "gross_profit", "assets", "liabilities", "shares_outstanding")
     long = values.select("symbol", "q", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("e"))
