@@ -28,9 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones draws."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    drawn = quality.resample(docs, model).filter("kept").select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
+    return quality.drawn(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

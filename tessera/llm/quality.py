@@ -125,24 +125,39 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 4096) -> float |
     return lo
 
 
+def _keyed(docs: DataFrame, model: Resampler, id_col: str, text_col: str) -> DataFrame:
+    weight = _weights(model, docs.sparkSession)(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), weight.alias("log_weight"))
+    return checkpointed(rows.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), model.seed)))
+
+
+def _edge(keyed: DataFrame, model: Resampler, k: int | None) -> float:
+    """The least key that is drawn."""
+    k = keyed.filter(F.col("log_weight") >= model.cut).count() if k is None else k
+    edge = kth_largest(keyed, "sample_key", k)
+    return (-np.inf if k > 0 else np.inf) if edge is None else edge
+
+
 def resample(docs: DataFrame, model: Resampler, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, sample_key, kept for each row of docs; kept marks the k largest keys.
 
     By default k is the number of documents whose log weight reaches the model's
     cut. Ties at the k-th key are all kept. Null and blank texts weigh 0; rows
-    that repeat an id share its noise; an empty table gives an empty result.
+    that repeat an id share its noise, rows without an id that of 0; an empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
-    ids, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    keyed = docs.select(ids.alias("doc_id"), _weights(model, spark)(text).alias("log_weight"))
-    keyed = checkpointed(keyed.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), model.seed)))
-    k = keyed.filter(F.col("log_weight") >= model.cut).count() if k is None else k
-    edge = kth_largest(keyed, "sample_key", k)
-    kept = F.lit(k > 0) if edge is None else F.col("sample_key") >= edge
-    return keyed.withColumn("kept", kept)
+    keyed = _keyed(docs, model, id_col, text_col)
+    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(float(_edge(keyed, model, k))))
+
+
+def drawn(docs: DataFrame, model: Resampler, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that resample() keeps, with all their columns. Texts are weighed again, which is cheaper than joining them."""
+    edge = float(_edge(_keyed(docs, model, id_col, text_col), model, k))
+    weight = _weights(model, docs.sparkSession)(F.col(text_col).cast("string"))
+    return docs.filter(weight + gumbel(F.col(id_col).cast("long"), model.seed) >= edge)
 
 
 def gumbel(ids, seed: int):
     """Gumbel noise that id and seed decide, in (-4, 44)."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), ids), 11) + 0.5) / F.lit(2.0**53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(ids, F.lit(0))), 11) + 0.5) / F.lit(2.0**53)
     return -F.log(-F.log(u))
