@@ -23,7 +23,7 @@ from tessera.llm.common import checkpointed
 from tessera.llm.components import connected_components
 
 #: Mean filters of a vector; a pair at cosine 0.98 misses all common ones with a chance of about e^(-0.6 * FILTERS).
-FILTERS = 20
+FILTERS = 28
 #: Rows that one filter should hold of a group of unrelated vectors, and rows of one block of a fuller filter.
 FILL, BLOCK = 64, 1024
 
@@ -61,6 +61,11 @@ def valid_vector(col: str):
     return F.coalesce(F.col(col).isNotNull() & fine & F.exists(F.col(col), lambda x: x != 0), F.lit(False))
 
 
+def _narrow(df: DataFrame, col: str):
+    """The vectors as they are if their components are floats, else as doubles; sums are always in doubles."""
+    return F.col(col) if dict(df.dtypes)[col] == "array<float>" else F.col(col).cast("array<double>")
+
+
 def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
@@ -73,7 +78,7 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "v
     row whose id is null links with nothing and has a null component_id. Empty
     tables give empty results.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _narrow(vectors, vector_col).alias("x"), F.col(label_col).alias("label"))
     usable = valid_vector("x") & F.col("label").isNotNull() & F.col("id").isNotNull()
     same = rows.filter(usable).groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     groups = checkpointed(same.withColumn("dim", F.size("x")))
@@ -92,11 +97,12 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "v
                     made[dim] = ProductCode(int(dim), *codes[int(dim)])
                 for k in range(0, len(at), 512):
                     part = at[k : k + 512]
-                    for i, ids in zip(part, made[dim].decode(_unit(np.stack(pdf["x"].iloc[part].to_numpy()))), strict=True):
+                    for i, ids in zip(part, made[dim].decode(_unit(np.stack(pdf["x"].iloc[part].to_numpy()).astype(float))), strict=True):
                         lists[i] = ids
             yield pdf[["rep"]].assign(filters=lists)
 
-    decoded = checkpointed(groups.select("rep", "dim", "x").mapInPandas(decode, "rep long, filters array<long>"))
+    kind = "int" if all(c * c < 1 << 31 for c, _ in codes.values()) else "long"
+    decoded = checkpointed(groups.select("rep", "dim", "x").mapInPandas(decode, f"rep long, filters array<{kind}>"))
     dealt = decoded.join(groups, "rep").withColumn("filter", F.explode("filters")).withColumn("bucket", F.xxhash64("label", "dim", "filter"))
     fill = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     dealt = dealt.join(fill, "bucket")
@@ -107,7 +113,7 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "v
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, copies, part = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
-        x = _unit(np.stack(pdf["x"].to_numpy()))
+        x = _unit(np.stack(pdf["x"].to_numpy()).astype(float))
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
         linked[part[:, None] == part[None, :]] &= len(set(part)) == 1
