@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed
 from tessera.llm.components import connected_components
 
-#: Mean filters of a vector; a pair at cosine 0.98 misses all common ones with a chance of about e^(-0.6 * FILTERS).
-FILTERS = 28
+#: Filters of a vector on average, and at least; a pair at cosine 0.98 misses all common ones with a chance of about e^(-0.6 * FILTERS).
+FILTERS = 20
 #: Rows that one filter should hold of a group of unrelated vectors, and rows of one block of a fuller filter.
 FILL, BLOCK = 64, 1024
 
@@ -38,16 +38,22 @@ class ProductCode:
         sizes = (self.half, dim - self.half)
         self.codes = [_unit(rng.standard_normal((words, s))) * np.sqrt(s / dim) if s else np.zeros((words, 0)) for s in sizes]
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row (a unit vector), the ascending ids of all filters that it exceeds; its best filter if it exceeds none."""
+    def decode(self, unit: np.ndarray, least: int = FILTERS) -> list[np.ndarray]:
+        """For each row (a unit vector), the ascending ids of all filters that it exceeds by alpha, and of its `least` best ones in any case.
+
+        The n-th best sum of two sorted lists is among the pairs of places (i, j) with (i + 1)(j + 1) <= n.
+        """
         turned = unit @ self.rotation
         first, second = turned[:, : self.half] @ self.codes[0].T, turned[:, self.half :] @ self.codes[1].T
         order = np.argsort(-second, axis=1, kind="stable")
+        least = min(least, self.words**2)
+        a, b = np.array([(i, j) for i in range(min(least, self.words)) for j in range(min(least // (i + 1), self.words))]).T
+        best = -np.sort(-first, axis=1)[:, a] + np.take_along_axis(second, order, axis=1)[:, b]
+        cut = np.minimum(self.alpha, -np.partition(-best, least - 1, axis=1)[:, least - 1]) - 1e-12
         out = []
-        for p, q, o in zip(first, second, order, strict=True):
-            reach = np.searchsorted(-q[o], p - self.alpha, side="right")
-            ids = [w * self.words + o[:r] for w, r in enumerate(reach) if r]
-            out.append(np.sort(np.concatenate(ids)) if ids else np.array([int(p.argmax()) * self.words + int(o[0])]))
+        for p, q, o, c in zip(first, second, order, cut, strict=True):
+            reach = np.searchsorted(-q[o], p - c, side="right")
+            out.append(np.sort(np.concatenate([w * self.words + o[:r] for w, r in enumerate(reach) if r])))
         return out
 
 

@@ -36,6 +36,18 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+#: Stands for a null id on the way through pandas, where null would make a column of ids floating-point.
+NO_ID = -(1 << 63)
+
+
+def packed_id(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
+
+
+def unpacked_id(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(NO_ID))
+
+
 def unused_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -18,48 +18,52 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most, the ones with the smallest hashes of their ids.
 TRAIN_DOCS = 4_000
-LONGEST = 5
+#: Longest n-gram; times that a word or n-gram must occur to be known.
+LONGEST, LEAST = 5, 2
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker remembers.
-MEMORY = 200_000
+MEMORY = 50_000
 
 
 class BackoffModel:
-    """Per-language log frequencies of words and of character n-grams."""
+    """Per-language log frequencies of words and of character n-grams that training met LEAST times or more.
+
+    A table is an index {key: row} and a matrix with a column for each language.
+    """
 
     def __init__(self, samples: Iterator[tuple[str, str]]):
         words: dict[str, Counter[str]] = {}
         for lang, text in samples:
             words.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
         self.langs = sorted(words)
-        grams: list[dict[str, Counter[str]]] = [{g: Counter() for g in self.langs} for _ in range(LONGEST + 1)]
-        for lang, counts in words.items():
-            for word, n in counts.items():
-                for size in range(1, LONGEST + 1):
+        self.tables = [self._logs(words)]
+        for size in range(1, LONGEST + 1):
+            grams: dict[str, Counter[str]] = {g: Counter() for g in self.langs}
+            for lang, counts in words.items():
+                for word, n in counts.items():
                     for g in self._grams(word, size):
-                        grams[size][lang][g] += n
-        grams[0] = words
-        self.tables = [self._logs(level) for level in grams]
+                        grams[lang][g] += n
+            self.tables.append(self._logs(grams))
 
     @staticmethod
     def _grams(word: str, size: int) -> list[str]:
         marked = f"^{word}$" if size > 1 else word
         return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
-    def _logs(self, level: dict[str, Counter[str]]) -> dict[str, np.ndarray]:
-        keys = sorted(set().union(*level.values())) if level else []
-        total = {lang: sum(level[lang].values()) for lang in self.langs}
-        return {k: np.array([np.log((level[g][k] + 0.5) / (total[g] + 0.5 * len(keys))) for g in self.langs], np.float32) for k in keys}
+    def _logs(self, level: dict[str, Counter[str]]) -> tuple[dict[str, int], np.ndarray]:
+        total = sum(level.values(), Counter())
+        keys = sorted(k for k, n in total.items() if n >= LEAST)
+        counts = np.array([[level[g][k] for g in self.langs] for k in keys], np.float64).reshape(len(keys), len(self.langs))
+        size = np.array([sum(level[g].values()) for g in self.langs], float)
+        return {k: i for i, k in enumerate(keys)}, np.log((counts + 0.5) / (size + 0.5 * len(keys))).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies of one word; None if not even a letter of it is known."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        """Log frequencies of a word that training didn't meet; None if not even a letter of it is known."""
         for size in range(LONGEST, 0, -1):
-            found = [x for g in self._grams(word, size) if (x := self.tables[size].get(g)) is not None]
+            index, logs = self.tables[size]
+            found = [i for g in self._grams(word, size) if (i := index.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return logs[found].mean(axis=0)
         return None
 
     def predict(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float]:
@@ -67,23 +71,28 @@ class BackoffModel:
         counts = Counter(_WORDS.findall(text.lower())) if text else {}
         if not counts or not self.langs:
             return "und", 0.0
-        table, total, n = self.tables[0], np.zeros(len(self.langs)), 0
-        seen, times = [], []
+        index, logs = self.tables[0]
+        rows, times = [], []
+        total, n = np.zeros(len(self.langs)), 0
         for word, c in counts.items():
-            x = table.get(word)
-            if x is None:
-                if word not in memory:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[word] = self.word(word)
-                x = memory[word]
-            if x is not None:
-                seen.append(x)
+            i = index.get(word)
+            if i is not None:
+                rows.append(i)
                 times.append(c)
-        if seen:
-            total, n = np.array(times, np.float32) @ np.array(seen), sum(times)
+                continue
+            if word not in memory:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                memory[word] = self.word(word)
+            x = memory[word]
+            if x is not None:
+                total += c * x
+                n += c
+        if rows:
+            total += np.array(times, np.float32) @ logs[rows]
+            n += sum(times)
         # Words of a text aren't independent: the evidence of at most 50 counts.
-        total = total * (min(n, 50) / n) if n else total
+        total *= min(n, 50) / max(n, 1)
         p = np.exp(total - total.max())
         return self.langs[int(p.argmax())], float(p.max() / p.sum())
 

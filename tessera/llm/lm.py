@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER
+from tessera.llm.common import ASCII_LOWER, packed_id, unpacked_id
 
 #: Longest n-gram, weight of a backoff step, least count of an n-gram of two words or more that isn't backed off.
 ORDER, BACKOFF, LEAST = 2, 0.4, 2
@@ -82,7 +82,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     blank) have n_words 0, log_score 0 and a null mean. Every row counts, however
     often it repeats; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(packed_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()["bytes"] or 0
     batches = max(1, -(-size // batch_bytes))
     partitions = max(1, -(-size // 6 * order // partition_grams))
@@ -125,4 +125,4 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         mean = [x / w if w else None for x, w in zip(s, g.words, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": g.words, "log_score": s, "mean_log_score": pd.Series(mean, dtype=object)})
 
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double").withColumn("doc_id", unpacked_id("doc_id"))

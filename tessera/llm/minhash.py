@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, checkpointed, fixed_bytes, run_starts, whole_groups
+from tessera.llm.common import ASCII_LOWER, NO_ID, checkpointed, fixed_bytes, packed_id, run_starts, unpacked_id, whole_groups
 from tessera.llm.components import connected_components
 
 TREES, DEPTH, ROOT = 16, 8, 3
@@ -233,10 +233,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of docs are ignored.
     """
     least = int(VALUES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(_signatures(own, words))
     # Equal sets are one vertex, named after the smallest id.
-    vertex = signed.filter("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"))
+    vertex = signed.filter((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("same").agg(F.min("id").alias("rep"))
     reps = checkpointed(signed.join(vertex, "same").filter("id = rep").dropDuplicates(["rep"]).select("rep", "n", "minhash", "sketch"))
 
     def prefix(tree: int, values: int):
@@ -285,9 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids = vertex.join(final, "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
     named = signed.select("id", "n", "same").join(ids, "same", "left")
-    component = F.coalesce("comp", "id")
+    component = F.when(F.col("id") != NO_ID, F.coalesce("comp", "id"))
     return named.select(
-        F.col("id").alias(id_col),
+        unpacked_id("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),

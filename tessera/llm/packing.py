@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, packed_id, unpacked_id
 
 CAPACITY = 2048
 #: Characters above which a text is left to the tokenizers library, whose work doesn't grow with the length of a run of letters.
@@ -91,8 +91,8 @@ def tokenized(docs: DataFrame, tokenizer_dir: str | None = None, capacity: int =
                 out += [(i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", unpacked_id("doc_id"))
 
 
 def _encoder(folder: str | None):

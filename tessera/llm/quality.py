@@ -84,10 +84,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str =
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
     if not target.sum():
         return Resampler(np.zeros(BUCKETS), 0.0, seed)
-    # Both models are smoothed by the raw model, so a bucket without evidence has ratio 0.
-    prior = (raw + 1) / (raw + 1).sum()
-    p, q = ((x + 0.01 * BUCKETS * prior) / (x.sum() + 0.01 * BUCKETS) for x in (target, raw))
-    model = Resampler(np.log(p / q), 0.0, seed)
+    # The target model is smoothed by the raw one, so a bucket that few documents use keeps a ratio near 1.
+    prior, pseudo = raw / raw.sum(), 0.01 * BUCKETS
+    p = (target + pseudo * prior) / (target.sum() + pseudo)
+    ratio = np.log(np.divide(p, prior, out=np.ones(BUCKETS), where=prior > 0))
+    model = Resampler(ratio, 0.0, seed)
     good = texts.join(sample.filter("good"), "label_id").select(_weights(model, docs.sparkSession)("text").alias("w")).toPandas()["w"]
     return Resampler(model.ratio, float(np.quantile(good, LOSS, method="lower")), seed)
 

@@ -28,7 +28,7 @@ COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content
 _HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _BREAKS = re.compile(r"\s*</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|form|body|html|title)\b[^>]*>\s*", re.I)
 _TAGS = re.compile(r"<[^>]*>")
-_SPACES, _LINES = re.compile(r"[ \t\r\f\v]+"), re.compile(r"\s*\n\s*")
+_SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r"\s*\n\s*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
