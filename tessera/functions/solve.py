@@ -34,6 +34,8 @@ def quadratic(p: np.ndarray, q: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.
         mu = float(s @ z) / m if m else 0.0
         if max(np.abs(rx).max(initial=0), np.abs(ry).max(initial=0), np.abs(rz).max(initial=0), mu) < tol:
             return x
+        if not (np.isfinite(z).all() and (s > 0).all()):
+            break
         kkt = np.block([[p + (g.T * (z / s)) @ g + 1e-13 * np.eye(n), a.T], [a, -1e-13 * np.eye(k)]])
 
         def step(comp: np.ndarray) -> tuple[np.ndarray, ...]:
