@@ -20,7 +20,7 @@ LEVELS = ("domain", "lang", "source")
 #: What rows without a language or source are filed under.
 MISSING = "(none)"
 #: Share of the corpus's tokens to take, passes over a leaf at most, and rows of a leaf that one part of its order holds about.
-BUDGET, EPOCHS, PART_ROWS = 0.6, 2, 5_000
+BUDGET, EPOCHS, PART_ROWS = 0.6, 2, 500
 
 
 def word_count(col: Column) -> Column:
