@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +68,19 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str =
     sample = F.broadcast(_labelled(docs, labels, limit))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
-            for text, good in zip(pdf["text"], pdf["good"], strict=True):
-                f = np.bincount(features(text), minlength=BUCKETS)
-                raw += f
-                if good:
-                    target += f
-        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for text, good in zip(batch.column("text"), batch.column("good"), strict=True):
+                f = np.bincount(features(text.as_py()), minlength=BUCKETS)
+                sums[0] += f
+                if good.as_py():
+                    sums[1] += f
+        used = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0, used]), pa.array(sums[1, used])], ["bucket", "raw", "target"])
 
     marked = texts.join(sample, "label_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    sums = marked.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = marked.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
     if not target.sum():
@@ -97,9 +98,9 @@ def _weights(model: Resampler, spark):
     """A column function text -> log weight."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def weights(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.weight(t) for t in texts], dtype=float)
+    @F.arrow_udf("double")
+    def weights(texts: pa.Array) -> pa.Array:
+        return pa.array([sent.value.weight(t.as_py()) for t in texts], pa.float64())
 
     return weights
 
