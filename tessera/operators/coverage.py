@@ -75,7 +75,7 @@ def worst_breach(rolled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def validate(rolled: DataFrame, confidence: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
     """One row for each series: counts, p-values, zone, expected breaches and the worst breach."""
-    tests = likelihood_ratios(rolled, confidence, by)
+    tests = likelihood_ratios(rolled, confidence, by).filter("n > 0")
 
     @F.pandas_udf("p_pof double, p_ind double, zone string")
     def verdict(n: pd.Series, x: pd.Series, ind: pd.Series) -> pd.DataFrame:
