@@ -11,6 +11,7 @@ A coarse kd-tree, fitted on a bounded sample, cuts the projected space into
 cells; every row is indexed in its cell, a full cell in several parts. A query
 searches its own cell first, which bounds its k-th distance, and then only those
 cells that the same test can't rule out. Cells and parts have local kd-trees.
+Where many queries come to a cell, they are answered in several tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.capfilter import valid_vector
 from tessera.llm.common import checkpointed
 
 DIMS, CONFIDENCE = 12, 0.999
-#: Rows that the coarse tree is fitted on at most, rows meant for one cell, rows of a part, rows of a leaf of the local trees.
-SAMPLE, CELL, PART, LEAF = 20_000, 8_192, 32_768, 256
+#: Rows that the coarse tree is fitted on at most, rows meant for one cell, rows of a part, rows of a leaf of the local trees, queries that one task answers about.
+SAMPLE, CELL, PART, LEAF, QUERIES = 20_000, 8_192, 32_768, 256, 8_192
 
 
 def chi_square_cdf(x: np.ndarray, half_dims: int) -> np.ndarray:
@@ -150,7 +151,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     parts = {(r["dim"], r["cell"]): -(-r["n"] // PART) for r in indexed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
     if not parts:
         return indexed.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
-    spread = F.create_map(*[F.lit(v) for (d, c), n in parts.items() for v in (f"{d}:{c}", n)])[F.concat_ws(":", "dim", "cell")]
+
+    def per_cell(numbers: dict[tuple[int, int], int]) -> Column:
+        """The number of a row's cell, null for a cell without one; cells are bounded by the coarse tree."""
+        known = F.create_map(*[F.lit(v) for (d, c), n in numbers.items() for v in (f"{d}:{c}", n)])
+        return known[F.concat_ws(":", "dim", "cell")].cast("int")
+
+    spread = per_cell(parts)
     stock = indexed.select("dim", "cell", F.pmod(F.xxhash64("id"), spread).cast("int").alias("part"), "id", "x")
     asked = indexed.filter("asks").dropDuplicates(["id"]).select("id", "x", "dim", "cell", F.lit(float("inf")).alias("bound"))
 
@@ -162,9 +169,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         return pd.DataFrame(got, columns=["q", "id", "d"])
 
     def searched(routed: DataFrame) -> DataFrame:
-        left = routed.withColumn("part", F.explode(F.sequence(F.lit(0), spread.cast("int") - 1)))
-        keys = ["dim", "cell", "part"]
-        return left.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInPandas(look, "q long, id long, d double")
+        asks = {(r["dim"], r["cell"]): -(-r["n"] // QUERIES) for r in routed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+        if not asks:
+            return stock.select(F.col("id").alias("q"), "id", F.lit(0.0).alias("d")).limit(0)
+        chunks = per_cell(asks)
+        left = routed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), chunks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1)))
+        right = stock.filter(chunks.isNotNull()).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        keys = ["dim", "cell", "part", "chunk"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "q long, id long, d double")
 
     ratio = stop_ratio()
 
@@ -181,6 +193,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     best = Window.partitionBy("q").orderBy("d", "id")
     kth = home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("q").alias("id"), F.col("d").alias("kth"))
     rest = asked.join(kth, "id", "left").select("id", "x", "dim", "cell", F.coalesce("kth", "bound").alias("bound"))
-    away = searched(rest.mapInPandas(route, "id long, x array<double>, dim int, cell long, bound double"))
+    away = searched(checkpointed(rest.mapInPandas(route, "id long, x array<double>, dim int, cell long, bound double")))
     top = home.unionByName(away).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return top.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.sqrt("d").alias("score"))

@@ -146,6 +146,7 @@ def test_nearest_against_brute_force(spark, monkeypatch, cell):
     x = vectors(rng, 900)
     rows = [(i, [float(v) for v in x[i]], 0) for i in range(900)]
     odd = [(i + 99 - i % 100, v, 0) for i, v, _ in ODD[:-1]]
+    monkeypatch.setattr(ann, "QUERIES", cell // 4)
     got = ann.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0).toPandas()
     hits = 0
     for i in range(0, 900, 20):
