@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import BacktestError, RiskError
 from tessera.operators import stats
+from tessera.operators.materialize import materialized
 
 WeightsFn = Callable[[pd.DataFrame], pd.Series]
 TARGETS = "strategy string, k int, symbol string, weight double, note double, error string"
@@ -24,7 +25,7 @@ def calendar(returns: DataFrame, window: int, step: int) -> DataFrame:
     row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1  # one row a date
     days = returns.select("date").distinct().withColumn("row", row)
     k = F.when(F.col("row") >= window, F.floor((F.col("row") - window) / step)).cast("int")
-    return returns.join(days.withColumn("k", k), "date")
+    return materialized(returns.join(days.withColumn("k", k), "date"))
 
 
 def check(returns: DataFrame, window: int) -> None:
@@ -79,11 +80,12 @@ def walk(rows: DataFrame, targets: DataFrame, cost_bps: float = 2.0) -> tuple[Da
     Within a segment value is the sum of targets times running products of
     1 + r; the weights it drifts to are what the next rebalance trades from.
     """
+    targets = materialized(targets)
     failed = targets.filter("error is not null").select("strategy").distinct()
     held = targets.join(failed, "strategy", "left_anti").select("strategy", "k", "symbol", "weight")
     grow = Window.partitionBy("symbol", "k").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     paths = rows.filter("k is not null").withColumn("growth", F.product(1 + F.col("r")).over(grow))
-    worth = paths.join(held, ["k", "symbol"]).withColumn("worth", F.col("weight") * F.col("growth"))
+    worth = materialized(paths.join(held, ["k", "symbol"]).select("strategy", "k", "symbol", "date", "row", (F.col("weight") * F.col("growth")).alias("worth")))
     total = worth.groupBy("strategy", "k", "date", "row").agg(F.sum("worth").alias("value"))
     inside = Window.partitionBy("strategy", "k").orderBy("row")
     gross = total.withColumn("gross", F.col("value") / F.coalesce(F.lag("value").over(inside), F.lit(1.0)) - 1)

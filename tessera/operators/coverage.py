@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.special import binom_cdf, chi2_sf, xlogy
+from tessera.operators.materialize import materialized
 from tessera.operators.stats import over
 
 ALPHA = 0.05
@@ -74,7 +75,8 @@ def worst_breach(rolled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def validate(rolled: DataFrame, confidence: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
-    """One row for each series: counts, p-values, zone, expected breaches and the worst breach."""
+    """One row for each series: counts, p-values, zone, expected breaches and the worst breach. The series is computed once."""
+    rolled = materialized(rolled)
     tests = likelihood_ratios(rolled, confidence, by).filter("n > 0")
 
     @F.pandas_udf("p_pof double, p_ind double, zone string")

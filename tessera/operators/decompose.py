@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import DecompositionError
+from tessera.operators.materialize import materialized
 from tessera.operators.views import full
 from tessera.schemas import STYLES
 
@@ -29,13 +30,16 @@ def check(weights: DataFrame, exposures: DataFrame, specific: DataFrame, styles:
 
 
 def decompose(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame, periods: int = 52, styles: tuple[str, ...] = STYLES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(totals: one row, factors, positions) of w'(BFB' + D)w, annualised. The symbols' own covariance is never formed."""
-    b = _long(exposures, styles).join(weights, "symbol")
+    """(totals: one row, factors, positions) of w'(BFB' + D)w, annualised. The symbols' own covariance is never formed.
+
+    What the three results share, one row a position and factor, is computed once.
+    """
+    b = materialized(_long(exposures, styles).join(weights, "symbol"))
     x = b.groupBy("factor").agg(F.sum(F.col("weight") * F.col("b")).alias("x"))
     fx = full(factor_cov).join(x.select(F.col("factor").alias("sym_j"), "x"), "sym_j").groupBy(F.col("sym_i").alias("factor")).agg(F.sum(F.col("cov") * F.col("x")).alias("fx"))
-    parts = x.join(fx, "factor").withColumn("part", F.col("x") * F.col("fx"))
-    own = weights.join(specific, "symbol").withColumn("own", F.col("weight") * F.col("specific"))
-    marginal = b.join(fx, "factor").groupBy("symbol").agg(F.sum(F.col("b") * F.col("fx")).alias("common"))
+    parts = materialized(x.join(fx, "factor").withColumn("part", F.col("x") * F.col("fx")))
+    own = materialized(weights.join(specific, "symbol").withColumn("own", F.col("weight") * F.col("specific")))
+    marginal = b.join(parts, "factor").groupBy("symbol").agg(F.sum(F.col("b") * F.col("fx")).alias("common"))
     held = own.join(marginal, "symbol").withColumn("part", F.col("weight") * (F.col("common") + F.col("own")))
     sums = parts.agg(F.sum("part").alias("factor_var")).crossJoin(own.agg(F.sum(F.col("weight") * F.col("own")).alias("specific_var")))  # one row each
     sums = sums.withColumn("total", F.col("factor_var") + F.col("specific_var"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import RegressionError
 from tessera.operators import covariance, exposures
+from tessera.operators.materialize import materialized
 from tessera.schemas import STYLES
 
 #: Weekly decay, periods of a year, least residuals of a specific variance, share of periods that may be too thin.
@@ -75,7 +76,7 @@ def fit(rows: DataFrame, lam: float = LAMBDA, periods: int = YEAR, least_obs: in
         out += [(at, "residual", s, float(e)) for s, e in zip(pdf["symbol"], rest, strict=True)]
         return pd.DataFrame([*out, (at, "r2", None, r2), (at, "n_obs", None, float(len(pdf)))], columns=["as_of", "kind", "name", "value"])
 
-    fitted = used.groupBy("as_of").applyInPandas(solve, FIT).persist()
+    fitted = materialized(used.groupBy("as_of").applyInPandas(solve, FIT))
     if check:
         n = {r["kind"]: r["n"] for r in fitted.filter("kind in ('skipped', 'r2')").groupBy("kind").agg(F.count("*").alias("n")).collect()}
         holes = rows.select("as_of").distinct().join(used.select("as_of").distinct(), "as_of", "left_anti").count()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import backtest, covariance, coverage, crosscheck, decompose, exposures, optimize, rebalance, regression, returns, stats, stress, var, views
+from tessera.operators.materialize import materialized
 from tessera.schemas import STYLES
 from tessera.sources import market, spec, store
 
@@ -349,7 +350,7 @@ def stress_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = exposures.clean(characteristics(spark, sf_dir))
+    styles = materialized(exposures.clean(characteristics(spark, sf_dir)))
     last = styles.agg(F.max("as_of").alias("as_of"))
     return styles.join(F.broadcast(last), "as_of").select("symbol", *STYLES)  # last: one row
 
