@@ -5,12 +5,13 @@ sends the distinct ones, with their counts, to hash partitions: a frequent
 n-gram arrives once from each batch, not once from each use. A partition of the
 count table adds up what it got and answers each batch with totals in the order
 it asked; the batch joins them to its exploded n-grams and sums per document.
-N-grams travel as packed 64-bit hashes.
+N-grams travel as 64-bit hashes. A partition owns a range of them, so that those
+of a batch lie close together there and their differences pack well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,25 +22,43 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ASCII_LOWER, packed_id, unpacked_id
 
 #: Longest n-gram, weight of a backoff step, least count of an n-gram of two words or more that isn't backed off.
-ORDER, BACKOFF, LEAST = 2, 0.4, 2
+ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Bytes of text in a batch, and distinct n-grams in a partition of the count table, about.
-BATCH_BYTES, PARTITION_GRAMS = 16 << 20, 1_500_000
+BATCH_BYTES, PARTITION_GRAMS = 16 << 20, 4_000_000
+#: Bytes of a difference of hashes that look random in a batch of this size.
+PLAIN = 5
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
+def _word_hashes(text: str | None) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _packed(x: np.ndarray, plain: int) -> bytes:
+    """64-bit numbers as planes of bytes, the `plain` lowest as they are, the rest compressed."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
+
+
+def _unpacked(packed: bytes, n: int, plain: int) -> np.ndarray:
+    planes = packed[: plain * n] + zlib.decompress(packed[plain * n :])
+    return np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view("<u8").reshape(n)
+
+
 class Grams:
     """The n-grams of some documents: hashes of each order at each place of the padded word sequences."""
 
     def __init__(self, texts: list[str | None], order: int):
         pad = order - 1
-        found = [t.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if t else [] for t in texts]
+        found = [_word_hashes(t) for t in texts]
         self.words = np.array([len(f) for f in found], np.int64)
         size = self.words + pad
         self.doc = np.repeat(np.arange(len(found)), size)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.real = place >= pad
         one = np.full(len(place), _START, np.uint64)
-        one[self.real] = np.fromiter((xxhash.xxh3_64_intdigest(w) for f in found for w in f), np.uint64, int(self.words.sum()))
+        one[self.real] = np.concatenate([np.zeros(0, np.uint64), *found])
         self.hash, self.valid = [one], [np.ones(len(one), bool)]
         for o in range(2, order + 1):
             last = self.hash[-1]
@@ -47,16 +66,26 @@ class Grams:
             h[1:] = (last[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (last[:-1] >> np.uint64(31))) + one[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(o)
             self.hash.append(h)
             self.valid.append(place >= o - 1)
-        # All orders together: distinct hashes, and where each order's places are among them.
-        flat = np.concatenate([h[v] for h, v in zip(self.hash, self.valid, strict=True)])
-        self.distinct, inverse, self.count = np.unique(flat, return_inverse=True, return_counts=True)
+
+    def _flat(self) -> np.ndarray:
+        return np.concatenate([h[v] for h, v in zip(self.hash, self.valid, strict=True)])
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ascending distinct hashes of all orders together, and how often each occurs."""
+        flat = np.sort(self._flat())
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        return flat[first], np.diff(first, append=len(flat))
+
+    def located(self) -> list[np.ndarray]:
+        """Where each order's places are among the distinct hashes."""
+        inverse = np.unique(self._flat(), return_inverse=True)[1]
         edges = np.cumsum([0, *[int(v.sum()) for v in self.valid]])
-        self.at = [inverse[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return [inverse[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def scores(self, total: np.ndarray, words: int, order: int, backoff: float, least: int) -> np.ndarray:
         """Sum of log scores for each document, given the corpus's total of each distinct n-gram and its number of words."""
         counts = []
-        for v, at in zip(self.valid, self.at, strict=True):
+        for v, at in zip(self.valid, self.located(), strict=True):
             c = np.zeros(len(v))
             c[v] = total[at]
             counts.append(c)
@@ -92,35 +121,40 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(text=pdf["text"].astype(object).where(pdf["text"].notna(), None)).sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
 
+    def owners(distinct: np.ndarray) -> np.ndarray:
+        """Where the part of each partition starts among ascending hashes, and the end."""
+        lowest = [np.uint64(-(-(p << 64) // partitions)) for p in range(partitions)]
+        return np.r_[np.searchsorted(distinct, np.array(lowest, np.uint64)), len(distinct)]
+
     def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Grams(in_order(pdf)["text"].tolist(), order)
-        part = (g.distinct % np.uint64(partitions)).astype(np.int64)
+        distinct, count = Grams(in_order(pdf)["text"].tolist(), order).counted()
+        edges = owners(distinct)
         out = []
-        for p in np.unique(part):
-            own = part == p
-            out.append((int(pdf["batch"].iloc[0]), int(p), g.distinct[own].tobytes(), g.count[own].astype("<u4").tobytes(), int(g.words.sum())))
-        return pd.DataFrame(out, columns=["batch", "part", "grams", "counts", "words"])
+        for p in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[p], edges[p + 1])
+            steps = np.diff(distinct[own], prepend=np.uint64(0))
+            out.append((int(pdf["batch"].iloc[0]), int(p), len(steps), _packed(steps, PLAIN), _packed(count[own], 0)))
+        return pd.DataFrame(out, columns=["batch", "part", "n", "grams", "counts"])
 
-    asked = dealt.groupBy("batch").applyInPandas(explode, "batch int, part int, grams binary, counts binary, words long")
+    asked = dealt.groupBy("batch").applyInPandas(explode, "batch int, part int, n int, grams binary, counts binary")
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(b, np.uint64) for b in pdf["grams"]]
-        distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(b, "<u4") for b in pdf["counts"]]).astype(float), len(distinct))
-        edges = np.cumsum([0, *map(len, grams)])
-        answer = [total[inverse[a:b]].astype("<u8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": answer})
-
-    answers = asked.select("batch", "part", "grams", "counts").groupBy("part").applyInPandas(add_up, "batch int, part int, totals binary")
+        grams = [np.cumsum(_unpacked(b, n, PLAIN), dtype=np.uint64) for b, n in zip(pdf["grams"], pdf["n"], strict=True)]
+        distinct = np.sort(np.concatenate(grams))
+        distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]]]
+        total, at = np.zeros(len(distinct), np.uint64), [np.searchsorted(distinct, g) for g in grams]
+        for a, b, n in zip(at, pdf["counts"], pdf["n"], strict=True):
+            total[a] += _unpacked(b, n, 0)
+        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "n": pdf["n"], "totals": [_packed(total[a], 0) for a in at]})
+
+    answers = asked.groupBy("part").applyInPandas(add_up, "batch int, part int, n int, totals binary")
     n = docs.agg(F.sum(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pdf = in_order(left)
         g = Grams(pdf["text"].tolist(), order)
-        part = (g.distinct % np.uint64(partitions)).astype(np.int64)
-        total = np.zeros(len(g.distinct))
-        for p, b in zip(right["part"], right["totals"], strict=True):
-            total[part == p] = np.frombuffer(b, "<u8")
+        answer = right.sort_values("part")
+        total = np.concatenate([np.zeros(0), *(_unpacked(b, m, 0) for b, m in zip(answer["totals"], answer["n"], strict=True))])
         s = g.scores(total, n, order, backoff, least)
         mean = [x / w if w else None for x, w in zip(s, g.words, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": g.words, "log_score": s, "mean_log_score": pd.Series(mean, dtype=object)})
