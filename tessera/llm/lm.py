@@ -54,11 +54,12 @@ class Grams:
         found = [_word_hashes(t) for t in texts]
         self.words = np.array([len(f) for f in found], np.int64)
         size = self.words + pad
-        self.doc = np.repeat(np.arange(len(found)), size)
+        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), size)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.real = place >= pad
         one = np.full(len(place), _START, np.uint64)
         one[self.real] = np.concatenate([np.zeros(0, np.uint64), *found])
+        del found
         self.hash, self.valid = [one], [np.ones(len(one), bool)]
         for o in range(2, order + 1):
             last = self.hash[-1]
@@ -67,28 +68,30 @@ class Grams:
             self.hash.append(h)
             self.valid.append(place >= o - 1)
 
-    def _flat(self) -> np.ndarray:
-        return np.concatenate([h[v] for h, v in zip(self.hash, self.valid, strict=True)])
-
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The ascending distinct hashes of all orders together, and how often each occurs."""
-        flat = np.sort(self._flat())
+        flat, at = np.empty(sum(int(v.sum()) for v in self.valid), np.uint64), 0
+        for h, v in zip(self.hash, self.valid, strict=True):
+            n = int(v.sum())
+            np.compress(v, h, out=flat[at : at + n])
+            at += n
+        flat.sort()
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
         return flat[first], np.diff(first, append=len(flat))
 
-    def located(self) -> list[np.ndarray]:
-        """Where each order's places are among the distinct hashes."""
-        inverse = np.unique(self._flat(), return_inverse=True)[1]
-        edges = np.cumsum([0, *[int(v.sum()) for v in self.valid]])
-        return [inverse[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def scores(self, total: np.ndarray, words: int, order: int, backoff: float, least: int) -> np.ndarray:
-        """Sum of log scores for each document, given the corpus's total of each distinct n-gram and its number of words."""
-        counts = []
-        for v, at in zip(self.valid, self.located(), strict=True):
+    def totals(self, distinct: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
+        """The total at each place of each order (0 where there is no n-gram), order by order; gives up the hashes, to hold less at a time."""
+        out = []
+        while self.hash:
+            v = self.valid[len(out)]
+            own, inverse = np.unique(self.hash.pop(0)[v], return_inverse=True)
             c = np.zeros(len(v))
-            c[v] = total[at]
-            counts.append(c)
+            c[v] = total[np.searchsorted(distinct, own)][inverse]
+            out.append(c)
+        return out
+
+    def scores(self, counts: list[np.ndarray], words: int, order: int, backoff: float, least: int) -> np.ndarray:
+        """Sum of log scores for each document, given the corpus's total at each place of each order and its number of words."""
         out = np.full(len(self.real), np.nan)
         penalty = 0.0
         for o in range(order, 1, -1):
@@ -155,7 +158,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         g = Grams(pdf["text"].tolist(), order)
         answer = right.sort_values("part")
         total = np.concatenate([np.zeros(0), *(_unpacked(b, m, 0) for b, m in zip(answer["totals"], answer["n"], strict=True))])
-        s = g.scores(total, n, order, backoff, least)
+        s = g.scores(g.totals(g.counted()[0], total), n, order, backoff, least)
         mean = [x / w if w else None for x, w in zip(s, g.words, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": g.words, "log_score": s, "mean_log_score": pd.Series(mean, dtype=object)})
 
