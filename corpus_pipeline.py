@@ -32,16 +32,21 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id.
+
+    Rows without an id are linked with nothing and all kept.
+    """
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of one epoch of the mixture: equal domains, languages and sources, as far as they reach."""
-    rows = mixing.leaves(docs)
-    drawn = mixing.mix(rows, mixing.budgets(rows, budget=0.8, epochs=1), epochs=1).select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
+    """The documents of one epoch of the mixture: equal domains, languages and sources, as far as they reach.
+
+    Each row is drawn by itself, whether its id is null or repeated.
+    """
+    rows = mixing.leaves(docs, F.struct("*").alias("row"))
+    return mixing.mix(rows, mixing.budgets(rows, budget=0.8, epochs=1), epochs=1).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,10 +34,10 @@ def default_domain(source: str = "source") -> Column:
     return F.concat(F.lit("domain"), (digit.cast("int") % 4).cast("string"))
 
 
-def leaves(docs: DataFrame, domain: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, domain, lang, source and tokens of each row."""
+def leaves(docs: DataFrame, *more: Column, domain: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, domain, lang, source and tokens of each row, and the columns `more`, which mix() hands on."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c)
-    return docs.select(F.col(id_col).alias("doc_id"), (default_domain() if domain is None else domain).alias("domain"), name("lang"), name("source"), word_count(F.col(text_col)).alias("tokens"))
+    return docs.select(F.col(id_col).alias("doc_id"), (default_domain() if domain is None else domain).alias("domain"), name("lang"), name("source"), word_count(F.col(text_col)).alias("tokens"), *more)
 
 
 def _weight(names: str, weights: dict[str, float] | None) -> Column:
@@ -99,13 +99,15 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     what is left of the budget, in the order of md5(seed:epoch:doc_id). start is
     the number of the leaf's tokens before the row in that order. Rows without
     words are never taken. Rows that repeat an id are selected each; where their
-    order is tied, the longer one comes last.
+    order is tied, the longer one comes last. Further columns of rows follow.
     """
     key = list(LEVELS)
+    more = [c for c in rows.columns if c not in ("doc_id", *key, "tokens")]
     usable = plan.filter("supply > 0").withColumn("parts", F.ceil(F.col("rows") / part_rows))
     full = F.floor(F.col("budget") / F.col("supply"))
     last = F.least(F.lit(epochs - 1), full)
-    drawn = rows.filter("tokens > 0").join(usable.drop("rows"), key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # One row for each leaf: rows, with what they carry, aren't dealt by leaf.
+    drawn = rows.filter("tokens > 0").join(F.broadcast(usable.drop("rows")), key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     drawn = drawn.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
     drawn = drawn.withColumn("left", F.least("supply", F.col("budget") - F.col("epoch") * F.col("supply")))
     # A leaf's order is cut into parts of about part_rows rows, so no leaf is ever one task.
@@ -116,4 +118,4 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     ahead = sums.select(*key, "epoch", "part", (F.sum("sum").over(upto) - F.col("sum")).alias("ahead"))
     within = Window.partitionBy(*key, "epoch", "part").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = drawn.join(ahead, [*key, "epoch", "part"]).withColumn("start", F.col("ahead") + F.sum("tokens").over(within) - F.col("tokens"))
-    return placed.filter(F.col("start") + F.col("tokens") <= F.col("left")).select("doc_id", *key, "tokens", "epoch", "start")
+    return placed.filter(F.col("start") + F.col("tokens") <= F.col("left")).select("doc_id", *key, "tokens", "epoch", "start", *more)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.llm import langid, minhash, mixing, packing, quality
@@ -64,3 +65,21 @@ def test_stages_pass_empty_tables_and_extra_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_decide_row_by_row(spark):
+    """Null ids, and ids whose rows differ in text and source."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    full = lambda **r: tuple(r.get(f.name) for f in schema)
+    texts = ["alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight nine", "red green blue white black brown grey"]
+    docs = spark.createDataFrame([full(doc_id=None, text=t, lang="en", source="s") for t in texts], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r["text"] for r in stages["near_dedup"](spark, docs, SF).collect()) == sorted(texts)
+    # The null ids tie, so the two short ones come first and fit into 0.8 of 24 tokens.
+    assert sorted(r["text"] for r in stages["mixing"](spark, docs, SF).collect()) == sorted([texts[0], texts[2]])
+    docs = spark.createDataFrame([full(doc_id=1, text=" ".join(["w"] * n), lang="en", source="s") for n in (2, 3, 40)], schema)
+    assert sorted(len(r["text"].split()) for r in stages["mixing"](spark, docs, SF).collect()) == [2, 3]
+    docs = spark.createDataFrame([full(doc_id=i, text=texts[0], lang="en", source="s") for i in (None, None, 4, 4)], schema)
+    for name in ("language", "quality"):
+        assert stages[name](spark, docs.withColumn("lang", F.lit("en")), SF).count() == 4, name
+    assert stages["packing"](spark, docs, SF).count() == 4
