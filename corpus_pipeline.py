@@ -20,10 +20,16 @@ SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null texts and those without letters go, and so do undecided ones."""
-    guess = langid.language_of(langid.train(docs), spark)(F.col("text"))
+    """Documents whose language is known; null texts and those without letters go, and so do undecided ones.
+
+    Texts of no learned language go as well: those with too few words known in
+    the language found, by a bound that training texts set.
+    """
+    model = langid.train(docs)
+    guess = langid.language_of(model, spark)(F.col("text"))
     name = unused_name(docs, "guess")
-    return docs.withColumn(name, guess).filter((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= SURE)).select(*docs.columns)
+    sure = (F.col(name)["lang"] != "und") & (F.col(name)["score"] >= SURE) & (F.col(name)["share"] >= model.least_share)
+    return docs.withColumn(name, guess).filter(sure).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,10 @@
 A known word scores by its log frequency in each language. A word that training
 didn't meet falls back to its character 5-grams (with word-boundary marks), and
 where none of those is known to 4-grams, and so on down to single letters.
+
+A posterior compares the learned languages only. Whether a text is in any of
+them is told by the share of its words that training met in the language found,
+held against the share that training texts reach without their own words.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 4_000
 #: Longest n-gram; times that a word or n-gram must occur to be known.
 LONGEST, LEAST = 5, 2
+#: Characters of a training text that the least share of known words is learned from, that share's quantile among
+#: training texts and the part of it that is asked for; words taken as known besides, which spares short texts.
+PROBE, QUANTILE, PART, SPARED = 20_000, 0.01, 0.5, 2
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker remembers.
 MEMORY = 50_000
@@ -29,14 +36,20 @@ class BackoffModel:
     """Per-language log frequencies of words and of character n-grams that training met LEAST times or more.
 
     A table is an index {key: row} and a matrix with a column for each language.
+    `known` tells which words training met that often in which language, and
+    `least_share` is what familiar texts have of these.
     """
 
     def __init__(self, samples: Iterator[tuple[str, str]]):
         words: dict[str, Counter[str]] = {}
+        probes: list[tuple[str, str]] = []
         for lang, text in samples:
             words.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
+            probes.append((lang, text[:PROBE].lower()))
         self.langs = sorted(words)
         self.tables = [self._logs(words)]
+        self.known = np.array([[words[g][k] >= LEAST for g in self.langs] for k in self.tables[0][0]], bool).reshape(len(self.tables[0][0]), len(self.langs))
+        self.least_share = self._least_share(words, probes)
         for size in range(1, LONGEST + 1):
             grams: dict[str, Counter[str]] = {g: Counter() for g in self.langs}
             for lang, counts in words.items():
@@ -57,6 +70,16 @@ class BackoffModel:
         size = np.array([sum(level[g].values()) for g in self.langs], float)
         return {k: i for i, k in enumerate(keys)}, np.log((counts + 0.5) / (size + 0.5 * len(keys))).astype(np.float32)
 
+    @staticmethod
+    def _least_share(words: dict[str, Counter[str]], probes: list[tuple[str, str]]) -> float:
+        shares = []
+        for lang, text in probes:
+            own = Counter(_WORDS.findall(text))
+            if own:
+                met, n = sum(c for w, c in own.items() if words[lang][w] - c >= LEAST), own.total()
+                shares.append((met + SPARED) / (n + SPARED))
+        return PART * float(np.quantile(shares, QUANTILE)) if shares else 0.0
+
     def word(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word that training didn't meet; None if not even a letter of it is known."""
         for size in range(LONGEST, 0, -1):
@@ -68,9 +91,13 @@ class BackoffModel:
 
     def predict(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float]:
         """(language, posterior under equal priors); ('und', 0.0) for a null text, one without letters or an untrained model."""
+        return self.judge(text, memory)[:2]
+
+    def judge(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float, float]:
+        """predict() and the share of the text's words that are known in that language."""
         counts = Counter(_WORDS.findall(text.lower())) if text else {}
         if not counts or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         index, logs = self.tables[0]
         rows, times = [], []
         total, n = np.zeros(len(self.langs)), 0
@@ -94,7 +121,9 @@ class BackoffModel:
         # Words of a text aren't independent: the evidence of at most 50 counts.
         total *= min(n, 50) / max(n, 1)
         p = np.exp(total - total.max())
-        return self.langs[int(p.argmax())], float(p.max() / p.sum())
+        best = int(p.argmax())
+        met = int(np.array(times) @ self.known[rows, best]) if rows else 0
+        return self.langs[best], float(p.max() / p.sum()), (met + SPARED) / (counts.total() + SPARED)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -114,14 +143,14 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text
 
 
 def language_of(model: BackoffModel, spark):
-    """A column function text -> struct(lang, score)."""
+    """A column function text -> struct(lang, score, share)."""
     sent = spark.sparkContext.broadcast(model)
     memory: dict[str, np.ndarray | None] = {}
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, share double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
-        return pd.DataFrame([m.predict(t, memory) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([m.judge(t, memory) for t in texts], columns=["lang", "score", "share"])
 
     return predict
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import duckdb
 import pytest
@@ -83,3 +85,24 @@ def test_stages_decide_row_by_row(spark):
     for name in ("language", "quality"):
         assert stages[name](spark, docs.withColumn("lang", F.lit("en")), SF).count() == 4, name
     assert stages["packing"](spark, docs, SF).count() == 4
+
+
+FOREIGN = {
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Latin": "Gallia est omnis divisa in partes tres quarum unam incolunt Belgae aliam Aquitani tertiam qui ipsorum lingua Celtae nostra Galli appellantur",
+    "letters": " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=2 + i % 8)) for i in range(200)),
+}
+
+
+def test_language_stage_rejects_what_no_learned_language_has(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    low = docs.agg(F.min("doc_id")).first()[0]
+    rows = [tuple({"doc_id": low - 1 - i, "text": t}.get(f.name) for f in docs.schema) for i, t in enumerate(FOREIGN.values())]
+    out = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert not {low - 1 - i for i in range(len(FOREIGN))} & kept
+    # All that the posterior lets pass, held-out rows among them, stays.
+    model, memory = langid.train(docs), {}
+    want = {r["doc_id"] for r in docs.collect() if model.predict(r["text"], memory)[1] >= corpus_pipeline.SURE}
+    assert kept == want and len(want) > 900
