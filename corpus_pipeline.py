@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, mixing, packing, quality
@@ -40,10 +40,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id.
 
-    Rows without an id are linked with nothing and all kept.
+    Of rows that repeat that id the one with the longest text stays. Rows
+    without an id are linked with nothing and all kept.
     """
     kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    place = unused_name(docs, "place")
+    order = Window.partitionBy("doc_id").orderBy(F.length(F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))).desc_nulls_last(), "text")
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,16 +76,16 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+            for i, mark, text in zip(pdf["id"], pdf["mark"], pdf["text"], strict=True):
                 h = shingles(text, words)
                 if len(h):
                     s = signature(h)
-                    rows.append((i, len(h), xxhash.xxh3_128_digest(h.tobytes()), s.tobytes(), (s & 255).astype(np.uint8).tobytes()))
+                    rows.append((i, mark, len(h), xxhash.xxh3_128_digest(h.tobytes()), s.tobytes(), (s & 255).astype(np.uint8).tobytes()))
                 else:
-                    rows.append((i, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "same", "minhash", "sketch"])
+                    rows.append((i, mark, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["id", "mark", "n", "same", "minhash", "sketch"])
 
-    return docs.mapInPandas(each, "id long, n long, same binary, minhash binary, sketch binary")
+    return docs.mapInPandas(each, "id long, mark long, n long, same binary, minhash binary, sketch binary")
 
 
 def _close(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, percent: int) -> np.ndarray:
@@ -228,16 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of shingles; component_id is the smallest id that links reach, kept
     marks that document. Documents without words (null or blank texts) have an
     empty set and are linked with nothing. Rows that repeat an id share its
-    component. A row whose id is null is linked with nothing, has a null
+    component, which the links of all their texts make up. A row whose id is null is linked with nothing, has a null
     component_id and is kept. An empty table gives an empty result; other
     columns of docs are ignored.
     """
     least = int(VALUES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5))
     own = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = own.withColumn("mark", F.xxhash64("text"))  # tells the texts of one id apart
     signed = checkpointed(_signatures(own, words))
-    # Equal sets are one vertex, named after the smallest id.
-    vertex = signed.filter((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("same").agg(F.min("id").alias("rep"))
-    reps = checkpointed(signed.join(vertex, "same").filter("id = rep").dropDuplicates(["rep"]).select("rep", "n", "minhash", "sketch"))
+    # Equal sets are one vertex, numbered in the order of their smallest ids; one id may have several.
+    usable = signed.filter((F.col("n") > 0) & (F.col("id") != NO_ID)).select("id", "mark", "same")
+    vertex = usable.groupBy("same").agg(F.min(F.struct("id", "mark")).alias("first")).select("same", "first.*")
+    vertex = checkpointed(vertex.orderBy("id", "same").withColumn("rep", F.monotonically_increasing_id()))
+    reps = checkpointed(signed.join(vertex.withColumnRenamed("id", "least").withColumnRenamed("mark", "its"), "same").filter("id = least AND mark = its").dropDuplicates(["rep"]).select("rep", "n", "minhash", "sketch"))
 
     def prefix(tree: int, values: int):
         return F.xxhash64(F.lit(tree), F.substring("minhash", tree * DEPTH * 4 + 1, values * 4))
@@ -253,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = small.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_best_earlier(least, percent), "b long, a long, agree int")
     best = checkpointed(found.groupBy("b").agg(F.max(F.struct(F.col("agree"), (-F.col("a")).alias("neg"))).alias("m")).select("b", (-F.col("m.neg")).alias("a")))
     needed = best.select(F.col("b").alias("id")).unionByName(dense.select(F.col("rep").alias("id"))).distinct()
-    texts = checkpointed(own.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    first_of = vertex.join(needed.withColumnRenamed("id", "rep"), "rep").select("id", "mark", "rep")
+    texts = checkpointed(own.join(first_of, ["id", "mark"]).dropDuplicates(["id", "mark"]).select(F.col("rep").alias("id"), "text"))
     first = best.filter("a is not null").select("a", "b")
     sets = checkpointed(_full_sets(texts.join(dense.select(F.col("rep").alias("id")), "id", "left_semi"), words))
     n5, n8 = (dense.groupBy(k).agg(F.count("*").alias(f"n_{k}")) for k in ("k5", f"k{DEPTH}"))
@@ -281,10 +285,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sides = probes.withColumn("probe", F.lit(True)).unionByName(stock.withColumn("probe", F.lit(False)))
     sides = sides.select(F.xxhash64("key", "chunk", "shelf").alias("blk"), "rep", "n", "comp", "probe").join(sets, "rep")
     across = sides.groupBy("blk").applyInPandas(_linked_within(percent), "a long, b long")
-    final = connected_components(links.unionByName(more).unionByName(across)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-
-    ids = vertex.join(final, "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
-    named = signed.select("id", "n", "same").join(ids, "same", "left")
+    # The vertices of one id are one component, whose smallest number is that of its smallest id.
+    several = usable.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo < hi").select("id")
+    members = usable.join(several, "id", "left_semi").select("id", "same").distinct().join(vertex.select("same", "rep"), "same")
+    shared_id = members.join(members.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
+    final = connected_components(links.unionByName(more).unionByName(across).unionByName(shared_id)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+
+    ids = vertex.select("same", "rep").join(final, "rep", "left").select("same", F.coalesce("comp", "rep").alias("rep"))
+    ids = ids.join(vertex.select("rep", F.col("id").alias("comp")), "rep").select("same", "comp")
+    by_id = usable.join(ids, "same").groupBy("id").agg(F.min("comp").alias("comp"))
+    named = signed.select("id", "n").join(by_id, "id", "left")
     component = F.when(F.col("id") != NO_ID, F.coalesce("comp", "id"))
     return named.select(
         unpacked_id("id").alias(id_col),

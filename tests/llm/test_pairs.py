@@ -97,6 +97,21 @@ def test_near_duplicates_edge_cases(spark):
     assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("2", 2, "1", False), ("3", 0, "3", True), ("None", 2, "None", True)]
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch, block):
+    """Every text of an id is linked, in whatever order the rows come."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SIDE", 2 * block)
+    rng = random.Random(11)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    near = lambda base: " ".join(edited(rng, base, 2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, " ".join(c)), (5, near(c)), (5, " ".join(a)), (6, " ".join(words(rng, 200))), (9, near(c)), (9, None), (8, None), (8, None)]
+    want = {i: 1 for i in (1, 2, 3, 4, 5, 9)} | {6: 6, 8: 8}
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, j, i == j) for i, j in want.items()}
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (300, 299), (300, 299)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

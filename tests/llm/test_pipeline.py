@@ -77,6 +77,9 @@ def test_stages_decide_row_by_row(spark):
     docs = spark.createDataFrame([full(doc_id=None, text=t, lang="en", source="s") for t in texts], schema)
     stages = dict(corpus_pipeline.STAGES)
     assert sorted(r["text"] for r in stages["near_dedup"](spark, docs, SF).collect()) == sorted(texts)
+    repeated = [(7, texts[0]), (7, texts[0]), (7, texts[1]), (8, texts[1]), (9, None), (9, "  "), (None, texts[0])]
+    copies = spark.createDataFrame([full(doc_id=i, text=t, lang="en", source="s") for i, t in repeated], schema)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in stages["near_dedup"](spark, copies, SF).collect()) == [("7", texts[1]), ("9", "  "), ("None", texts[0])]
     # The null ids tie, so the two short ones come first and fit into 0.8 of 24 tokens.
     assert sorted(r["text"] for r in stages["mixing"](spark, docs, SF).collect()) == sorted([texts[0], texts[2]])
     docs = spark.createDataFrame([full(doc_id=1, text=" ".join(["w"] * n), lang="en", source="s") for n in (2, 3, 40)], schema)
