@@ -91,7 +91,7 @@ def budgets(rows: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, weigh
     return parent.select(*LEVELS, "rows", "supply", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
-def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, part_rows: int = PART_ROWS, crossing: bool = False) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch and start for every selection of a row.
 
     rows comes from leaves(), plan from budgets(). A leaf takes its rows whole in
@@ -100,6 +100,9 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     the number of the leaf's tokens before the row in that order. Rows without
     words are never taken. Rows that repeat an id are selected each; where their
     order is tied, the longer one comes last. Further columns of rows follow.
+
+    With `crossing` the row that crosses the end of the budget is taken, too, and
+    its tokens are those that fit, so every leaf gets its whole budget.
     """
     key = list(LEVELS)
     more = [c for c in rows.columns if c not in ("doc_id", *key, "tokens")]
@@ -118,4 +121,12 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     ahead = sums.select(*key, "epoch", "part", (F.sum("sum").over(upto) - F.col("sum")).alias("ahead"))
     within = Window.partitionBy(*key, "epoch", "part").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = drawn.join(ahead, [*key, "epoch", "part"]).withColumn("start", F.col("ahead") + F.sum("tokens").over(within) - F.col("tokens"))
+    if crossing:
+        placed = placed.filter(F.col("start") < F.col("left")).withColumn("tokens", F.least("tokens", F.col("left") - F.col("start")).cast("long"))
     return placed.filter(F.col("start") + F.col("tokens") <= F.col("left")).select("doc_id", *key, "tokens", "epoch", "start", *more)
+
+
+def achieved(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    """domain, lang, source, supply, budget and taken (tokens that mix() selected) of every leaf of the plan."""
+    taken = drawn.groupBy(*LEVELS).agg(F.sum("tokens").alias("taken"))
+    return plan.join(taken, list(LEVELS), "left").select(*LEVELS, "supply", "budget", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

@@ -76,6 +76,17 @@ def test_mixture_edge_cases(spark):
     assert mixing.mix(empty, mixing.budgets(empty)).collect() == []
 
 
+def test_mixture_reaches_its_budgets_with_the_crossing_row(spark):
+    rows = [(i, "w " * (900 if i == 3 else 1 + i % 9), "en", f"s{i % 2}", "x") for i in range(200)] + [(900, "w " * 5000, "de", "long", "x")]
+    leaves = mixing.leaves(spark.createDataFrame(rows, DOC))
+    for share in (0.3, 1.3, 2.0):
+        plan = mixing.budgets(leaves, share, 2)
+        whole = mixing.achieved(plan, mixing.mix(leaves, plan, 2, part_rows=7, crossing=True)).collect()
+        assert len(whole) == 3 and all(r["taken"] == r["budget"] for r in whole)
+        short = {(r["source"]): r["taken"] for r in mixing.achieved(plan, mixing.mix(leaves, plan, 2, part_rows=7)).collect()}
+        assert all(short[r["source"]] <= r["budget"] for r in whole) and (share != 0.3 or short["long"] == 0)
+
+
 def test_shards_have_equal_bytes_and_gapless_places(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, "é" * rng.choice([0, 1, 10, 100, 900])) for i in range(1500)] + [(1501, "x" * 20_000), (1502, None), (7, "again"), (None, "none")]
