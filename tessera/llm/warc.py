@@ -25,9 +25,14 @@ RECORD = "record_id string, warc_type string, refers_to string, target_uri strin
 FIRST = ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type"]
 COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type"]
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|$)", re.S | re.I)
+# A head without an end tag ends at <body or at what no head holds.
+_HIDDEN = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)|<head\b(?:(?:(?!<body\b).)*?</head\s*>"
+    r"|[^>]*>(?:\s|<!--.*?-->|<(script|style|title|template|noscript)\b.*?</\2\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>)*)",
+    re.S | re.I,
+)
 _BREAKS = re.compile(r"\s*</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|form|body|html|title)\b[^>]*>\s*", re.I)
-_TAGS = re.compile(r"<[^>]*>")
+_TAGS = re.compile(r"<[a-z/!?][^>]*>", re.I)
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r"\s*\n\s*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)

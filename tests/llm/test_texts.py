@@ -123,6 +123,17 @@ def test_page_text_and_fields():
     assert warc.page_text("") == warc.page_text("<p>") == "" and warc.page_text("a < b") == "a < b"
 
 
+def test_text_of_pages_without_an_end_of_head_and_with_comparisons():
+    assert warc.page_text("<html><head><title>x</title><body><p>Hello world") == "Hello world"
+    head = "<head lang=en>\n<meta charset=a><script>if (a) { '<p>' }</script><!-- <body> --><link href=b><title>x</title>"
+    for rest in ("<p>Hello", "Hello", "<body class=c>Hello", "</head><body>Hello", "</head>Hello"):
+        assert warc.page_text(head + rest) == "Hello"
+    assert warc.page_text("<head><title>x</title></head><header>top</header>") == "top"
+    assert warc.page_text("<head><title>x</title><header>top</header>") == "top"
+    assert warc.page_text("if a < b and c > d") == "if a < b and c > d"
+    assert warc.page_text("1 <2 or 3> <!doctype html><?xml?><b>bold</b></p x><I>it</I>") == "1 <2 or 3> bold\nit"
+
+
 def test_derivatives_refer_to_their_responses_and_survive_a_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, "http://b/", None), (3, "http://c/", "plain\r\n\r\ntext")], "page_id long, url string, html string")
     responses = warc.responses_from_pages(pages)
