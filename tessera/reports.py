@@ -20,10 +20,10 @@ def cell(name: str, value) -> str:
     return str(value)
 
 
-def text(df: DataFrame, title: str, columns: Sequence[str] | None = None, limit: int = 200) -> str:
-    """A table of at most `limit` rows."""
+def text(df: DataFrame, title: str, columns: Sequence[str] | None = None) -> str:
+    """A table of all rows."""
     columns = list(columns or df.columns)
-    rows = [[cell(c, r[c]) for c in columns] for r in df.select(*columns).limit(limit).collect()]
+    rows = [[cell(c, r[c]) for c in columns] for r in df.select(*columns).collect()]  # of a book, a list of symbols or scenarios
     widths = [max(map(len, col)) for col in zip(columns, *rows, strict=True)]
     line = lambda r: "  ".join(x.rjust(w) for x, w in zip(r, widths, strict=True))
     return "\n".join([title, line(columns), line(["-" * w for w in widths]), *map(line, rows)])

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import errors
+from tessera import errors, reports
 from tessera.functions import solve, special
 from tessera.operators import backtest, covariance, coverage, crosscheck, decompose, exposures, optimize, rebalance, regression, returns, stats, stress, var, views
 
@@ -403,3 +403,9 @@ def test_rebalance_by_hand(spark):
     assert {r["symbol"]: r["action"] for r in mixed.collect()} == dict.fromkeys(("A", "OLD", "NEW"), "skip")
     with pytest.raises(errors.RebalanceError):
         rebalance.plan(now, now, None)
+
+
+def test_reports_print_every_row(spark):
+    book = spark.range(450).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("symbol"), F.lit(0.25).alias("weight"))
+    lines = reports.text(book, "weights").split("\n")
+    assert len(lines) == 3 + 450 and lines[-1].split() == ["N449", "25.00%"]
