@@ -77,7 +77,7 @@ def derivatives(record: dict) -> list[tuple]:
     block = record["block"] or ""
     headers = dict(record["headers"] or {})
     status, http, body = split_http(block)
-    source = {k: v for k, v in headers.items() if k in ("WARC-Block-Digest", "WARC-Payload-Digest", "WARC-IP-Address")}
+    source = {k: v for k, v in headers.items() if k.lower() != "content-length"}
     source.setdefault("WARC-Payload-Digest", digest(body.encode("utf-8", "surrogatepass")))
     own = {f"WARC-Source-{k.removeprefix('WARC-')}": v for k, v in source.items()}
     fields = [("via-status", status)] if status else []

@@ -155,6 +155,14 @@ def test_derivatives_refer_to_their_responses_and_survive_a_round_trip(spark, tm
     assert {k: (r["record_id"], r["refers_to"], r["block"]) for k, r in back.items()} == {k: (r["record_id"], r["refers_to"], r["block"]) for k, r in rows.items()}
 
 
+def test_derivatives_carry_every_header_of_the_response():
+    given = {"WARC-Concurrent-To": "<q>", "WARC-Warcinfo-ID": "<i>", "WARC-Truncated": "length", "WARC-Payload-Digest": "sha1:x", "Content-Length": "8"}
+    record = {"record_id": "<r>", "target_uri": "u", "date": "d", "headers": given, "block": "not http"}
+    for made in warc.derivatives(record):
+        assert {k: v for k, v in made[6].items() if k.startswith("WARC-Source-")} == {k.replace("WARC-", "WARC-Source-"): v for k, v in given.items() if k != "Content-Length"}
+        assert made[6]["Content-Length"] == str(len(made[7].encode()))
+
+
 def test_derivatives_of_odd_records(spark):
     rows = [(None, "response", None, "u", None, None, None, None), ("<r>", "request", None, "u", None, None, None, "x"), ("<r>", "response", None, None, None, None, {}, "not http"), ("<r>", "response", None, None, None, None, {}, "not http")]
     df = spark.createDataFrame(rows, warc.RECORD).withColumn("extra", F.lit(1))
