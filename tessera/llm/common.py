@@ -16,18 +16,54 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares: the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir. Only a session without that
-    setting (tests, local mode) gets a temporary folder of its own.
+    Only a local session without that setting (tests) gets a temporary folder of
+    its own; on a cluster, executors would write to their own disks there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def forget(*checkpoints: DataFrame) -> None:
+    """Removes the files of checkpoints that nothing reads any more."""
+    for df in checkpoints:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are joined by broadcast at most, because each has more than its share of the rows.
+HOT_KEYS = 1_000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with small on key, where `count` tells how many rows have the key, and `total` how many there are.
+
+    At most HOT_KEYS keys can have over total / HOT_KEYS rows each: those are
+    broadcast, so that their rows stay where they are.
+    """
+    least = max(10_000, total // HOT_KEYS + 1)
+    hot = F.broadcast(small.filter(F.col(count) >= least))
+    cold = small.filter(F.col(count) < least)
+    if hot.isEmpty():
+        return rows.join(small, key)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,3 +124,19 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
 def fixed_bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """A binary column whose values all have `width` bytes, as a matrix of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that the links (i, j) reach."""
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+    return root

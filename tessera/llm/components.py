@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, forget
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,9 +14,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps until every edge points from a
     component's smallest node to a member. A step hands each node only the
     minimum of its neighbours, so a hub's neighbours are never gathered, and
-    links stay distributed. Every round is checkpointed: lost executors cost one
-    round. Self-links and links with a null end are ignored; repeated links
-    count once; no links give an empty table.
+    links stay distributed. Every round is checkpointed and the round before
+    removed: lost executors cost one round. Self-links and links with a null end
+    are ignored; repeated links count once; no links give an empty table.
     """
     ends = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     edges = checkpointed(ends.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v"))).distinct())
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v").filter("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        edges = checkpointed(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
+        before, edges = edges, checkpointed(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
+        forget(before)
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
         edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )

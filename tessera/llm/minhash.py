@@ -1,20 +1,25 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Each document's set of word shingles is summed up by TREES * DEPTH MinHash
-values, dealt to TREES orders of DEPTH values each. Sorting an order by its values puts documents with a long common prefix
-side by side; candidates are the rows that share the first ROOT values of some
-order. In a region of at most BLOCK such rows each is held against the others.
-A larger, dense region is cut at longer prefixes until its blocks are small, and
-a block finds all its links on full shingle sets without sending out pairs.
-
-What longer prefixes separate comes together in a second pass: of each region,
-the rows outside its largest component so far are held against all rows, in
-blocks. So no pair of a region stays unseen unless both ends are linked already,
-and yet n near copies, once joined, cost n comparisons rather than n squared.
-
-In small regions candidates first pass on 8-bit values of the whole signature (a
-filter five standard deviations below the threshold); every link is confirmed on
-full shingle sets.
+values, dealt to TREES orders of DEPTH values each. An order is sorted by its
+values; rows next to each other have a longest common prefix, and the runs of
+rows with a common prefix of d values are the forest's nodes at depth d. Rows
+that share ROOT values of some order are a region.
+
+The depth adapts to the region. In one of at most BLOCK rows all rows are
+candidates of each other, if 4-bit values of their whole signatures agree often
+enough (five standard deviations below the threshold). A denser region descends
+until its nodes hold at most BLOCK rows; since that separates rows which may be
+linked, its rows also stay candidates as a whole, for an exact search.
+
+Candidates travel as pairs of numbers, at most one for each row of a region, and
+only the groups that they connect matter: a group's texts are fetched once, and
+its links found on full shingle sets by their rarest shingles. (Of two sets that
+are similar enough, each has a shingle of the other among its rarest
+n - ceil(percent * n) + 1.) A group too large for a task is first cut by the same
+rule, as joins: rows that share no rare shingle part. What is still too large is
+a real crowd of near copies: the forest's nodes link most of it, and rows outside
+its largest component are held against all others in blocks.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, NO_ID, checkpointed, fixed_bytes, packed_id, run_starts, unpacked_id, whole_groups
+from tessera.llm.common import ASCII_LOWER, NO_ID, checkpointed, fixed_bytes, forget, join_hot, packed_id, roots, run_starts, unpacked_id, whole_groups
 from tessera.llm.components import connected_components
 
 TREES, DEPTH, ROOT = 16, 8, 3
 VALUES = TREES * DEPTH
-#: Rows of a region that needs no cutting; rows of either side of a block in the second pass.
-BLOCK, SIDE = 256, 512
+#: Rows of a node that are all held against each other; rows of a region that one task sorts.
+BLOCK, HOT = 256, 8_192
+#: Rows, and shingles, of a group of candidates that one task links; rows of either side of a block beyond that.
+GROUP, GROUP_SHINGLES, SIDE = 8_192, 4_000_000, 512
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -63,13 +70,19 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """The MinHash values (32 bits each) of a set that isn't empty."""
+    """The MinHash values (16 middle bits of each) of a set that isn't empty."""
     low = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4096):
-        part = h[None, i : i + 4096] * _MUL[:, None]
+    for i in range(0, len(h), 1024):
+        part = h[None, i : i + 1024] * _MUL[:, None]
         part += _ADD[:, None]
         np.minimum(low, part.min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(">u4")
+    return (low >> np.uint64(28) & np.uint64(0xFFFF)).astype(">u2")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Four bits of each value of a signature."""
+    bits = (s >> 4 & 15).astype(np.uint8)
+    return (bits[::2] << 4 | bits[1::2]).tobytes()
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -80,7 +93,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 h = shingles(text, words)
                 if len(h):
                     s = signature(h)
-                    rows.append((i, mark, len(h), xxhash.xxh3_128_digest(h.tobytes()), s.tobytes(), (s & 255).astype(np.uint8).tobytes()))
+                    rows.append((i, mark, len(h), xxhash.xxh3_128_digest(h.tobytes()), s.tobytes(), sketch(s)))
                 else:
                     rows.append((i, mark, 0, None, None, None))
             yield pd.DataFrame(rows, columns=["id", "mark", "n", "same", "minhash", "sketch"])
@@ -88,16 +101,16 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(each, "id long, mark long, n long, same binary, minhash binary, sketch binary")
 
 
-def _close(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """How many of the sketch's values agree for each pair of rows (i, j), 0 where too few or the sizes alone forbid a link."""
+def _close(sketches: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Whether sizes allow a link and `least` values of the sketches agree, for each pair of rows (i, j)."""
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    agree = np.zeros(len(i), np.int16)
-    ok = np.flatnonzero(100 * small >= percent * large)
+    close = 100 * small >= percent * large
+    ok = np.flatnonzero(close)
     for at in range(0, len(ok), 1 << 16):
         part = ok[at : at + (1 << 16)]
-        agree[part] = (sketch[i[part]] == sketch[j[part]]).sum(axis=1)
-    agree[agree < least] = 0
-    return agree
+        x = sketches[i[part]] ^ sketches[j[part]]
+        close[part] = (x & 15 == 0).sum(axis=1) + (x >> 4 == 0).sum(axis=1) >= least
+    return close
 
 
 def _pairs_in_runs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,112 +126,170 @@ def _pairs_in_runs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         later = later[place[later] >= step]
 
 
-def _best_earlier(least: int, percent: int):
-    """Of each row, the closest row of its region with a smaller id (null if it has only larger partners)."""
+def nodes(part: np.ndarray, key: np.ndarray, block: int) -> np.ndarray:
+    """The node of each row of an order (sorted by part, key): of nodes with at most `block` rows the one nearest to the root.
+
+    A node is the run of rows whose longest common prefix with the row before
+    reaches its depth; a run that is too large even at full depth is cut.
+    """
+    rows = np.arange(len(part))
+    prefix = np.zeros(len(part), np.int64)  # longest common prefix with the row before
+    same = part[1:] == part[:-1]
+    prefix[1:][same] = np.logical_and.accumulate(key[1:][same] == key[:-1][same], axis=1).sum(axis=1)
+    start = np.full(len(part), -1)
+    for depth in range(ROOT, DEPTH + 1):
+        first = np.maximum.accumulate(np.where(prefix < depth, rows, 0))
+        size = np.bincount(first, minlength=len(part))[first]
+        fits = (start < 0) & (size <= block)
+        start[fits] = first[fits]
+    full = start < 0
+    start[full] = first[full] + (rows - first)[full] // block * block
+    return start
+
+
+def _candidates(least: int, percent: int, block: int):
+    """(a, b, null): rows that candidates connect; (row, null, node): the nodes of dense regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key"):
-            ids, n, sketch = t.column("rep").to_numpy(), t.column("n").to_numpy(), fixed_bytes(t.column("sketch"), VALUES)
-            best, of, touched = np.zeros(len(ids), np.int16), np.full(len(ids), -1), np.zeros(len(ids), bool)
-            for i, j in _pairs_in_runs(t.column("key").to_numpy()):
-                agree = _close(sketch, n, i, j, least, percent)
-                hit = agree > 0
-                touched[i[hit]] = touched[j[hit]] = True
-                up = agree > best[j]
-                best[j[up]], of[j[up]] = agree[up], i[up]
-            for at in np.array_split(np.flatnonzero(touched), 1 + int(touched.sum()) // 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[of[at]], mask=of[at] < 0), pa.array(best[at].astype(np.int32))], ["b", "a", "agree"])
+        for t in whole_groups(batches, "part"):
+            part, rep, n, g, anchor = (t.column(c).to_numpy() for c in ("part", "rep", "n", "g", "anchor"))
+            sketches = fixed_bytes(t.column("sketch"), VALUES // 2)
+            node = nodes(part, fixed_bytes(t.column("key"), 2 * DEPTH), block) if len(part) else part
+            dense = g > block
+            pairs = [(i[hit], j[hit]) for i, j in _pairs_in_runs(np.where(dense, -1 - np.arange(len(node)), node)) if (hit := _close(sketches, n, i, j, least, percent)).any()]
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (node[:0], node[:0])
+            root = roots(len(rep), i, j)
+            near, crowd = np.flatnonzero(root != np.arange(len(rep))), np.flatnonzero(dense)
+            own = part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (node - run_starts(part)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            a = np.r_[rep[root[near]], anchor[crowd], rep[crowd]]
+            b = np.r_[rep[near], rep[crowd], rep[crowd]]
+            which = np.r_[np.zeros(len(near) + len(crowd), np.int64), own.astype(np.int64)[crowd]]
+            told = np.r_[np.zeros(len(near) + len(crowd), bool), np.ones(len(crowd), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=told), pa.array(which, mask=~told)], ["a", "b", "node"])
 
     return run
 
 
-def _met_before(roots: np.ndarray, tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether rows i and j share a region of an order before this one, where they meet, too."""
-    same = roots[i] == roots[j]
-    return (same & (np.arange(TREES)[None, :] < tree[i][:, None])).any(axis=1)
-
+def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of places in `sets` (sorted hashes, none empty) that link all that is linked: a spanning forest.
 
-def _across(least: int, percent: int):
-    """All close pairs of a region whose ends are in different components, each in the first order where they meet."""
+    Each set is looked up by its rarest shingles among those not yet reached.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, value, times = np.unique(flat, return_inverse=True, return_counts=True)
+    del flat
+    edge = np.r_[0, np.cumsum(n)]
+    order = np.lexsort((value, times[value], owner))
+    rare = np.arange(len(value)) - edge[owner] < (n - -(-percent * n // 100) + 1)[owner]
+    listed, holder = value[order][rare], owner[rare]
+    probes = [listed[a:b] for a, b in zip(*(np.searchsorted(holder, np.arange(len(n)) + k) for k in (0, 1)), strict=True)]
+    by = np.argsort(listed, kind="stable")
+    listed, holder = listed[by], holder[by]
+    seen, met, out, reached = np.zeros(len(n), bool), np.zeros(len(times), bool), [], 0
+    for start in range(len(n)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            reached += 1
+            if reached * 2 > len(n) - reached and reached % 64 == 0:
+                left = ~seen[holder]
+                listed, holder = listed[left], holder[left]
+            lo, hi = np.searchsorted(listed, probes[i], "left"), np.searchsorted(listed, probes[i], "right")
+            size = hi - lo
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            found = np.unique(holder[at])
+            found = found[~seen[found] & (100 * np.minimum(n[i], n[found]) >= percent * np.maximum(n[i], n[found]))]
+            if not len(found):
+                continue
+            met[value[edge[i] : edge[i + 1]]] = True
+            both = np.array([np.count_nonzero(met[value[edge[k] : edge[k + 1]]]) for k in found])
+            met[value[edge[i] : edge[i + 1]]] = False
+            new = found[100 * both >= percent * (n[i] + n[found] - both)]
+            seen[new] = True
+            out += [(i, int(k)) for k in new]
+            todo += new.tolist()
+    return out
+
+
+def _linked(rows: DataFrame, key: str, words: int, percent: int) -> DataFrame:
+    """(a, b): links that span what is linked in each group of rows (key, rep, text); groups have a bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key"):
-            ids, n, comp, tree = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "tree"))
-            sketch = fixed_bytes(t.column("sketch"), VALUES)
-            roots = np.array(t.column("roots").to_pylist(), np.int64)
-            for i, j in _pairs_in_runs(t.column("key").to_numpy()):
-                use = comp[i] != comp[j]
-                i, j = i[use], j[use]
-                hit = _close(sketch, n, i, j, least, percent) > 0
-                i, j = i[hit], j[hit]
-                new = ~_met_before(roots, tree, i, j)
-                if new.any():
-                    x, y = ids[i[new]], ids[j[new]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for t in whole_groups(batches, key, 500):
+            group, rep = t.column(key).to_numpy(), t.column("rep").to_numpy()
+            first = np.flatnonzero(run_starts(group) == np.arange(len(group)))
+            out = []
+            for lo, hi in zip(first, [*first[1:], len(group)], strict=True):
+                if hi - lo > 1:
+                    sets = [shingles(x, words) for x in t.column("text").slice(lo, hi - lo).to_pylist()]
+                    out += [(rep[lo + i], rep[lo + j]) for i, j in links_within(sets, percent)]
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return run
+    return rows.select(key, "rep", "text").repartition(key).sortWithinPartitions(key, "rep").mapInArrow(run, "a long, b long")
 
 
-def _linked_within(percent: int):
-    """Links that span what is linked within a block, found on the full sets of its rows; no pair leaves the task otherwise.
+def _parted(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rep, comp): members (comp, rep) that share a rare shingle, directly or not; those that share none are gone."""
 
-    Rows with `probe` are held against all rows of the block. Rows that have a
-    component already are not linked within it again.
-    """
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingles(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"comp": pdf["comp"], "rep": pdf["rep"], "n": [len(f) for f in found], "all": [f.view(np.int64) for f in found]})
+
+    rows = members.select("comp", "rep").join(texts, "rep").select("comp", "rep", "text").mapInPandas(explode, "comp long, rep long, n long, all array<long>")
+    each = checkpointed(rows.select("comp", "rep", "n", F.explode("all").alias("s")))
+    often = each.groupBy("comp", "s").agg(F.count("*").alias("c")).filter("c > 1")
+    own = each.join(often, ["comp", "s"]).groupBy("comp", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("own"))  # of one document
+    # Shingles that no other row has come first among the rarest.
+    open_ = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("own"))
+    rare = checkpointed(own.withColumn("open", open_.cast("int")).filter("open > 0").select("comp", "rep", F.explode(F.slice("own", F.lit(1), F.col("open"))).alias("x")).select("comp", "rep", "x.s"))
+    least = rare.groupBy("comp", "s").agg(F.min("rep").alias("a"))
+    found = connected_components(rare.join(least, ["comp", "s"]).select("a", F.col("rep").alias("b")))
+    forget(each)
+    return found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+
+
+def _crowds(members: DataFrame, crowd: DataFrame, texts: DataFrame, words: int, percent: int, side: int) -> DataFrame:
+    """(a, b): links of groups (comp, rep) too large for a task: within the forest's nodes, then of what is still apart."""
+    rows = members.select("rep", F.col("comp").alias("whole")).join(texts, "rep")
+    first = checkpointed(_linked(crowd.join(rows, "rep").withColumn("key", F.xxhash64("node", "whole")), "key", words, percent))
+    part = connected_components(first).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    placed = checkpointed(members.select("rep", F.col("comp").alias("whole")).join(part, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+    sizes = placed.groupBy("whole", "comp").agg(F.count("*").alias("c")).groupBy("whole").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    apart = placed.join(sizes.select("whole", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("rest")).filter("rest > 0"), "whole")
+    chunks, shelves = F.ceil(F.col("rest") / side).cast("int"), F.ceil(F.col("all") / side).cast("int")
+    chunk, shelf = F.pmod(F.xxhash64(F.lit(1), "rep"), chunks).cast("int"), F.pmod(F.xxhash64(F.lit(2), "rep"), shelves).cast("int")
+    probes = apart.filter("comp <> main").withColumn("chunk", chunk).withColumn("shelf", F.explode(F.sequence(F.lit(0), shelves - 1)))
+    stock = apart.withColumn("shelf", shelf).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    sides = probes.withColumn("probe", F.lit(True)).unionByName(stock.withColumn("probe", F.lit(False)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["probe", "rep"], ascending=[False, True]).drop_duplicates("rep")
-        ids, n, comp = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
+        ids, sets = pdf["rep"].to_numpy(), [shingles(t, words) for t in pdf["text"]]
+        n = np.array([len(s) for s in sets])
+        _, root = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], np.repeat(np.arange(len(ids)), n)[order]
-        _, root = np.unique(comp, return_inverse=True)
         out = []
         for i in np.flatnonzero(pdf["probe"].to_numpy()):
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             size = hi - lo
             at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             both = np.bincount(owner[at], minlength=len(ids))
-            linked = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (root != root[i]))
-            for j in linked:
+            for j in np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (root != root[i])):
                 if root[i] != root[j]:
                     root[root == root[j]] = root[i]
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return run
-
-
-def _full_sets(texts: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["id"], "hashes": [shingles(t, words).tobytes() for t in pdf["text"]]})
-
-    return texts.select("id", "text").mapInPandas(run, "rep long, hashes binary")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets: dict[int, np.ndarray] = {}
-            keep = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-                for k, text in ((a, x), (b, y)):
-                    if k not in sets:
-                        if len(sets) > 64:
-                            sets.clear()
-                        sets[k] = shingles(text, words)
-                p, q = sets.get(a), sets.get(b)
-                p = shingles(x, words) if p is None else p
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    x, y = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    sides = sides.select(F.xxhash64("whole", "chunk", "shelf").alias("key"), "rep", "comp", "probe").join(texts, "rep")
+    return first.unionByName(sides.groupBy("key").applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -228,77 +299,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of shingles; component_id is the smallest id that links reach, kept
     marks that document. Documents without words (null or blank texts) have an
     empty set and are linked with nothing. Rows that repeat an id share its
-    component, which the links of all their texts make up. A row whose id is null is linked with nothing, has a null
-    component_id and is kept. An empty table gives an empty result; other
-    columns of docs are ignored.
+    component, which the links of all their texts make up. A row whose id is null
+    is linked with nothing, has a null component_id and is kept. An empty table
+    gives an empty result; other columns of docs are ignored.
     """
-    least = int(VALUES * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5))
+    agree = percent / 100 + (1 - percent / 100) / 16
+    least = int(VALUES * (agree - 5 * (agree * (1 - agree) / VALUES) ** 0.5))
     own = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     own = own.withColumn("mark", F.xxhash64("text"))  # tells the texts of one id apart
     signed = checkpointed(_signatures(own, words))
-    # Equal sets are one vertex, numbered in the order of their smallest ids; one id may have several.
-    usable = signed.filter((F.col("n") > 0) & (F.col("id") != NO_ID)).select("id", "mark", "same")
-    vertex = usable.groupBy("same").agg(F.min(F.struct("id", "mark")).alias("first")).select("same", "first.*")
-    vertex = checkpointed(vertex.orderBy("id", "same").withColumn("rep", F.monotonically_increasing_id()))
-    reps = checkpointed(signed.join(vertex.withColumnRenamed("id", "least").withColumnRenamed("mark", "its"), "same").filter("id = least AND mark = its").dropDuplicates(["rep"]).select("rep", "n", "minhash", "sketch"))
-
-    def prefix(tree: int, values: int):
-        return F.xxhash64(F.lit(tree), F.substring("minhash", tree * DEPTH * 4 + 1, values * 4))
-
-    keyed = reps.select("rep", F.posexplode(F.array(*[prefix(t, ROOT) for t in range(TREES)])).alias("tree", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1")
-    at = F.col("tree") * DEPTH * 4 + 1
-    deeper = {f"k{v}": F.when(F.col("g") > BLOCK, F.xxhash64("key", F.substring("minhash", at, F.lit(v * 4)))) for v in (5, DEPTH)}
-    regions = checkpointed(keyed.join(shared, "key").join(reps, "rep").select("rep", "tree", "key", "g", "n", "sketch", *[c.alias(k) for k, c in deeper.items()]))
-
-    # First pass: each row's closest earlier row; in dense regions all links of a block, at the depth that the region needs.
-    small, dense = regions.filter(F.col("g") <= BLOCK), regions.filter(F.col("g") > BLOCK)
-    found = small.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_best_earlier(least, percent), "b long, a long, agree int")
-    best = checkpointed(found.groupBy("b").agg(F.max(F.struct(F.col("agree"), (-F.col("a")).alias("neg"))).alias("m")).select("b", (-F.col("m.neg")).alias("a")))
-    needed = best.select(F.col("b").alias("id")).unionByName(dense.select(F.col("rep").alias("id"))).distinct()
-    first_of = vertex.join(needed.withColumnRenamed("id", "rep"), "rep").select("id", "mark", "rep")
-    texts = checkpointed(own.join(first_of, ["id", "mark"]).dropDuplicates(["id", "mark"]).select(F.col("rep").alias("id"), "text"))
-    first = best.filter("a is not null").select("a", "b")
-    sets = checkpointed(_full_sets(texts.join(dense.select(F.col("rep").alias("id")), "id", "left_semi"), words))
-    n5, n8 = (dense.groupBy(k).agg(F.count("*").alias(f"n_{k}")) for k in ("k5", f"k{DEPTH}"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col(f"n_k{DEPTH}") / BLOCK))
-    deep = dense.join(n5, "k5").join(n8, f"k{DEPTH}").withColumn("blk", F.when(F.col("n_k5") <= BLOCK, F.col("k5")).otherwise(F.xxhash64(f"k{DEPTH}", part)))
-    deep = deep.select("blk", "rep", "n", F.col("rep").alias("comp"), F.lit(True).alias("probe")).join(sets, "rep")
-    inner = deep.groupBy("blk").applyInPandas(_linked_within(percent), "a long, b long")
-    links = checkpointed(_confirmed(first, texts, words, percent).unionByName(inner))
-
-    # Second pass: what is still apart within a region.
-    comp = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    placed = regions.drop("k5", f"k{DEPTH}").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter("parts > 1")
-    apart = checkpointed(placed.join(split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest")), "key"))
-    roots = reps.select("rep", F.array(*[prefix(t, ROOT) for t in range(TREES)]).alias("roots"))
-    small = apart.filter(F.col("g") <= BLOCK).join(roots, "rep").select("key", "tree", "rep", "n", "sketch", "comp", "roots")
-    second = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least, percent), "a long, b long")
-    more = _confirmed(second.join(first, ["a", "b"], "left_anti"), texts, words, percent)
-    large = apart.filter(F.col("g") > BLOCK).select("key", "rep", "g", "n", "comp", "main", "rest")
-    chunks, shelves = F.ceil(F.col("rest") / SIDE).cast("int"), F.ceil(F.col("g") / SIDE).cast("int")
-    chunk, shelf = F.pmod(F.xxhash64(F.lit(1), "rep"), chunks).cast("int"), F.pmod(F.xxhash64(F.lit(2), "rep"), shelves).cast("int")
-    probes = large.filter("comp <> main").withColumn("chunk", chunk).withColumn("shelf", F.explode(F.sequence(F.lit(0), shelves - 1)))
-    stock = large.withColumn("shelf", shelf).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    sides = probes.withColumn("probe", F.lit(True)).unionByName(stock.withColumn("probe", F.lit(False)))
-    sides = sides.select(F.xxhash64("key", "chunk", "shelf").alias("blk"), "rep", "n", "comp", "probe").join(sets, "rep")
-    across = sides.groupBy("blk").applyInPandas(_linked_within(percent), "a long, b long")
-    # The vertices of one id are one component, whose smallest number is that of its smallest id.
+    usable = signed.filter((F.col("n") > 0) & (F.col("id") != NO_ID))
+    # Equal sets are one vertex; one id may have several.
+    same = usable.groupBy("same").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "minhash", "sketch")])
+    vertex = checkpointed(same.select("same", "first.*", "copies", "n", "minhash", "sketch", F.monotonically_increasing_id().alias("rep")))
+
+    # The forest: regions of an order, dealt whole unless one task shouldn't sort them.
+    orders = F.array(*[F.substring("minhash", t * DEPTH * 2 + 1, DEPTH * 2) for t in range(TREES)])
+    keyed = vertex.select("rep", F.posexplode(orders).alias("tree", "key")).withColumn("root", F.xxhash64("tree", F.substring("key", 1, 2 * ROOT)))
+    regions = keyed.groupBy("root").agg(F.count("*").alias("g"), F.min("rep").alias("anchor")).filter("g > 1")
+    part = F.xxhash64("root", F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / HOT)))
+    forest = keyed.join(regions, "root").join(vertex.select("rep", "n", "sketch"), "rep").select(part.alias("part"), "key", "rep", "n", "g", "anchor", "sketch")
+    found = forest.repartition("part").sortWithinPartitions("part", "key", "rep").mapInArrow(_candidates(least, percent, BLOCK), "a long, b long, node long")
+    found = checkpointed(found)
+
+    # Groups of candidates, and their links on full sets.
+    group = connected_components(found.filter("node is null").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    need = checkpointed(group.join(vertex.select("rep", "id", "mark", "n"), "rep"))
+    texts = checkpointed(own.join(need.select("id", "mark", "rep"), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("rep", "text"))
+    fits = (F.col("rows") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
+
+    def by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("fits", fits)
+        both = members.join(sizes.select("comp", "fits"), "comp")
+        return both.filter("fits"), both.filter("not fits")
+
+    small, large = by_size(need)
+    links = _linked(small.select("comp", "rep").join(texts, "rep"), "comp", words, percent)
+    if not large.isEmpty():
+        finer = checkpointed(_parted(large, texts, words, percent).join(need.select("rep", "n"), "rep"))
+        small, large = by_size(finer)
+        links = links.unionByName(_linked(small.select("comp", "rep").join(texts, "rep"), "comp", words, percent))
+        if not large.isEmpty():
+            crowd = found.filter("node is not null").select(F.col("a").alias("rep"), "node")
+            links = links.unionByName(_crowds(large.select("comp", "rep"), crowd, texts, words, percent, SIDE))
+    # The vertices of one id are one component.
     several = usable.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo < hi").select("id")
     members = usable.join(several, "id", "left_semi").select("id", "same").distinct().join(vertex.select("same", "rep"), "same")
     shared_id = members.join(members.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
-    final = connected_components(links.unionByName(more).unionByName(across).unionByName(shared_id)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-
-    ids = vertex.select("same", "rep").join(final, "rep", "left").select("same", F.coalesce("comp", "rep").alias("rep"))
-    ids = ids.join(vertex.select("rep", F.col("id").alias("comp")), "rep").select("same", "comp")
-    by_id = usable.join(ids, "same").groupBy("id").agg(F.min("comp").alias("comp"))
-    named = signed.select("id", "n").join(by_id, "id", "left")
-    component = F.when(F.col("id") != NO_ID, F.coalesce("comp", "id"))
-    return named.select(
+    final = checkpointed(connected_components(links.unionByName(shared_id)))
+    forget(found, texts, need)
+
+    # A component's name is its smallest id; vertices of one row, linked with nothing, need none.
+    vertices = vertex.select("rep", "same", "id", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null")
+    vertices = vertices.withColumn("component", F.coalesce("component", "rep"))
+    names = vertices.join(vertices.groupBy("component").agg(F.min("id").alias("name")), "component").select("same", "copies", "name")
+    by_id = join_hot(usable.select("id", "same"), names, "same", "copies", signed.count()).groupBy("id").agg(F.min("name").alias("name"))
+    rows = signed.select("id", "n").filter(F.col("id") != NO_ID).join(by_id, "id", "left").withColumn("name", F.coalesce("name", "id"))
+    rows = rows.unionByName(signed.filter(F.col("id") == NO_ID).select("id", "n", F.lit(None).cast("long").alias("name")))
+    return rows.select(
         unpacked_id("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("name").alias("component_id"),
+        F.coalesce(F.col("name") == F.col("id"), F.lit(True)).alias("kept"),
     )

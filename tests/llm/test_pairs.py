@@ -67,11 +67,16 @@ def corpus():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_near_duplicates_are_those_of_brute_force(spark, corpus, monkeypatch, block):
-    """With tiny blocks every region is dense, so both passes have work across blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SIDE", 2 * block)
+def limits(monkeypatch, block, group):
+    """Nodes of `block` rows, regions dealt by 4 * block, groups of at most `group` rows in a task."""
+    for name, value in (("BLOCK", block), ("HOT", 4 * block), ("GROUP", group), ("SIDE", 2 * block)):
+        monkeypatch.setattr(minhash, name, value)
+
+
+@pytest.mark.parametrize(("block", "group"), [(256, 8192), (8, 8192), (4, 6), (256, 1)])
+def test_near_duplicates_are_those_of_brute_force(spark, corpus, monkeypatch, block, group):
+    """With tiny limits every region is dense and every group too large for a task."""
+    limits(monkeypatch, block, group)
     df = spark.createDataFrame([(i, t, "x") for i, t in corpus], DOCS).repartition(5)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(df, words=4).collect()}
     sizes, comp = brute(corpus, 4)
@@ -97,11 +102,10 @@ def test_near_duplicates_edge_cases(spark):
     assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("2", 2, "1", False), ("3", 0, "3", True), ("None", 2, "None", True)]
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "group"), [(256, 8192), (2, 2)])
+def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch, block, group):
     """Every text of an id is linked, in whatever order the rows come."""
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SIDE", 2 * block)
+    limits(monkeypatch, block, group)
     rng = random.Random(11)
     a, b, c = (words(rng, 200) for _ in range(3))
     near = lambda base: " ".join(edited(rng, base, 2))
