@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, mixing, packing, quality
-from tessera.llm.common import checkpointed, table, unused_name
+from tessera.llm.common import shared_folder, table, unused_name
 
 #: Least posterior of a document's language.
 SURE = 0.5
@@ -45,8 +45,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     place = unused_name(docs, "place")
+    # The first of an id's rows is found before the shuffle, too, so a much repeated id isn't gathered.
     order = Window.partitionBy("doc_id").orderBy(F.length(F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))).desc_nulls_last(), "text")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    one = docs.filter("doc_id IS NOT NULL").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).join(kept, "doc_id", "left_semi")
     return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
@@ -78,7 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reread(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    checkpointed(spark.range(0))  # sets a checkpoint folder where the session has none
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.parquet(path)
