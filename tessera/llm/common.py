@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(*checkpoints: DataFrame) -> None:
     """Removes the files of checkpoints that nothing reads any more."""
     for df in checkpoints:
@@ -56,7 +64,7 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, count: str, total: int
     At most HOT_KEYS keys can have over total / HOT_KEYS rows each: those are
     broadcast, so that their rows stay where they are.
     """
-    least = max(10_000, total // HOT_KEYS + 1)
+    least = max(1_000, total // HOT_KEYS + 1)
     hot = F.broadcast(small.filter(F.col(count) >= least))
     cold = small.filter(F.col(count) < least)
     if hot.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, forget
+from tessera.llm.common import checkpointed, forget, join_hot
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star steps until every edge points from a
     component's smallest node to a member. A step hands each node only the
-    minimum of its neighbours, so a hub's neighbours are never gathered, and
-    links stay distributed. Every round is checkpointed and the round before
+    minimum of its neighbours, and those of hubs are told where they are, so a
+    hub's neighbours are never gathered, and links stay distributed. Every round is checkpointed and the round before
     removed: lost executors cost one round. Self-links and links with a null end
     are ignored; repeated links count once; no links give an empty table.
     """
@@ -22,8 +22,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = checkpointed(ends.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v"))).distinct())
     while not _is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        large = join_hot(both, least, "u", "n", 2 * edges.count()).filter("v > u").select(F.col("m").alias("u"), "v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v").filter("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         before, edges = edges, checkpointed(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
