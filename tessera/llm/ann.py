@@ -1,11 +1,12 @@
 """Nearest neighbours by incremental search in a stable low-dimensional projection.
 
-Vectors are projected on DIMS Gaussian directions. For a vector at true distance
-s, projected squared distance / s^2 has a chi-square distribution with DIMS
-degrees of freedom, so neighbours are taken in order of projected distance, a
-kd-tree giving the next ones, and verified on the original vectors; the search
-stops once the next projected distance could belong to something nearer than the
-current k-th with a chance below 1 - CONFIDENCE.
+Vectors are projected on DIMS Gaussian directions, made orthonormal. For a vector
+at true distance s, projected squared distance / s^2 (scaled by the dimensions)
+has at most the spread of a chi-square distribution with DIMS degrees of freedom.
+Neighbours are taken one after another in order of projected distance, a kd-tree
+giving the next ones, and verified on the original vectors; the search stops once
+the next projected distance belongs to something nearer than the current k-th
+with a chance below 1 - CONFIDENCE only.
 
 A coarse kd-tree, fitted on a bounded sample, cuts the projected space into
 cells; every row is indexed in its cell, a full cell in several parts. A query
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from tessera.llm.capfilter import valid_vector
 from tessera.llm.common import checkpointed
 
-DIMS, CONFIDENCE = 12, 0.999
-#: Rows that the coarse tree is fitted on at most, rows meant for one cell, rows of a part, rows of a leaf of the local trees, queries that one task answers about.
-SAMPLE, CELL, PART, LEAF, QUERIES = 20_000, 8_192, 32_768, 256, 8_192
+DIMS, CONFIDENCE = 24, 0.95
+#: Rows that the coarse tree is fitted on at most, rows meant for one cell, rows of a part, rows of a leaf of the local trees, queries that one task answers about, and neighbours verified between two tests.
+SAMPLE, CELL, PART, LEAF, QUERIES, STEP = 20_000, 8_192, 32_768, 256, 32_768, 64
 
 
 def chi_square_cdf(x: np.ndarray, half_dims: int) -> np.ndarray:
@@ -53,7 +54,12 @@ def stop_ratio(confidence: float = CONFIDENCE) -> float:
 
 
 def projection(dim: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, DIMS))
+    """DIMS orthonormal directions of Gaussian origin, scaled so that squared lengths keep their mean times DIMS.
+
+    Vectors of fewer dimensions count as filled up with zeros, and keep their distances.
+    """
+    size = max(dim, DIMS)
+    return np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((size, size)))[0][:dim, :DIMS] * math.sqrt(size)
 
 
 class Tree:
@@ -95,30 +101,58 @@ class Tree:
             heapq.heappush(heap, (there, 4 * node + 3 - near, (*off[:axis], gap * gap, *off[axis + 1 :])))
 
 
-def search(ids: np.ndarray, x: np.ndarray, queries: Iterator[tuple[int, np.ndarray, float]], k: int) -> list[tuple[int, int, float]]:
-    """(query, id, squared distance) of the up to k nearest rows of x found for each query (id, vector, bound of the k-th squared distance)."""
-    r = projection(x.shape[1])
-    flat = x @ r
-    tree = Tree(flat, max(0, math.ceil(math.log2(max(1, len(x)) / LEAF))))
-    leaf = tree.leaf_of(flat)
-    order = np.argsort(leaf, kind="stable")
-    edges = np.searchsorted(leaf[order], np.arange((1 << tree.levels) + 1))
-    ratio, out = stop_ratio(), []
-    for qid, q, bound in queries:
-        best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), bound
-        for _, at in tree.leaves(q @ r, lambda: kth * ratio):
-            rows = order[edges[at] : edges[at + 1]]
-            rows = rows[ids[rows] != qid]
-            d = ((x[rows] - q) ** 2).sum(axis=1)
+class Index:
+    """Rows of one cell or part: ids, vectors, their projections and a kd-tree over these."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.r = ids, x, projection(x.shape[1])
+        flat = x @ self.r
+        self.tree = Tree(flat, max(0, math.ceil(math.log2(max(1, len(x)) / LEAF))))
+        leaf = self.tree.leaf_of(flat)
+        self.order = np.argsort(leaf, kind="stable")
+        self.edges = np.searchsorted(leaf[self.order], np.arange((1 << self.tree.levels) + 1))
+        self.flat = flat[self.order]
+
+    def neighbours(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(projected squared distances, rows) in ascending order, STEP at a time, for a projected query.
+
+        What is nearer than the next leaf is settled; the rest waits for it.
+        """
+        waiting_d, waiting = np.zeros(0), np.zeros(0, np.int64)
+        leaves = self.tree.leaves(p)
+        following = next(leaves, None)
+        while following is not None or len(waiting):
+            while following is not None and not (len(waiting) and np.count_nonzero(waiting_d <= following[0]) >= STEP):
+                at = slice(self.edges[following[1]], self.edges[following[1] + 1])
+                waiting_d = np.r_[waiting_d, ((self.flat[at] - p) ** 2).sum(axis=1)]
+                waiting = np.r_[waiting, self.order[at]]
+                following = next(leaves, None)
+            settled = math.inf if following is None else following[0]
+            first = np.argpartition(waiting_d, STEP - 1)[:STEP] if len(waiting) > STEP else np.arange(len(waiting))
+            first = first[np.argsort(waiting_d[first], kind="stable")]
+            first = first[waiting_d[first] <= settled]
+            yield waiting_d[first], waiting[first]
+            waiting_d, waiting = np.delete(waiting_d, first), np.delete(waiting, first)
+
+    def search(self, qid: int, q: np.ndarray, bound: float, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, squared distances) of the up to k nearest rows found within bound, and how many rows were verified."""
+        best_d, best_i, kth, verified = np.zeros(0), np.zeros(0, np.int64), bound, 0
+        for projected, rows in self.neighbours(q @ self.r):
+            going = projected <= kth * ratio
+            rows = rows[going]
+            rows = rows[self.ids[rows] != qid]
+            d = ((self.x[rows] - q) ** 2).sum(axis=1)
+            verified += len(rows)
             near = d <= kth
-            best_d, best_i = np.r_[best_d, d[near]], np.r_[best_i, ids[rows[near]]]
+            best_d, best_i = np.r_[best_d, d[near]], np.r_[best_i, self.ids[rows[near]]]
             if len(best_d) > k:
                 top = np.lexsort((best_i, best_d))[:k]
                 best_d, best_i = best_d[top], best_i[top]
             if len(best_d) == k:
-                kth = min(kth, float(best_d.max()))  # noqa: B023
-        out += [(qid, int(i), float(d)) for i, d in zip(best_i, best_d, strict=True)]
-    return out
+                kth = min(kth, float(best_d.max()))
+            if not going.all():
+                break
+        return best_i, best_d, verified
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -129,8 +163,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     that are null, empty, zero or hold null or non-finite components take no
     part, nor do rows with a null id; a query meets vectors of its own length
     only. Rows that repeat an id are candidates each, and no query meets a row
-    with its own id. Tables without queries or candidates give an empty result.
+    with its own id; an id that repeats asks once, with its least vector. Other
+    columns are ignored. Tables without queries or candidates give an empty
+    result.
     """
+    return _searched(vectors, is_query, k, id_col, vector_col)[0]
+
+
+def verified(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, verified: how many vectors were held against each query of nearest()."""
+    return _searched(vectors, is_query, k, id_col, vector_col)[1]
+
+
+def _searched(vectors: DataFrame, is_query, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & valid_vector("x")).withColumn("dim", F.size("x"))
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -150,7 +195,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     indexed = checkpointed(rows.mapInPandas(place, "id long, x array<double>, asks boolean, dim int, cell long"))
     parts = {(r["dim"], r["cell"]): -(-r["n"] // PART) for r in indexed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
     if not parts:
-        return indexed.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
+        none = indexed.limit(0)
+        return none.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")), none.select(F.col("id").alias("query_id"), F.col("id").alias("verified"))
 
     def per_cell(numbers: dict[tuple[int, int], int]) -> Column:
         """The number of a row's cell, null for a cell without one; cells are bounded by the coarse tree."""
@@ -159,26 +205,34 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
 
     spread = per_cell(parts)
     stock = indexed.select("dim", "cell", F.pmod(F.xxhash64("id"), spread).cast("int").alias("part"), "id", "x")
-    asked = indexed.filter("asks").dropDuplicates(["id"]).select("id", "x", "dim", "cell", F.lit(float("inf")).alias("bound"))
+    asked = indexed.filter("asks").groupBy("id").agg(F.min(F.struct("x", "dim", "cell")).alias("q")).select("id", "q.*", F.lit(float("inf")).alias("bound"))
+
+    ratio = stop_ratio()
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got: list = []
+        """Rows found, and for each query a row without an id whose d is the number of rows verified."""
+        q, i, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
-            queries = zip(left["id"], left["x"], left["bound"], strict=True)
-            got = search(right["id"].to_numpy(), np.stack(right["x"].to_numpy()), queries, k)
-        return pd.DataFrame(got, columns=["q", "id", "d"])
+            index = Index(right["id"].to_numpy(), np.stack(right["x"].to_numpy()))
+            for qid, x, bound in zip(left["id"], left["x"], left["bound"], strict=True):
+                got, far, n = index.search(qid, x, bound, k, ratio)
+                q.append(np.full(len(got) + 1, qid))
+                i.append(np.r_[got, -1])
+                d.append(np.r_[far, n])
+        pdf = pd.DataFrame({"q": np.concatenate(q), "id": np.concatenate(i), "d": np.concatenate(d)})
+        told = np.cumsum([len(x) for x in i]) - 1
+        pdf["counts"] = np.isin(np.arange(len(pdf)), told[1:])
+        return pdf
 
     def searched(routed: DataFrame) -> DataFrame:
         asks = {(r["dim"], r["cell"]): -(-r["n"] // QUERIES) for r in routed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
         if not asks:
-            return stock.select(F.col("id").alias("q"), "id", F.lit(0.0).alias("d")).limit(0)
+            return stock.select(F.col("id").alias("q"), "id", F.lit(0.0).alias("d"), F.lit(False).alias("counts")).limit(0)
         chunks = per_cell(asks)
         left = routed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), chunks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1)))
         right = stock.filter(chunks.isNotNull()).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
         keys = ["dim", "cell", "part", "chunk"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "q long, id long, d double")
-
-    ratio = stop_ratio()
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "q long, id long, d double, counts boolean")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,8 +245,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
 
     home = checkpointed(searched(asked))
     best = Window.partitionBy("q").orderBy("d", "id")
-    kth = home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("q").alias("id"), F.col("d").alias("kth"))
+    kth = home.filter("not counts").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("q").alias("id"), F.col("d").alias("kth"))
     rest = asked.join(kth, "id", "left").select("id", "x", "dim", "cell", F.coalesce("kth", "bound").alias("bound"))
     away = searched(checkpointed(rest.mapInPandas(route, "id long, x array<double>, dim int, cell long, bound double")))
-    top = home.unionByName(away).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return top.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.sqrt("d").alias("score"))
+    both = home.unionByName(away)
+    top = both.filter("not counts").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    held = both.filter("counts").groupBy(F.col("q").alias("query_id")).agg(F.sum("d").cast("long").alias("verified"))
+    return top.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), F.sqrt("d").alias("score")), held
