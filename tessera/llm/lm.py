@@ -1,32 +1,36 @@
-"""Stupid-backoff language-model scores of a corpus by its own n-gram counts.
-
-Documents are hashed to batches. Each batch explodes its texts into n-grams and
-sends the distinct ones, with their counts, to hash partitions: a frequent
-n-gram arrives once from each batch, not once from each use. A partition of the
-count table adds up what it got and answers each batch with totals in the order
-it asked; the batch joins them to its exploded n-grams and sums per document.
-N-grams travel as 64-bit hashes. A partition owns a range of them, so that those
-of a batch lie close together there and their differences pack well.
+"""Stupid-backoff language-model scores of a corpus by its own n-gram counts, as joins and sums.
+
+Texts are exploded into n-grams of every order, which travel as 64-bit hashes
+with those of their context (all words but the last) and tail (all but the
+first). Counts are a table partitioned by the hash. A word scores by the longest
+n-gram ending there that the corpus has often enough; an n-gram that is frequent
+enough has a tail that is, too, so a document's score is a sum over its n-grams
+of all orders:
+
+    what its single words score + for each longer n-gram of the table, what that
+    n-gram scores more than its tail.
+
+Those differences are computed once for each n-gram of the count table, which is
+then joined to the exploded n-grams of the documents and summed per document.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, packed_id, unpacked_id
+from tessera.llm.common import ASCII_LOWER, WORD, packed_id, stored, unpacked_id
 
 #: Longest n-gram, weight of a backoff step, least count of an n-gram of two words or more that isn't backed off.
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-#: Bytes of text in a batch, and distinct n-grams in a partition of the count table, about.
-BATCH_BYTES, PARTITION_GRAMS = 16 << 20, 4_000_000
-#: Bytes of a difference of hashes that look random in a batch of this size.
-PLAIN = 5
+#: Characters of texts that are exploded at a time; a longer text is exploded alone.
+CHUNK = 4 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -35,76 +39,100 @@ def _word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _packed(x: np.ndarray, plain: int) -> bytes:
-    """64-bit numbers as planes of bytes, the `plain` lowest as they are, the rest compressed."""
-    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
-
-
-def _unpacked(packed: bytes, n: int, plain: int) -> np.ndarray:
-    planes = packed[: plain * n] + zlib.decompress(packed[plain * n :])
-    return np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view("<u8").reshape(n)
-
-
 class Grams:
-    """The n-grams of some documents: hashes of each order at each place of the padded word sequences."""
+    """The n-grams of some documents: hashes of each order at each place of the word sequences, which start with order - 1 marks."""
 
     def __init__(self, texts: list[str | None], order: int):
         pad = order - 1
         found = [_word_hashes(t) for t in texts]
-        self.words = np.array([len(f) for f in found], np.int64)
-        size = self.words + pad
-        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), size)
+        size = np.array([len(f) for f in found], np.int64) + pad
+        self.doc = np.repeat(np.arange(len(found)), size)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.real = place >= pad
         one = np.full(len(place), _START, np.uint64)
         one[self.real] = np.concatenate([np.zeros(0, np.uint64), *found])
-        del found
-        self.hash, self.valid = [one], [np.ones(len(one), bool)]
+        self.hash, self.whole = [one], [np.ones(len(one), bool)]
         for o in range(2, order + 1):
             last = self.hash[-1]
             h = np.zeros_like(one)
             h[1:] = (last[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (last[:-1] >> np.uint64(31))) + one[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(o)
             self.hash.append(h)
-            self.valid.append(place >= o - 1)
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ascending distinct hashes of all orders together, and how often each occurs."""
-        flat, at = np.empty(sum(int(v.sum()) for v in self.valid), np.uint64), 0
-        for h, v in zip(self.hash, self.valid, strict=True):
-            n = int(v.sum())
-            np.compress(v, h, out=flat[at : at + n])
-            at += n
-        flat.sort()
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        return flat[first], np.diff(first, append=len(flat))
-
-    def totals(self, distinct: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
-        """The total at each place of each order (0 where there is no n-gram), order by order; gives up the hashes, to hold less at a time."""
-        out = []
-        while self.hash:
-            v = self.valid[len(out)]
-            own, inverse = np.unique(self.hash.pop(0)[v], return_inverse=True)
-            c = np.zeros(len(v))
-            c[v] = total[np.searchsorted(distinct, own)][inverse]
-            out.append(c)
-        return out
-
-    def scores(self, counts: list[np.ndarray], words: int, order: int, backoff: float, least: int) -> np.ndarray:
-        """Sum of log scores for each document, given the corpus's total at each place of each order and its number of words."""
-        out = np.full(len(self.real), np.nan)
-        penalty = 0.0
-        for o in range(order, 1, -1):
-            context = np.r_[1.0, counts[o - 2][:-1]]
-            use = self.real & np.isnan(out) & (counts[o - 1] >= least)
-            out[use] = penalty + np.log(counts[o - 1][use] / context[use])
-            penalty += np.log(backoff)
-        rest = self.real & np.isnan(out)
-        out[rest] = penalty + np.log(counts[0][rest] / words)
-        return np.bincount(self.doc[self.real], out[self.real], len(self.words))
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+            self.whole.append(place >= o - 1)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of about CHUNK characters."""
+    held: list[str | None] = []
+    start = size = 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= CHUNK:
+            yield start, held
+            held, start, size = [], i + 1, 0
+    if held:
+        yield start, held
+
+
+def _counted(order: int):
+    """gram, size (its words), context, tail and n (how often it occurs) of the n-grams of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _chunks(batch.column("text")):
+                g = Grams(texts, order)
+                for o in range(1, order + 1):
+                    at = np.flatnonzero(g.whole[o - 1])
+                    gram, first, n = np.unique(g.hash[o - 1][at], return_index=True, return_counts=True)
+                    at, none = at[first], np.zeros(len(first), np.uint64)
+                    context, tail = (g.hash[o - 2][at - 1], g.hash[o - 2][at]) if o > 1 else (none, none)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (gram, context, tail)), pa.array(np.full(len(n), o, np.int32)), pa.array(n)], ["gram", "context", "tail", "size", "n"])
+
+    return run
+
+
+def _exploded(order: int):
+    """id, mark, gram and n: the n-grams that end in a word of each document, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
+            for start, texts in _chunks(batch.column("text")):
+                g = Grams(texts, order)
+                doc, gram = np.tile(g.doc[g.real], order), np.concatenate([h[g.real] for h in g.hash])
+                by = np.lexsort((gram, doc))
+                doc, gram = doc[by], gram[by]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(doc) else doc
+                own = start + doc[first]
+                columns = [pa.array(ids[own]), pa.array(marks[own]), pa.array(gram[first].view(np.int64)), pa.array(np.diff(first, append=len(doc)).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "gram", "n"])
+
+    return run
+
+
+def count_table(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """gram, size, context, tail and n for each n-gram of `texts` (text) that a score can use: all of one word, and those that occur `least` times."""
+    found = texts.select("text").mapInArrow(_counted(order), "gram long, context long, tail long, size int, n long")
+    counts = found.groupBy("gram").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("size", "context", "tail")])
+    return stored(counts.filter((F.col("size") == 1) | (F.col("n") >= least)))
+
+
+def gains(counts: DataFrame, words: int, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """gram, gain: what a word scores by the n-gram more than by its tail (for one word: what it scores)."""
+    of = lambda o: counts.filter(F.col("size") == o)
+    step = math.log(backoff)
+    score = of(1).select("gram", (F.log("n") - math.log(max(words, 1)) + (order - 1) * step).alias("score"))
+    out = score.select("gram", F.col("score").alias("gain"))
+    for o in range(2, order + 1):
+        context = of(o - 1).select(F.col("gram").alias("context"), F.col("n").alias("times"))
+        longer = of(o).join(context, "context").select("gram", "tail", (F.log("n") - F.log("times") + (order - o) * step).alias("score"))
+        more = longer.join(score.select(F.col("gram").alias("tail"), F.col("score").alias("less")), "tail")
+        out = out.unionByName(more.select("gram", (F.col("score") - F.col("less")).alias("gain")))
+        score = longer.select("gram", "score")
+    return out
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over words) and mean_log_score for each row of docs.
 
     A word scores count(n-gram) / count(context) at the highest order whose
@@ -112,54 +140,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     given up; a single word scores its share of all words. Sequences start with
     order - 1 start marks, which contexts count. Documents without words (null,
     blank) have n_words 0, log_score 0 and a null mean. Every row counts, however
-    often it repeats; an empty table gives an empty result.
+    often it repeats; rows are told apart by id and a checksum of the text. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(packed_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()["bytes"] or 0
-    batches = max(1, -(-size // batch_bytes))
-    partitions = max(1, -(-size // 6 * order // partition_grams))
-    # Repeated ids and texts don't meet in one batch: the row's text takes part in its hash.
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(batches)).cast("int"))
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(text=pdf["text"].astype(object).where(pdf["text"].notna(), None)).sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
-
-    def owners(distinct: np.ndarray) -> np.ndarray:
-        """Where the part of each partition starts among ascending hashes, and the end."""
-        lowest = [np.uint64(-(-(p << 64) // partitions)) for p in range(partitions)]
-        return np.r_[np.searchsorted(distinct, np.array(lowest, np.uint64)), len(distinct)]
-
-    def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct, count = Grams(in_order(pdf)["text"].tolist(), order).counted()
-        edges = owners(distinct)
-        out = []
-        for p in np.flatnonzero(np.diff(edges)):
-            own = slice(edges[p], edges[p + 1])
-            steps = np.diff(distinct[own], prepend=np.uint64(0))
-            out.append((int(pdf["batch"].iloc[0]), int(p), len(steps), _packed(steps, PLAIN), _packed(count[own], 0)))
-        return pd.DataFrame(out, columns=["batch", "part", "n", "grams", "counts"])
-
-    asked = dealt.groupBy("batch").applyInPandas(explode, "batch int, part int, n int, grams binary, counts binary")
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.cumsum(_unpacked(b, n, PLAIN), dtype=np.uint64) for b, n in zip(pdf["grams"], pdf["n"], strict=True)]
-        distinct = np.sort(np.concatenate(grams))
-        distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]]]
-        total, at = np.zeros(len(distinct), np.uint64), [np.searchsorted(distinct, g) for g in grams]
-        for a, b, n in zip(at, pdf["counts"], pdf["n"], strict=True):
-            total[a] += _unpacked(b, n, 0)
-        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "n": pdf["n"], "totals": [_packed(total[a], 0) for a in at]})
-
-    answers = asked.groupBy("part").applyInPandas(add_up, "batch int, part int, n int, totals binary")
-    n = docs.agg(F.sum(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
-
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = in_order(left)
-        g = Grams(pdf["text"].tolist(), order)
-        answer = right.sort_values("part")
-        total = np.concatenate([np.zeros(0), *(_unpacked(b, m, 0) for b, m in zip(answer["totals"], answer["n"], strict=True))])
-        s = g.scores(g.totals(g.counted()[0], total), n, order, backoff, least)
-        mean = [x / w if w else None for x, w in zip(s, g.words, strict=True)]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": g.words, "log_score": s, "mean_log_score": pd.Series(mean, dtype=object)})
-
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double").withColumn("doc_id", unpacked_id("doc_id"))
+    rows = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("mark", (F.coalesce(F.crc32("text"), F.lit(0)) - F.lit(1 << 31)).cast("int"))
+    counts = count_table(rows, order, least)
+    # Rows that repeat id and text are scored together, and part again at the end.
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = rows.select("id", "mark", words.alias("n_words")).groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    total = rows.agg(F.sum(words).alias("n")).first()["n"] or 0
+    exploded = rows.mapInArrow(_exploded(order), "id long, mark int, gram long, n int")
+    sums = exploded.join(gains(counts, total, order, backoff), "gram").groupBy("id", "mark").agg(F.sum(F.col("n") * F.col("gain")).alias("sum"))
+    scored = own.join(sums, ["id", "mark"], "left").withColumn("log_score", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0)))
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return scored.select(unpacked_id("id").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

@@ -78,6 +78,24 @@ WITH r AS (
 SELECT doc_id, domain, lang, source, tokens, epoch, start::BIGINT AS start FROM o WHERE start + tokens <= least(supply, budget - epoch * supply)
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), p AS (SELECT r, list_concat([' ', ' '], ws) AS ws FROM d
+), i AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM p
+), t AS (SELECT r, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM i
+), c3 AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL
+), c2 AS (SELECT b, c, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT ' ', ' ', count(*) FROM d
+), c1 AS (SELECT c, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT ' ', 2 * count(*) FROM d
+), s AS (
+  SELECT t.r, CASE WHEN c3.n >= 2 THEN ln(c3.n / x2.n) WHEN c2.n >= 2 THEN ln(0.4) + ln(c2.n / x1.n) ELSE 2 * ln(0.4) + ln(c1.n / (SELECT count(*) FROM t)) END AS s
+  FROM t JOIN c3 USING (a, b, c) JOIN c2 ON c2.b = t.b AND c2.c = t.c JOIN c1 ON c1.c = t.c
+    JOIN c2 x2 ON x2.b = t.a AND x2.c = t.b JOIN c1 x1 ON x1.c = t.b
+), u AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(u.s, 0.0) AS log_score, u.s / nullif(len(ws), 0) AS mean_log_score FROM d LEFT JOIN u USING (r)
+"""
+
 OP8 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
@@ -96,4 +114,4 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = compo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1, "op2_minhash": OP2, "op4_mixing": OP4, "op8_capfilter": OP8}
+    return {"op1_ann": OP1, "op2_minhash": OP2, "op4_mixing": OP4, "op6_lm": OP6, "op8_capfilter": OP8}
