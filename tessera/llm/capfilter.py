@@ -3,8 +3,8 @@
 A filter is a direction u = (u1, u2): one of c code words for each half of the
 (rotated) space, so c * c directions come from 2 * c random vectors. A vector
 belongs to every filter with <x, u> >= alpha. List-decoding finds those without
-trying all: for each first word, the second words that reach the rest of alpha
-are a prefix of the sorted second products. Vectors within the angle of interest
+trying all: for each first word that the best second word could lift to alpha,
+the second words that reach the rest are a prefix of the sorted second products. Vectors within the angle of interest
 share a filter with high probability; vectors of one filter are compared
 exactly, in bounded blocks.
 """
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, join_hot
 from tessera.llm.components import connected_components
 
 #: Filters of a vector on average, and at least; a pair at cosine 0.98 misses all common ones with a chance of about e^(-0.6 * FILTERS).
@@ -52,8 +52,10 @@ class ProductCode:
         cut = np.minimum(self.alpha, -np.partition(-best, least - 1, axis=1)[:, least - 1]) - 1e-12
         out = []
         for p, q, o, c in zip(first, second, order, cut, strict=True):
-            reach = np.searchsorted(-q[o], p - c, side="right")
-            out.append(np.sort(np.concatenate([w * self.words + o[:r] for w, r in enumerate(reach) if r])))
+            able = np.flatnonzero(p >= c - q[o[0]])
+            reach = np.searchsorted(-q[o], p[able] - c, side="right")
+            place = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+            out.append(np.sort(np.repeat(able * self.words, reach) + o[place]))
         return out
 
 
@@ -81,13 +83,16 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "v
     kept marks that vector. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different
     lengths. Equal vectors are decoded once and count as links of each other. A
-    row whose id is null links with nothing and has a null component_id. Empty
-    tables give empty results.
+    row whose id is null links with nothing and has a null component_id. Rows
+    that repeat an id are judged each by its own vector, and their id joins
+    nothing; a repeated vector counts as often as it occurs. Other columns are
+    ignored. Empty tables give empty results.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), _narrow(vectors, vector_col).alias("x"), F.col(label_col).alias("label"))
     usable = valid_vector("x") & F.col("label").isNotNull() & F.col("id").isNotNull()
-    same = rows.filter(usable).groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    groups = checkpointed(same.withColumn("dim", F.size("x")))
+    rows = rows.withColumn("label", F.when(usable, F.col("label"))).withColumn("same", F.when(usable, F.struct("label", "x")))
+    same = rows.filter("same is not null").groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    groups = checkpointed(same.select("id", "copies", "same", "same.*", F.size("same.x").alias("dim"), F.monotonically_increasing_id().alias("rep")))
     counts = groups.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     codes: dict[int, tuple[int, float]] = {}
     for r in counts:  # a row per vector length
@@ -143,14 +148,16 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "v
     links = found.filter("n > 0").groupBy("a").agg(F.sum("n").alias("far"))
     comp = connected_components(found.filter("n = 0").select("a", "b"))
     named = groups.join(links, groups["rep"] == links["a"], "left").join(comp, groups["rep"] == comp["node"], "left")
-    named = named.select("label", "x", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("comp"))
-    keyed = rows.withColumn("label", F.when(usable, F.col("label"))).join(named, ["label", "x"], "left")
-    component = F.coalesce("comp", "id")
-    return keyed.select(
+    named = named.select("same", "id", "copies", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("id").alias("component"))
+    told = checkpointed(named.join(least, "comp").select("same", "copies", "n_links", "component"))
+    linked = join_hot(rows.filter("same is not null").select("id", "same"), told, "same", "copies", rows.count()).select("id", "n_links", "component")
+    alone = rows.filter("same is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component"))
+    return linked.unionByName(alone).select(
         F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("n_links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 
