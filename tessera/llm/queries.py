@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, capfilter, langid, lm, minhash, mixing, packing, quality, sharding, warc
-from tessera.llm.common import table
+from tessera.llm.common import checkpointed, shared_folder, table
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,8 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains equally, English half of each domain, sources equally; at most two epochs."""
-    rows = mixing.leaves(table(spark, sf_dir, "documents"))
+    """Domains equally, English half of each domain, sources equally; at most two epochs. Other languages get nothing."""
+    rows = checkpointed(mixing.leaves(table(spark, sf_dir, "documents")))  # texts are read once
     plan = mixing.budgets(rows, weights={"lang": {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 1.0}})
     return mixing.mix(rows, plan)
 
@@ -45,19 +46,13 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed, _ = sharding.shard(docs, 24)
-    return placed.select(
-        "doc_id",
-        sharding.record_size("text").alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        F.col("place").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "vslot",
-        "map_version",
-    )
+    """Each run starts a map of its own in the shared folder; sizes and checksums are taken before anything moves."""
+    columns = ("doc_id", sharding.record_size("text").alias("size"), F.crc32("text").alias("text_crc32"), sharding.mark_of().alias("mark"))
+    records = table(spark, sf_dir, "documents").select(*columns)
+    path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    placed = sharding.shard_by_stored_map(records, path, 24, size=F.col("size"), mark=F.col("mark"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", F.col("place").alias("slot"), grown, "vslot", "map_version")
 
 
 def op8_capfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

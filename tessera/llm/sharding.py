@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its id modulo SLOTS, for ever. What changes is the
+A record's slot is a hash of its id and text modulo SLOTS, for ever. What changes is the
 slot-to-shard map, a small versioned table: version 1 deals the slots in turn,
 and every later version is an edit of the one before that moves (or swaps) as
 few slots as even bytes need. Only the bytes of each slot, SLOTS numbers
@@ -78,15 +78,19 @@ class SlotMap:
         return SlotMap(version, 1 + max(s for _, s in found), tuple(s for _, s in found))
 
 
-def slot_of(id_col: str = "doc_id", slots: int = SLOTS):
-    """A row's slot. A null id has the slot of its hash, too, so such rows share one."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)).cast("int")
+def slot_of(mark, slots: int = SLOTS):
+    """The slot of a row with that mark, a hash of id and text: rows that share one of them don't share a slot."""
+    return F.pmod(mark, F.lit(slots)).cast("int")
 
 
-def slot_bytes(docs: DataFrame, id_col: str, text_col: str, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and rows of each slot."""
+def mark_of(id_col: str = "doc_id", text_col: str = "text"):
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def slot_bytes(records: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and rows of each slot, of records with mark and size."""
     size, rows = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-    sums = docs.select(slot_of(id_col, slots).alias("s"), record_size(text_col).alias("z")).groupBy("s").agg(F.sum("z").alias("z"), F.count("*").alias("n"))
+    sums = records.select(slot_of(F.col("mark"), slots).alias("s"), F.col("size").alias("z")).groupBy("s").agg(F.sum("z").alias("z"), F.count("*").alias("n"))
     for r in sums.collect():  # at most `slots` rows
         size[r["s"]], rows[r["s"]] = r["z"], r["n"]
     return size, rows
@@ -97,17 +101,21 @@ def record_size(text_col: str = "text"):
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
 
 
-def shard(docs: DataFrame, shards: int = 24, current: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, shards: int = 24, current: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text", size=None, mark=None) -> tuple[DataFrame, SlotMap]:
     """docs with vslot, shard, place (gapless from 0 in the shard) and map_version, and the map used.
 
     The map is an edit of `current` (by default of version 1) for the bytes that
     the slots hold now. Rows keep all their columns; added names that docs has
-    already get a trailing underscore. Null texts count no bytes, rows with equal
-    or null ids share a slot, an empty table keeps version 1's dealing.
+    already get a trailing underscore. Null texts count no bytes; rows equal in
+    id and text share a slot, others with null or equal ids don't; an empty table
+    keeps version 1's dealing. Frames that don't carry texts give columns for
+    their size and mark (of mark_of()), so that no text has to move.
     """
     spark, current = docs.sparkSession, current or SlotMap.first(shards)
-    size, rows = slot_bytes(docs, id_col, text_col, len(current.owner))
-    chosen = current.rebalanced(size, shards)
+    size = record_size(text_col) if size is None else size
+    mark = mark_of(id_col, text_col) if mark is None else mark
+    held, rows = slot_bytes(docs.select(size.alias("size"), mark.alias("mark")), len(current.owner))
+    chosen = current.rebalanced(held, shards)
     before, at = [0] * shards, []
     for i, s in enumerate(chosen.owner):
         at.append((i, s, before[s]))
@@ -115,8 +123,19 @@ def shard(docs: DataFrame, shards: int = 24, current: SlotMap | None = None, id_
     # Of fixed size: one row for each slot.
     owners = F.broadcast(spark.createDataFrame(at, "vslot_key int, shard_to int, rows_before long"))
     names = [unused_name(docs, n) for n in ("vslot", "shard", "place", "map_version")]
-    order = Window.partitionBy("vslot_key").orderBy(id_col, F.xxhash64(text_col))
-    placed = docs.withColumn("vslot_key", slot_of(id_col, len(current.owner))).join(owners, "vslot_key")
+    order = Window.partitionBy("vslot_key").orderBy(id_col, "mark_key")
+    placed = docs.withColumn("mark_key", mark).withColumn("vslot_key", slot_of(F.col("mark_key"), len(current.owner))).join(owners, "vslot_key")
     placed = placed.withColumn("rows_before", F.col("rows_before") + F.row_number().over(order) - 1)
     added = ("vslot_key", "shard_to", "rows_before")
     return placed.select(*docs.columns, *[F.col(c).alias(n) for c, n in zip(added, names, strict=False)], F.lit(chosen.version).alias(names[3])), chosen
+
+
+def shard_by_stored_map(docs: DataFrame, path: str, shards: int = 24, **more) -> DataFrame:
+    """shard() by an edit of the newest map stored at path; the edit is stored as the next version. Where there is none yet, version 1 is stored first."""
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        SlotMap.first(shards).save(spark, path)
+    placed, chosen = shard(docs, shards, SlotMap.load(spark, path), **more)
+    chosen.save(spark, path)
+    return placed
