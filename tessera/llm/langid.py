@@ -17,21 +17,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is fitted on at most, the ones with the smallest hashes of their ids.
+#: Labelled documents that a model is fitted on at most, the ones with the smallest hashes.
 TRAIN_DOCS = 4_000
 #: Longest n-gram; times that a word or n-gram must occur to be known.
 LONGEST, LEAST = 5, 2
 #: Characters of a training text that the least share of known words is learned from, that share's quantile among
 #: training texts and the part of it that is asked for; words taken as known besides, which spares short texts.
 PROBE, QUANTILE, PART, SPARED = 20_000, 0.01, 0.5, 2
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 #: Unseen words whose scores a worker remembers.
 MEMORY = 50_000
 
 
+def counted(text: str) -> Counter[str]:
+    """Words, runs of letters, in lower case. Number characters such as fractions, which \\w has, too, aren't letters."""
+    words = Counter(_WORDS.findall(text.lower()))
+    for mixed in [w for w in words if not w.isalpha()]:
+        n = words.pop(mixed)
+        for w in _LETTERS.findall(mixed):
+            words[w] += n
+    return words
+
+
 class BackoffModel:
     """Per-language log frequencies of words and of character n-grams that training met LEAST times or more.
 
@@ -44,8 +55,8 @@ class BackoffModel:
         words: dict[str, Counter[str]] = {}
         probes: list[tuple[str, str]] = []
         for lang, text in samples:
-            words.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
-            probes.append((lang, text[:PROBE].lower()))
+            words.setdefault(lang, Counter()).update(counted(text))
+            probes.append((lang, text[:PROBE]))
         self.langs = sorted(words)
         self.tables = [self._logs(words)]
         self.known = np.array([[words[g][k] >= LEAST for g in self.langs] for k in self.tables[0][0]], bool).reshape(len(self.tables[0][0]), len(self.langs))
@@ -74,7 +85,7 @@ class BackoffModel:
     def _least_share(words: dict[str, Counter[str]], probes: list[tuple[str, str]]) -> float:
         shares = []
         for lang, text in probes:
-            own = Counter(_WORDS.findall(text))
+            own = counted(text)
             if own:
                 met, n = sum(c for w, c in own.items() if words[lang][w] - c >= LEAST), own.total()
                 shares.append((met + SPARED) / (n + SPARED))
@@ -95,7 +106,7 @@ class BackoffModel:
 
     def judge(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float, float]:
         """predict() and the share of the text's words that are known in that language."""
-        counts = Counter(_WORDS.findall(text.lower())) if text else {}
+        counts = counted(text) if text else {}
         if not counts or not self.langs:
             return "und", 0.0, 0.0
         index, logs = self.tables[0]
@@ -131,12 +142,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
-    """A model of the at most `limit` labelled documents that aren't held out and have the smallest hashes of their ids.
+    """A model of the at most `limit` labelled documents that aren't held out and have the smallest hashes.
 
+    The hash is that of id, text and language, so that rows which tie are equal.
     Documents without text, language or id teach nothing.
     """
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)
-    hashed = docs.filter(usable).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
+    hashed = docs.filter(usable).select(F.xxhash64(id_col, text_col, lang_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
     edge = [r["h"] for r in hashed.select("h").orderBy("h").limit(limit).collect()]
     rows = hashed.filter(F.col("h") <= edge[-1]).select("g", "t").limit(limit).toLocalIterator() if edge else []
     return BackoffModel((str(r["g"]), r["t"]) for r in rows)
