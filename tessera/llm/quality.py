@@ -22,6 +22,8 @@ from tessera.llm.common import checkpointed
 
 #: Buckets of the n-gram hash; labelled documents that the target model and the cut are fitted on at most.
 BUCKETS, LABELLED = 1 << 14, 10_000
+#: N-grams that are counted at a time.
+TOGETHER = 1 << 18
 #: Share of labelled target documents that k may leave out.
 LOSS = 0.002
 _AGAIN = np.uint64(0xA0761D6478BD642F)
@@ -68,14 +70,24 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str =
     sample = F.broadcast(_labelled(docs, labels, limit))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
 
+    def add(sums: np.ndarray, held: list[list[np.ndarray]]) -> None:
+        for good, found in enumerate(held):
+            f = np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=BUCKETS)
+            sums[: 1 + good] += f
+            found.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
+            held: list[list[np.ndarray]] = [[], []]  # of other and of good documents
+            size = 0
             for text, good in zip(batch.column("text"), batch.column("good"), strict=True):
-                f = np.bincount(features(text.as_py()), minlength=BUCKETS)
-                sums[0] += f
-                if good.as_py():
-                    sums[1] += f
+                held[good.as_py()].append(features(text.as_py()))
+                size += len(held[good.as_py()][-1])
+                if size > TOGETHER:
+                    add(sums, held)
+                    size = 0
+            add(sums, held)
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0, used]), pa.array(sums[1, used])], ["bucket", "raw", "target"])
 
@@ -90,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str =
     p = (target + pseudo * prior) / (target.sum() + pseudo)
     ratio = np.log(np.divide(p, prior, out=np.ones(BUCKETS), where=prior > 0))
     model = Resampler(ratio, 0.0, seed)
-    good = texts.join(sample.filter("good"), "label_id").select(_weights(model, docs.sparkSession)("text").alias("w")).toPandas()["w"]
+    weights = texts.join(sample.filter("good"), "label_id").select("label_id", _weights(model, docs.sparkSession)("text").alias("w"))
+    good = weights.groupBy("label_id").agg(F.min("w").alias("w")).toPandas()["w"]  # one of each labelled id
     return Resampler(model.ratio, float(np.quantile(good, LOSS, method="lower")), seed)
 
 
@@ -145,8 +158,9 @@ def resample(docs: DataFrame, model: Resampler, k: int | None = None, id_col: st
 
     By default k is the number of documents whose log weight reaches the model's
     cut. Ties at the k-th key are all kept. Null and blank texts weigh 0; rows
-    that repeat an id share its noise, rows without an id that of 0; an empty
-    table gives an empty result.
+    that repeat an id share its noise, rows without an id that of 0; other
+    columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     keyed = _keyed(docs, model, id_col, text_col)
     return keyed.withColumn("kept", F.col("sample_key") >= F.lit(float(_edge(keyed, model, k))))
