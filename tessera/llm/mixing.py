@@ -21,6 +21,8 @@ LEVELS = ("domain", "lang", "source")
 MISSING = "(none)"
 #: Share of the corpus's tokens to take, passes over a leaf at most, and rows of a leaf that one part of its order holds about.
 BUDGET, EPOCHS, PART_ROWS = 0.6, 2, 500
+#: Parts of a leaf's order that are summed up together, and leaves whose plan is broadcast.
+SHELF, LEAVES = 1_000, 100_000
 
 
 def word_count(col: Column) -> Column:
@@ -109,16 +111,21 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     usable = plan.filter("supply > 0").withColumn("parts", F.ceil(F.col("rows") / part_rows))
     full = F.floor(F.col("budget") / F.col("supply"))
     last = F.least(F.lit(epochs - 1), full)
-    # One row for each leaf: rows, with what they carry, aren't dealt by leaf.
-    drawn = rows.filter("tokens > 0").join(F.broadcast(usable.drop("rows")), key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # One row for each leaf: while they are few, rows and what they carry aren't dealt by leaf.
+    usable = usable.drop("rows")
+    few = usable.limit(LEAVES + 1).count() <= LEAVES
+    drawn = rows.filter("tokens > 0").join(F.broadcast(usable) if few else usable, key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     drawn = drawn.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
     drawn = drawn.withColumn("left", F.least("supply", F.col("budget") - F.col("epoch") * F.col("supply")))
-    # A leaf's order is cut into parts of about part_rows rows, so no leaf is ever one task.
+    # A leaf's order is cut into parts of about part_rows rows, and these into shelves, so no leaf is ever one task.
     share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     drawn = drawn.withColumn("part", F.floor(share * F.col("parts")))
-    sums = drawn.groupBy(*key, "epoch", "part").agg(F.sum("tokens").alias("sum"))
-    upto = Window.partitionBy(*key, "epoch").orderBy("part")
-    ahead = sums.select(*key, "epoch", "part", (F.sum("sum").over(upto) - F.col("sum")).alias("ahead"))
+    sums = drawn.groupBy(*key, "epoch", "part").agg(F.sum("tokens").alias("sum")).withColumn("shelf", F.floor(F.col("part") / SHELF))
+    shelves = sums.groupBy(*key, "epoch", "shelf").agg(F.sum("sum").alias("all"))
+    upto = lambda order, *by: Window.partitionBy(*key, "epoch", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    shelves = shelves.select(*key, "epoch", "shelf", (F.sum("all").over(upto("shelf")) - F.col("all")).alias("below"))
+    ahead = sums.withColumn("beside", F.sum("sum").over(upto("part", "shelf")) - F.col("sum")).join(shelves, [*key, "epoch", "shelf"])
+    ahead = ahead.select(*key, "epoch", "part", (F.col("below") + F.col("beside")).alias("ahead"))
     within = Window.partitionBy(*key, "epoch", "part").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = drawn.join(ahead, [*key, "epoch", "part"]).withColumn("start", F.col("ahead") + F.sum("tokens").over(within) - F.col("tokens"))
     if crossing:
