@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import mixing, packing, sharding
+from tessera.llm import mixing, packing, queries, sharding
 
+SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, tokens string"
 
 
@@ -106,13 +107,37 @@ def test_shards_have_equal_bytes_and_gapless_places(spark, tmp_path):
     chosen.save(spark, path)
     assert sharding.SlotMap.load(spark, path) == chosen and sharding.SlotMap.load(spark, path, 1) == first
     # An edit of a balanced map leaves it; a grown one moves slots to the new shard.
-    size, _ = sharding.slot_bytes(df, "doc_id", "text")
+    size, _ = sharding.slot_bytes(df.select(sharding.record_size().alias("size"), sharding.mark_of().alias("mark")))
     assert chosen.rebalanced(size).owner == chosen.owner
     grown = chosen.rebalanced(size, 7)
     load = np.bincount(grown.owner, size, 7)
     assert load.max() - load.min() <= 64
 
 
+def test_shards_of_one_id_are_even_and_maps_are_stored(spark, tmp_path):
+    df = spark.createDataFrame([(None if i % 3 else 7, f"t{i} " * (i % 40)) for i in range(2000)], "doc_id long, text string")
+    path = str(tmp_path / "maps")
+    for version in (2, 3):
+        got = sharding.shard_by_stored_map(df, path, 8).toPandas()
+        sizes = got.assign(size=[len(t) + 8 for t in got["text"]]).groupby("shard")["size"].sum()
+        assert len(sizes) == 8 and sizes.max() - sizes.min() <= 64 and set(got["map_version"]) == {version}
+    assert sharding.SlotMap.load(spark, path).version == 3
+
+
+def test_sharding_query_against_its_contract(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = queries.op7_sharding(spark, SF).toPandas().set_index("doc_id")
+    assert len(got) == len(rows) and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    for r in rows:
+        data = (r["text"] or "").encode()
+        assert got.at[r["doc_id"], "size"] == len(data) + 8
+        assert r["text"] is None or got.at[r["doc_id"], "text_crc32"] == zlib.crc32(data)
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    sizes = got.groupby("shard")["size"].sum()
+    assert sorted(sizes.index) == list(range(24)) and sizes.max() - sizes.min() <= 0.01 * sizes.mean()
+
+
 def test_shards_of_nothing(spark):
     placed, chosen = sharding.shard(spark.createDataFrame([], "doc_id long, text string"), 4)
     assert placed.collect() == [] and Counter(chosen.owner) == dict.fromkeys(range(4), sharding.SLOTS // 4)
@@ -140,7 +165,7 @@ def test_packing_round_trip(spark):
     texts = [" ".join(rng.choice(["the", "Ünï", "x1", "\n\n", "a'll", "<|endoftext|>"]) for _ in range(rng.choice([0, 1, 9, 60, 700]))) for _ in range(80)]
     texts += [None, "", "word " * 30_000, "a" * 5000]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[0], 0)], "doc_id long, text string, length int")
-    got = packing.pack(packing.tokenized(df), rank_rows=20).toPandas()
+    got = packing.pack(packing.tokenized(df.repartition(7))).toPandas()
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in enumerate(texts):
         ids = np.array([*exact.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -155,6 +180,51 @@ def test_packing_round_trip(spark):
     assert by["sequence_id"].nunique() <= max(-(-by["length"].sum() // 2048), (by["length"] > 1024).sum()) + 1
 
 
+def test_ids_are_those_of_the_named_library(spark):
+    """All documents of sf0.01, and texts around and beyond two million characters."""
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(None)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    prose = " ".join(texts)
+    texts += [prose[:1_999_999], prose[:2_000_001], "a" * 2_000_100, " " * 2_000_100, "\n \n" * 700_000, "x<|endoftext|>" * 150_000, "½²Ⅷ\u0301é\U0001f600\ud7ff"]
+    for t in texts:
+        assert encode(t) == exact.encode(t, add_special_tokens=False).ids
+
+
+def one_bin_at_a_time(lengths, capacity):
+    """Best-two-fit without a histogram: the longest that fits until none does, then the smallest for the two that fill its gap best."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own = []
+        while fit := [x for x in left if x <= capacity - sum(own)]:
+            own.append(fit[0])
+            left.remove(fit[0])
+        room = capacity - sum(own) + own[-1]
+        if sum(own) < capacity:
+            pairs = [(a + b, -a) for i, a in enumerate(left) for b in left[i + 1 :] if own[-1] < a + b <= room]
+            if pairs:
+                total, a = max((t, max(-x, t + x)) for t, x in pairs)
+                best = max(t for t, _ in pairs)
+                chosen = min((min(-x, t + x), max(-x, t + x)) for t, x in pairs if t == best)
+                left.append(own.pop())
+                for x in chosen:
+                    own.append(x)
+                    left.remove(x)
+                left.sort(reverse=True)
+        bins.append(tuple(sorted(own, reverse=True)))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_patterns_are_those_of_one_bin_at_a_time(seed):
+    rng = random.Random(seed)
+    lengths = [min(60, max(1, int(rng.lognormvariate(2.5, 0.9)))) for _ in range(150)]
+    plan = [b for b, times in packing.best_two_fit(Counter(lengths), 60) for _ in range(times)]
+    brute = one_bin_at_a_time(lengths, 60)
+    assert sorted(x for b in plan for x in b) == sorted(lengths)
+    assert abs(len(plan) - len(brute)) <= 1
+    assert plan[0] == brute[0] or sum(plan[0]) == sum(brute[0])
+
+
 def test_packing_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.tokenized(df)).collect() == []

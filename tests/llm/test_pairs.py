@@ -152,6 +152,29 @@ def test_vector_links_are_those_of_brute_force(spark, monkeypatch, block):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i, _, _ in ODD)
 
 
+def test_vectors_of_repeated_ids_and_labels(spark):
+    """Two unrelated vectors of one id: each has the links of its own vector, and what these reach stays apart."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda x: [v + 0.01 for v in x]
+    rows = [(1, a, 1, 0), (1, b, 1, 0), (2, near(a), 1, 0), (3, near(b), 1, 0), (4, a, 2, 0), (5, a, 2, 0), (5, a, 2, 0), (None, a, 1, 0)]
+    for order in (rows, rows[::-1]):
+        got = capfilter.vector_duplicates(spark.createDataFrame(order, "vec_id long, embedding array<double>, label int, kept int")).collect()
+        told = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got)
+        assert told == [(0, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False)]
+
+
+def test_list_decoding_against_all_filters():
+    rng = np.random.default_rng(8)
+    code = capfilter.ProductCode(12, 30, 0.55)
+    x = rng.standard_normal((40, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turned = x @ code.rotation
+    every = (turned[:, :6] @ code.codes[0].T)[:, :, None] + (turned[:, 6:] @ code.codes[1].T)[:, None, :]
+    for got, all_ in zip(code.decode(x, 5), every.reshape(40, -1), strict=True):
+        cut = min(0.55, np.sort(all_)[-5])
+        assert got.tolist() == np.flatnonzero(all_ >= cut - 1e-12).tolist()
+
+
 def test_vector_duplicates_of_nothing(spark):
     assert capfilter.vector_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
@@ -180,6 +203,34 @@ def test_nearest_against_brute_force(spark, monkeypatch, cell):
     assert set(got["query_id"]) == set(range(0, 900, 20))
 
 
+def test_nearest_verifies_few_and_finds_most(spark):
+    """Vectors with close neighbours: the stop test fires, and recall stays."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x[1::2] = x[::2] + 0.3 * rng.standard_normal((1500, 64))
+    rows = spark.createDataFrame([(i, x[i].tolist(), "x", 0) for i in range(3000)], "vec_id long, embedding array<double>, rank string, d int")
+    asks = F.col("vec_id") % 100 == 0
+    held = ann.verified(rows, asks, k=1).toPandas()
+    assert sorted(held["query_id"]) == list(range(0, 3000, 100)) and held["verified"].mean() < 0.1 * 3000
+    got = {r["query_id"]: r["vec_id"] for r in ann.nearest(rows, asks, k=1).collect()}
+    want = {i: int(np.argsort(((x - x[i]) ** 2).sum(axis=1))[1]) for i in range(0, 3000, 100)}
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+
+
+def test_projected_neighbours_come_in_order():
+    x = np.random.default_rng(7).standard_normal((2000, 40))
+    index = ann.Index(np.arange(2000), x)
+    d = np.concatenate([d for d, _ in index.neighbours(x[5] @ index.r)])
+    np.testing.assert_allclose(d, np.sort(((x @ index.r - x[5] @ index.r) ** 2).sum(axis=1)))
+
+
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0]), (1, [1.0, 1.0]), (1, [1.0, 8.0]), (None, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        got = ann.nearest(spark.createDataFrame(order, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2**0.5), (0, 1, 65**0.5)]
+
+
 def test_nearest_of_few_and_of_ties(spark):
     schema = "vec_id long, embedding array<float>"
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (5, [1.0, 1.0]), (3, [1.0, 1.0])], schema), F.col("vec_id") == 0)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gzip
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, lm, quality, warc
+from tessera.llm import langid, lm, quality, queries, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,7 +28,8 @@ def test_language_backoff_and_edge_cases(spark):
     model = langid.BackoffModel(iter([("en", "the cat sat on the mat " * 3), ("de", "der hund saß auf der matte über " * 3)]))
     assert model.predict("the", {})[0] == "en"
     assert model.predict("überhund", {})[0] == "de"
-    assert model.predict(None, {}) == model.predict("12 34 !!", {}) == ("und", 0.0)
+    assert model.predict(None, {}) == model.predict("12 34 !!", {}) == model.predict("½ ² Ⅷ ①", {}) == ("und", 0.0)
+    assert langid.counted("Ab² ab½ab x_y") == {"ab": 3, "x": 1, "y": 1}
     rows = [(1, None, "en", "s"), (2, "", None, "s"), (3, "the cat", "de", "s"), (3, "the cat", "de", "s"), (4, "the cat " * 50_000, "de", "s"), (None, "der", "de", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(df, model).orderBy("doc_id").collect()]
@@ -36,6 +38,56 @@ def test_language_backoff_and_edge_cases(spark):
     assert langid.identify(empty, langid.train(empty)).collect() == []
 
 
+def brute_language(samples, text):
+    """Words first, then ever shorter n-grams, with plain dictionaries and loops."""
+    langs = sorted({g for g, _ in samples})
+    words = {g: Counter(w for h, t in samples if h == g for w in langid.counted(t).elements()) for g in langs}
+    tables = [words]
+    for size in range(1, 6):
+        tables.append({g: Counter() for g in langs})
+        for g in langs:
+            for w, n in words[g].items():
+                marked = f"^{w}$" if size > 1 else w
+                for i in range(len(marked) - size + 1):
+                    tables[-1][g][marked[i : i + size]] += n
+    known = [{k for k, n in sum(t.values(), Counter()).items() if n >= 2} for t in tables]
+    log = lambda level, k, g: math.log((tables[level][g][k] + 0.5) / (tables[level][g].total() + 0.5 * len(known[level])))
+    total, n = dict.fromkeys(langs, 0.0), 0
+    for w, c in langid.counted(text).items():
+        for level in (0, 5, 4, 3, 2, 1):
+            marked = w if level < 2 else f"^{w}$"
+            keys = [w] if level == 0 else [marked[i : i + level] for i in range(len(marked) - level + 1)]
+            found = [k for k in keys if k in known[level]]
+            if found:
+                for g in langs:
+                    total[g] += c * sum(log(level, k, g) for k in found) / len(found)
+                n += c
+                break
+    best = max(langs, key=lambda g: (total[g], -langs.index(g)))
+    part = min(n, 50) / max(n, 1)
+    return best, 1 / sum(math.exp(part * (x - total[best])) for x in total.values())
+
+
+def test_language_against_brute_force(spark):
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(300).collect() if r["text"] and r["lang"]]
+    samples = [(r["lang"], r["text"][:400]) for r in rows[:60]]
+    model = langid.BackoffModel(iter(samples))
+    for r in rows[60:120]:
+        lang, score = model.predict(r["text"][:300], {})
+        want, p = brute_language(samples, r["text"][:300])
+        assert lang == want and score == pytest.approx(p, rel=1e-3)
+
+
+def test_language_query_against_its_contract(spark):
+    """Rows, the held-out mark, and that predictions of the query learn nothing from held-out rows."""
+    got = queries.op3_langid(spark, SF).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    assert len(got) == len(docs) and got["score"].between(0, 1).all()
+    assert all(got.at[r["doc_id"], "held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in docs)
+    model, memory = langid.BackoffModel((r["lang"], r["text"]) for r in docs if r["lang"] and r["text"] is not None and not got.at[r["doc_id"], "held_out"]), {}
+    assert all(got.at[r["doc_id"], "lang_pred"] == model.predict(r["text"], memory)[0] for r in docs)
+
+
 def test_language_learns_nothing_from_held_out_rows(spark):
     docs = spark.createDataFrame([(i, "abc def", "xx" if i % 2 else "yy") for i in range(400)], "doc_id long, text string, lang string")
     kept = langid.train(docs.filter(langid.held_out()))
@@ -67,6 +119,26 @@ def test_quality_draws_the_k_largest_keys(spark):
     assert quality.resample(docs, blind).filter("kept").count() == 120
 
 
+def test_quality_against_brute_force(spark):
+    """Counts, ratios and weights by dictionaries; repeated ids, clashing names."""
+    texts = ["a b c", "a b b b", "x!! y!!", None, " ", "a c x", "long " * 3000]
+    rows = [(i % 6, t, 1.0, "k") for i, t in enumerate(texts * 3)] + [(None, "a b", 2.0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_weight double, kept string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (5, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    count = lambda ts: Counter(f for t in ts for f in quality.features(t).tolist())
+    raw, good = count(r[1] for r in rows), count(r[1] for r in rows if r[0] in (0, 5))
+    pseudo = 0.01 * quality.BUCKETS
+    ratio = {f: math.log((good[f] + pseudo * n / raw.total()) / (good.total() + pseudo) / (n / raw.total())) for f, n in raw.items()}
+    got = quality.resample(docs, model).collect()
+    assert len(got) == len(rows)
+    want = sorted(sum(ratio[f] for f in quality.features(r[1]).tolist()) for r in rows)
+    np.testing.assert_allclose(sorted(r["log_weight"] for r in got), want, rtol=1e-9, atol=1e-9)
+    keys = sorted((r["sample_key"] for r in got), reverse=True)
+    k = sum(r["log_weight"] >= model.cut for r in got)
+    assert all(r["kept"] == (r["sample_key"] >= keys[k - 1]) for r in got)
+
+
 def test_kth_largest_with_ties(spark):
     x = [1.0] * 50 + [2.0] * 3 + [float(i) / 7 for i in range(100)]
     df = spark.createDataFrame([(v,) for v in x], "v double")
@@ -101,7 +173,7 @@ def test_backoff_scores_against_brute_force(spark, order):
     rng = np.random.default_rng(order)
     texts = [" ".join(f"w{int(rng.integers(0, 30))}" for _ in range(int(rng.integers(0, 80)))) for _ in range(60)] + [None, "", " \n", "W1 w1 W2", "w1 " * 5000]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, log_score double")
-    got = lm.score_documents(df, order, batch_bytes=2000, partition_grams=300).toPandas().sort_values("doc_id")
+    got = lm.score_documents(df, order).toPandas().sort_values("doc_id")
     np.testing.assert_allclose(got["log_score"], brute_scores(texts, order, 0.4, 2), rtol=1e-9, atol=1e-9)
     assert got["n_words"].tolist() == [len((t or "").split()) for t in texts]
     assert got.loc[got["n_words"] == 0, "mean_log_score"].isna().all()
@@ -110,8 +182,11 @@ def test_backoff_scores_against_brute_force(spark, order):
 def test_backoff_scores_of_nothing_and_of_repeats(spark):
     schema = "doc_id long, text string"
     assert lm.score_documents(spark.createDataFrame([], schema)).collect() == []
-    got = lm.score_documents(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], schema)).collect()
-    assert sorted((str(r["doc_id"]), r["n_words"]) for r in got) == [("1", 2), ("1", 2), ("None", 0)]
+    texts = ["a b", "a b", "a b c", None, None, "b c"]
+    df = spark.createDataFrame(list(zip([1, 1, 1, None, None, None], texts, strict=True)), schema)
+    got = sorted((r["n_words"], r["log_score"]) for r in lm.score_documents(df).collect())
+    want = sorted(zip((len((t or "").split()) for t in texts), brute_scores(texts, 3, 0.4, 2), strict=True))
+    np.testing.assert_allclose(got, want)
 
 
 PAGE = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{x}</style></head><body><!-- no --><p>Un <b>deux</b>&nbsp;trois</p><script>var t="</p>";</script><ul><li><a href="/x?a=1&amp;b=2">ici</a></li><li><a href=\'/y\'>là</a> <a href=/x?a=1&amp;b=2>again</a></ul></body></html>'
