@@ -93,18 +93,18 @@ def budgets(rows: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, weigh
     return parent.select(*LEVELS, "rows", "supply", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
-def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, part_rows: int = PART_ROWS, crossing: bool = False) -> DataFrame:
+def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, part_rows: int = PART_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch and start for every selection of a row.
 
     rows comes from leaves(), plan from budgets(). A leaf takes its rows whole in
-    every epoch its budget covers; in the last, those whose tokens end within
-    what is left of the budget, in the order of md5(seed:epoch:doc_id). start is
-    the number of the leaf's tokens before the row in that order. Rows without
-    words are never taken. Rows that repeat an id are selected each; where their
-    order is tied, the longer one comes last. Further columns of rows follow.
-
-    With `crossing` the row that crosses the end of the budget is taken, too, and
-    its tokens are those that fit, so every leaf gets its whole budget.
+    every epoch its budget covers; in the last, a prefix of what is left of the
+    budget, in the order of md5(seed:epoch:doc_id). start is the number of the
+    leaf's tokens before the row in that order; tokens are those that are taken:
+    of the row that crosses the end of the budget, its first ones, so that every
+    leaf gets its whole budget. Rows without words are never taken. Rows that
+    repeat an id are selected each; where their order is tied, the longer one
+    comes last. Further columns of rows follow. Where rows carry texts, `counted`
+    may give the same rows without, for the sums.
     """
     key = list(LEVELS)
     more = [c for c in rows.columns if c not in ("doc_id", *key, "tokens")]
@@ -114,13 +114,17 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     # One row for each leaf: while they are few, rows and what they carry aren't dealt by leaf.
     usable = usable.drop("rows")
     few = usable.limit(LEAVES + 1).count() <= LEAVES
-    drawn = rows.filter("tokens > 0").join(F.broadcast(usable) if few else usable, key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    drawn = drawn.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
-    drawn = drawn.withColumn("left", F.least("supply", F.col("budget") - F.col("epoch") * F.col("supply")))
-    # A leaf's order is cut into parts of about part_rows rows, and these into shelves, so no leaf is ever one task.
-    share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    drawn = drawn.withColumn("part", F.floor(share * F.col("parts")))
-    sums = drawn.groupBy(*key, "epoch", "part").agg(F.sum("tokens").alias("sum")).withColumn("shelf", F.floor(F.col("part") / SHELF))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        """The rows of every epoch. A leaf's order is cut into parts of about part_rows rows, and these into shelves, so no leaf is ever one task."""
+        drawn = some.filter("tokens > 0").join(F.broadcast(usable) if few else usable, key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        drawn = drawn.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
+        drawn = drawn.withColumn("left", F.least("supply", F.col("budget") - F.col("epoch") * F.col("supply")))
+        share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+        return drawn.withColumn("part", F.floor(share * F.col("parts")))
+
+    drawn = dealt(rows)
+    sums = dealt(rows if counted is None else counted).groupBy(*key, "epoch", "part").agg(F.sum("tokens").alias("sum")).withColumn("shelf", F.floor(F.col("part") / SHELF))
     shelves = sums.groupBy(*key, "epoch", "shelf").agg(F.sum("sum").alias("all"))
     upto = lambda order, *by: Window.partitionBy(*key, "epoch", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     shelves = shelves.select(*key, "epoch", "shelf", (F.sum("all").over(upto("shelf")) - F.col("all")).alias("below"))
@@ -128,9 +132,8 @@ def mix(rows: DataFrame, plan: DataFrame, epochs: int = EPOCHS, seed: int = 0, p
     ahead = ahead.select(*key, "epoch", "part", (F.col("below") + F.col("beside")).alias("ahead"))
     within = Window.partitionBy(*key, "epoch", "part").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = drawn.join(ahead, [*key, "epoch", "part"]).withColumn("start", F.col("ahead") + F.sum("tokens").over(within) - F.col("tokens"))
-    if crossing:
-        placed = placed.filter(F.col("start") < F.col("left")).withColumn("tokens", F.least("tokens", F.col("left") - F.col("start")).cast("long"))
-    return placed.filter(F.col("start") + F.col("tokens") <= F.col("left")).select("doc_id", *key, "tokens", "epoch", "start", *more)
+    placed = placed.filter(F.col("start") < F.col("left")).withColumn("tokens", F.least("tokens", F.col("left") - F.col("start")).cast("long"))
+    return placed.select("doc_id", *key, "tokens", "epoch", "start", *more)
 
 
 def achieved(plan: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ WITH r AS (
 ), o AS (
   SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('0:' || epoch::VARCHAR || ':' || doc_id::VARCHAR), tokens ROWS UNBOUNDED PRECEDING) - tokens AS start FROM e
 )
-SELECT doc_id, domain, lang, source, tokens, epoch, start::BIGINT AS start FROM o WHERE start + tokens <= least(supply, budget - epoch * supply)
+SELECT doc_id, domain, lang, source, least(tokens, least(supply, budget - epoch * supply) - start)::BIGINT AS tokens, epoch, start::BIGINT AS start
+FROM o WHERE start < least(supply, budget - epoch * supply)
 """
 
 OP6 = r"""

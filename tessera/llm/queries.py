@@ -36,7 +36,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
     h = F.col("headers")
     return made.select(
-        "record_id", "warc_type", "refers_to", "target_uri", "content_type", "block", h["WARC-Block-Digest"].alias("block_digest"),
+        "record_id", "warc_type", "refers_to", "target_uri", "content_type", F.col("block").cast("string").alias("block"), h["WARC-Block-Digest"].alias("block_digest"),
         h["WARC-Source-Payload-Digest"].alias("source_digest"), h["Content-Length"].cast("long").alias("content_length"),
     )
 
