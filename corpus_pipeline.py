@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, mixing, packing, quality
-from tessera.llm.common import shared_folder, table, unused_name
+from tessera.llm.common import checkpointed, shared_folder, table, unused_name
 
 #: Least posterior of a document's language.
 SURE = 0.5
@@ -54,10 +54,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of one epoch of the mixture: equal domains, languages and sources, as far as they reach.
 
-    Each row is drawn by itself, whether its id is null or repeated.
+    Each row is drawn by itself, whether its id is null or repeated; one that
+    crosses the end of its leaf's budget is kept whole.
     """
+    counted = checkpointed(mixing.leaves(docs))
     rows = mixing.leaves(docs, F.struct("*").alias("row"))
-    return mixing.mix(rows, mixing.budgets(rows, budget=0.8, epochs=1), epochs=1).select("row.*")
+    return mixing.mix(rows, mixing.budgets(counted, budget=0.8, epochs=1), epochs=1, counted=counted).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
