@@ -5,16 +5,18 @@ from __future__ import annotations
 import argparse
 import sys
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import reports
 from tessera.config import Settings
-from tessera.errors import PriceDataError, RiskError, VaRError
+from tessera.errors import CovarianceError, PriceDataError, RiskError, VaRError
 from tessera.operators import backtest, covariance, coverage, crosscheck, decompose, optimize, rebalance, regression, returns, stats, stress, var, views
 from tessera.schemas import FACTOR_DAYS, STYLES
-from tessera.sources import scores, spec
-from tessera.sources.store import PriceStore, normalize
+from tessera.operators.materialize import materialized
+from tessera.sources import filings, scores, spec
+from tessera.sources.store import PriceStore, csv_frames
 
 VERSION = "0.1.0"
 
@@ -30,8 +32,39 @@ def _series(prices: DataFrame, path: str) -> DataFrame:
     return stats.blended(returns.load_returns(prices, [p.symbol for p in book.positions], check=True), weights)
 
 
-def _model(spark: SparkSession, prices: DataFrame, a) -> regression.FactorModel:
-    return regression.fit(regression.panel(prices, spark.read.parquet(a.fundamentals)), check=True)
+def value_at_risk(prices: DataFrame, path: str, confidence: float, horizon: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """method, confidence, horizon, var, es, money and reason: a method that can't answer has a reason alone. Simulation takes its scale from the trailing year."""
+    spark, (book, weights) = prices.sparkSession, _book(prices, path)
+    nav = (weights.first() or {"nav": None})["nav"]
+    r = materialized(returns.load_returns(prices, [p.symbol for p in book.positions], start, end, check=True))
+    s = materialized(stats.blended(r, weights))
+    short = f"more than {var.BURN + var.needed(confidence)} returns are needed" if 0.5 < confidence < 1 else ""
+
+    def simulated() -> DataFrame:
+        days = r.select("date").distinct().orderBy(F.desc("date")).limit(stats.YEAR)
+        cov = views.full(covariance.ledoit_wolf(r.join(days, "date", "left_semi"))).toPandas()  # of one book
+        m = cov.pivot(index="sym_i", columns="sym_j", values="cov").sort_index().sort_index(axis=1)
+        held = {w["symbol"]: w["weight"] for w in weights.collect()}
+        return var.monte_carlo(spark, np.array([held[x] for x in m.columns]), m.to_numpy(), confidence, horizon)
+
+    def enough(f) -> DataFrame:
+        var.check(confidence, horizon, s)
+        return f(s, confidence, horizon)
+
+    rows: list[tuple] = []
+    methods = {"parametric": var.parametric, "cornish_fisher": var.cornish_fisher_var, "historical": var.historical, "filtered_historical": var.filtered_historical}
+    for name, compute in [*((n, lambda f=f: enough(f)) for n, f in methods.items()), ("monte_carlo", simulated)]:
+        try:
+            found = compute().first()
+            ok = found is not None and found["var"] is not None
+            rows.append((name, confidence, horizon, found["var"], found["es"], found["var"] * nav if nav else None, None) if ok else (name, None, None, None, None, None, short))
+        except (VaRError, CovarianceError) as e:
+            rows.append((name, None, None, None, None, None, str(e)))
+    return spark.createDataFrame(rows, "method string, confidence double, horizon int, var double, es double, money double, reason string")
+
+
+def _panel(spark: SparkSession, prices: DataFrame, a) -> DataFrame:
+    return materialized(regression.panel(prices, spark.read.parquet(a.fundamentals), check=True, start=a.start, end=a.end))
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
@@ -39,8 +72,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         return [VERSION]
     store = PriceStore(spark, a.store)
     if a.command == "ingest":
-        n = store.ingest(a.symbols, lambda s: spark.read.csv(f"{a.source}/{s}.csv", header=True, inferSchema=True))
+        n = store.ingest(a.symbols, csv_frames(spark, a.source), a.start)
         return [f"{s}: {k} bars" for s, k in n.items()]
+    if a.command == "filings":
+        ciks = filings.cik_map(spark, a.ciks)
+        return [f"{filings.store(spark, a.fundamentals, filings.read_facts(spark, a.source, ciks), ciks, a.symbols)} new filings"]
     if a.command == "import":
         return [f"{store.import_from(spark.read.parquet(a.source))} new bars"]
     prices = store.read()
@@ -69,13 +105,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
                 f.write(spec.dump_targets({r["symbol"]: r["weight"] for r in target.orderBy("symbol").collect()}))
         return [reports.text(reports.with_tilt(post.join(target, "symbol")), "targets")]
     if a.command == "var":
-        s = _series(prices, a.portfolio)
-        var.check(a.confidence, a.horizon, s)
-        found = [f(s, a.confidence, a.horizon) for f in (var.parametric, var.cornish_fisher_var, var.historical, var.filtered_historical)]
-        rows = found[0]
-        for x in found[1:]:
-            rows = rows.unionByName(x)
-        return [reports.text(rows, "value at risk")]
+        return [reports.text(value_at_risk(prices, a.portfolio, a.confidence, a.horizon, a.start, a.end), "value at risk and expected shortfall")]
     if a.command == "validate-var":
         s = _series(prices, a.portfolio)
         var.check(a.confidence, 1, s, a.window + 2)
@@ -87,20 +117,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
                 out.append(f"{m}: {e}")
         return out
     if a.command == "validate-factors":
-        own = _model(spark, prices, a).factor_returns
+        own = regression.fit(_panel(spark, prices, a), check=True).factor_returns
         return [reports.text(crosscheck.cross_check(own, spark.read.schema(FACTOR_DAYS).parquet(a.published)), "factors against published ones")]
     if a.command == "decompose":
-        model = _model(spark, prices, a)
-        panel = regression.panel(prices, spark.read.parquet(a.fundamentals))
+        panel = _panel(spark, prices, a)
+        model = regression.fit(panel, check=True)
         last = panel.agg(F.max("as_of")).first()[0]
         x, (_, weights) = panel.filter(F.col("as_of") == last).select("symbol", *STYLES), _book(prices, a.portfolio)
-        decompose.check(weights, x, model.specific)
         total, factors, positions = decompose.decompose(weights, x, model.factor_cov, model.specific)
         return [reports.text(total, "risk"), reports.text(factors, "factors"), reports.text(reports.flagged(positions), "positions")]
     if a.command == "stress":
         _, weights = _book(prices, a.portfolio)
         if a.shock:
-            x = regression.panel(prices, spark.read.parquet(a.fundamentals))
+            x = _panel(spark, prices, a)
             x = x.filter(F.col("as_of") == x.agg(F.max("as_of")).first()[0])
             return [reports.text(stress.factor_shock(weights, x, {k: float(v) for k, _, v in (s.partition("=") for s in a.shock)}, STYLES), "shock")]
         known = {n: (s, e) for n, s, e, _ in stress.SCENARIOS}
@@ -125,17 +154,19 @@ def parser() -> argparse.ArgumentParser:
     book, sure = ("portfolio", {}), ("--confidence", {"type": float, "default": s.confidence})
     facts, many = ("--fundamentals", {"default": "warehouse/fundamentals"}), ("symbols", {"nargs": "+"})
     command("version")
-    command("ingest", many, ("--source", {"required": True}))
+    command("ingest", many, ("--source", {"required": True}), ("--start", {}))
+    command("filings", many, ("--source", {"required": True}), ("--ciks", {"required": True}), facts)
     command("import", ("source", {}))
     command("stats", book, ("--benchmark", {}))
     command("cov-compare", many, *walk)
     command("optimize-compare", many, *walk)
     command("optimize-views", ("scores", {}), ("--risk-aversion", {"type": float, "default": 2.5}), ("--out", {}))
-    command("var", book, sure, ("--horizon", {"type": int, "default": 1}))
+    command("var", book, sure, ("--horizon", {"type": int, "default": 1}), ("--start", {}), ("--end", {}))
     command("validate-var", book, sure, ("--window", {"type": int, "default": 750}))
-    command("validate-factors", facts, ("--published", {"required": True}))
-    command("decompose", book, facts)
-    command("stress", book, facts, ("--scenario", {"default": "covid2020", "choices": [x[0] for x in stress.SCENARIOS]}), ("--shock", {"nargs": "*"}))
+    span = [("--start", {}), ("--end", {})]
+    command("validate-factors", facts, ("--published", {"required": True}), *span)
+    command("decompose", book, facts, *span)
+    command("stress", book, facts, *span, ("--scenario", {"default": "covid2020", "choices": [x[0] for x in stress.SCENARIOS]}), ("--shock", {"nargs": "*"}))
     command("rebalance", book, ("target", {}), ("--band", {"type": float, "default": 0.05}), ("--cost-bps", {"type": float, "default": s.cost_bps}), ("--min-trade", {"type": float, "default": 0.0}))
     return p
 

@@ -53,17 +53,20 @@ def solved_targets(rows: DataFrame, strategies: Mapping[str, WeightsFn], window:
     """TARGETS of every strategy and rebalance, each from the window of rows before it; a failure is a row with its error.
 
     A row of returns goes to the windows that hold it, which are known from its
-    number: at most window / step + 1 of them.
+    number: at most window / step + 1 of them. A window is sent once and solved
+    by all strategies.
     """
     last = rows.agg(F.max("k").alias("last"))
     lo, hi = F.greatest(F.floor((F.col("row") - window) / step) + 1, F.lit(0)), F.least(F.floor(F.col("row") / step), F.col("last"))
     # Row r is in the window of rebalance k, [k step, k step + window), for these k.
     spread = rows.crossJoin(F.broadcast(last)).withColumn("at", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))))  # last: one row
-    named = spread.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies]))).select("strategy", F.col("at").cast("int").alias("k"), "row", "symbol", "r")
+    windows = spread.select(F.col("at").cast("int").alias("k"), "row", "symbol", "r")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        strategy, k = pdf["strategy"].iloc[0], int(pdf["k"].iloc[0])
+    def solve_all(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot(index="row", columns="symbol", values="r").sort_index().sort_index(axis=1)
+        return pd.concat([solve(strategy, int(pdf["k"].iloc[0]), x) for strategy in strategies])
+
+    def solve(strategy: str, k: int, x: pd.DataFrame) -> pd.DataFrame:
         try:
             w = validated(strategies[strategy](x), list(x.columns), strategy)
             extra = note(strategy, x) if note else None
@@ -71,7 +74,7 @@ def solved_targets(rows: DataFrame, strategies: Mapping[str, WeightsFn], window:
             return pd.DataFrame([(strategy, k, None, None, None, str(e))], columns=["strategy", "k", "symbol", "weight", "note", "error"])
         return pd.DataFrame({"strategy": strategy, "k": k, "symbol": w.index, "weight": w.to_numpy(float), "note": extra, "error": None})
 
-    return named.groupBy("strategy", "k").applyInPandas(solve, TARGETS)
+    return windows.groupBy("k").applyInPandas(solve_all, TARGETS)
 
 
 def walk(rows: DataFrame, targets: DataFrame, cost_bps: float = 2.0) -> tuple[DataFrame, DataFrame]:
@@ -88,10 +91,10 @@ def walk(rows: DataFrame, targets: DataFrame, cost_bps: float = 2.0) -> tuple[Da
     worth = materialized(paths.join(held, ["k", "symbol"]).select("strategy", "k", "symbol", "date", "row", (F.col("weight") * F.col("growth")).alias("worth")))
     total = worth.groupBy("strategy", "k", "date", "row").agg(F.sum("worth").alias("value"))
     inside = Window.partitionBy("strategy", "k").orderBy("row")
-    gross = total.withColumn("gross", F.col("value") / F.coalesce(F.lag("value").over(inside), F.lit(1.0)) - 1)
+    gross = total.withColumn("gross", F.try_divide(F.col("value"), F.coalesce(F.lag("value").over(inside), F.lit(1.0))) - 1)
     end = worth.groupBy("strategy", "k", "symbol").agg(F.max_by("worth", "row").alias("worth"))
     whole = Window.partitionBy("strategy", "k")
-    drifted = end.select("strategy", (F.col("k") + 1).alias("k"), "symbol", (F.col("worth") / F.sum("worth").over(whole)).alias("had"))
+    drifted = end.select("strategy", (F.col("k") + 1).alias("k"), "symbol", F.try_divide(F.col("worth"), F.sum("worth").over(whole)).alias("had"))
     both = held.join(drifted, ["strategy", "k", "symbol"], "full").join(held.select("strategy", "k").distinct(), ["strategy", "k"], "left_semi")
     trades = both.groupBy("strategy", "k").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("had", F.lit(0.0)))).alias("traded"))
     first = F.row_number().over(inside) == 1
@@ -110,6 +113,12 @@ def results(days: DataFrame, trades: DataFrame) -> DataFrame:
     return out.select("strategy", "n", F.col("cagr").alias("ann_return"), "vol", "sharpe", "max_drawdown", "avg_turnover", (F.col("gross_cagr") - F.col("cagr")).alias("cost_drag"), "n_rebalances", "wiped_out")
 
 
+def failures(targets: DataFrame, outcome: DataFrame) -> DataFrame:
+    """strategy, error of those that couldn't be walked: the first error of their targets, or a day that lost everything."""
+    failed = targets.filter("error is not null").groupBy("strategy").agg(F.min_by("error", "k").alias("error"))
+    return failed.unionByName(outcome.filter("wiped_out").select("strategy", F.lit("wiped out: a day lost everything").alias("error")))
+
+
 def run(returns: DataFrame, strategies: Mapping[str, WeightsFn], window: int = 252, step: int = 21, cost_bps: float = 2.0, check_first: bool = True) -> tuple[DataFrame, DataFrame]:
     """(results, days) of a backtest of each strategy; with check_first, bad input and wiped-out books are errors."""
     if check_first:

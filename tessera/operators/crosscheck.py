@@ -32,6 +32,6 @@ def cross_check(own: DataFrame, daily: DataFrame, pairs: Sequence[tuple[str, str
     outside = compounded(daily, own.select("as_of").distinct(), cols)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(s).alias("series"), F.lit(k).alias("sign"), F.col(s).alias("there")) for f, s, k in pairs]))
     both = outside.select("as_of", each.alias("e")).select("as_of", "e.*").join(own, ["as_of", "factor"]).na.drop(subset=["there", "value"])
-    g = both.groupBy("factor", "series", "sign").agg(F.corr("value", "there").alias("c"), F.count("*").alias("periods"))
+    g = both.groupBy("factor", "series", "sign").agg(F.try_divide(F.covar_pop("value", "there"), F.stddev_pop("value") * F.stddev_pop("there")).alias("c"), F.count("*").alias("periods"))
     corr = F.when(F.col("periods") >= least, F.col("c"))
     return g.select("factor", "series", "sign", corr.alias("correlation"), "periods", F.coalesce(corr * F.col("sign") >= bar, F.lit(False)).alias("passed"))

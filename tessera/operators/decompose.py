@@ -18,7 +18,9 @@ def _long(exposures: DataFrame, styles: tuple[str, ...]) -> DataFrame:
 
 
 def check(weights: DataFrame, exposures: DataFrame, specific: DataFrame, styles: tuple[str, ...] = STYLES) -> None:
-    """Every position needs all exposures and a specific variance."""
+    """There must be positions, and every one needs all exposures and a specific variance."""
+    if weights.isEmpty():
+        raise DecompositionError("no positions")
     holes = exposures.filter(" or ".join(f"{s} is null" for s in styles)).select("symbol")
     for what, missing in (
         ("exposures", weights.join(exposures, "symbol", "left_anti")),
@@ -29,11 +31,15 @@ def check(weights: DataFrame, exposures: DataFrame, specific: DataFrame, styles:
             raise DecompositionError(f"no {what} for {names}")
 
 
-def decompose(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame, periods: int = 52, styles: tuple[str, ...] = STYLES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decompose(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame, periods: int = 52, styles: tuple[str, ...] = STYLES, check_first: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(totals: one row, factors, positions) of w'(BFB' + D)w, annualised. The symbols' own covariance is never formed.
 
     What the three results share, one row a position and factor, is computed once.
+    With check_first, positions that lack something are an error; without, they
+    are left out.
     """
+    if check_first:
+        check(weights, exposures, specific, styles)
     b = materialized(_long(exposures, styles).join(weights, "symbol"))
     x = b.groupBy("factor").agg(F.sum(F.col("weight") * F.col("b")).alias("x"))
     fx = full(factor_cov).join(x.select(F.col("factor").alias("sym_j"), "x"), "sym_j").groupBy(F.col("sym_i").alias("factor")).agg(F.sum(F.col("cov") * F.col("x")).alias("fx"))

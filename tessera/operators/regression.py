@@ -45,16 +45,31 @@ class FactorModel:
     periods: int = YEAR
 
 
-def panel(prices: DataFrame, facts: DataFrame, sectors: DataFrame | None = None, **bars: int) -> DataFrame:
-    """(as_of, symbol, STYLES, r): exposures at each week end and the return from it to the next one."""
-    days = exposures.week_ends(prices)
+#: Trading days that a panel spans at least.
+LEAST_DAYS = 10
+
+
+def panel(prices: DataFrame, facts: DataFrame, sectors: DataFrame | None = None, check: bool = False, start: str | None = None, end: str | None = None, **bars: int) -> DataFrame:
+    """(as_of, symbol, STYLES, r): exposures at each week end from start to end and the return from it to the next one.
+
+    Bars before the start count for what looks back. With check, too few days or
+    no rows are errors.
+    """
+    prices = prices if end is None else prices.filter(F.col("date") <= F.lit(end).cast("date"))
+    span = prices if start is None else prices.filter(F.col("date") >= F.lit(start).cast("date"))
+    if check and (n := span.filter("close is not null").select("date").distinct().limit(LEAST_DAYS).count()) < LEAST_DAYS:
+        raise RegressionError(f"{n} trading days make no panel")
+    days = exposures.week_ends(span)
     ordered = days.withColumn("next", F.lead("as_of").over(Window.partitionBy(F.lit(0)).orderBy("as_of"))).filter("next is not null")  # a row a week
     px = prices.select("symbol", "date", F.coalesce("adj_close", "close").alias("px")).filter("px is not null")
     a = px.select("symbol", F.col("date").alias("as_of"), F.col("px").alias("p0"))
     b = px.select("symbol", F.col("date").alias("next"), F.col("px").alias("p1"))
     moves = a.join(ordered, "as_of").join(b, ["symbol", "next"]).select("as_of", "symbol", (F.try_divide("p1", "p0") - 1).alias("r"))
     styles = exposures.clean(exposures.raw_characteristics(prices, facts, days, **bars), sectors)
-    return styles.join(moves, ["as_of", "symbol"])
+    out = styles.join(moves, ["as_of", "symbol"])
+    if check and out.isEmpty():
+        raise RegressionError("the panel is empty")
+    return out
 
 
 def fit(rows: DataFrame, lam: float = LAMBDA, periods: int = YEAR, least_obs: int = LEAST_OBS, max_skip: float = MAX_SKIP, styles: tuple[str, ...] = STYLES, check: bool = False) -> FactorModel:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from tessera.errors import StressError
 
 #: Name, first and last day, what happened; days that a window's edges may be short of.
 SCENARIOS = (
-    ("gfc2008", "2007-10-09", "2009-03-09", "global financial crisis, peak to trough"),
+    ("gfc2008", "2008-09-01", "2009-03-09", "banking crisis, autumn to the low"),
     ("covid2020", "2020-02-19", "2020-03-23", "pandemic crash"),
-    ("rates2022", "2022-01-03", "2022-10-12", "rate shock"),
+    ("rates2022", "2022-01-03", "2022-10-14", "rate shock"),
 )
 EDGE_DAYS = 7
 
@@ -28,11 +30,22 @@ def replay(weights: DataFrame, prices: DataFrame, start: str, end: str, check: b
     return out.withColumn("contribution", F.col("weight") * F.col("ret")).orderBy("contribution")
 
 
-def factor_shock(weights: DataFrame, exposures: DataFrame, shocks: dict[str, float], styles: tuple[str, ...]) -> DataFrame:
-    """factor, exposure, shock, contribution; the market's exposure is what is invested. Worst first."""
+def factor_shock(weights: DataFrame, exposures: DataFrame, shocks: dict[str, float], styles: tuple[str, ...], check: bool = True) -> DataFrame:
+    """factor, exposure, shock, contribution; the market's exposure is what is invested. Worst first.
+
+    With check, holdings without all exposures are errors; without, an exposure
+    that is unknown counts as 0, the holding still as invested.
+    """
+    if not shocks or not all(math.isfinite(x) for x in shocks.values()):
+        raise StressError(f"finite shocks are needed, got {shocks}")
     if odd := sorted(set(shocks) - {"market", *styles}):
         raise StressError(f"unknown factors {odd}")
-    held = weights.join(exposures, "symbol")
-    sums = held.agg(F.sum("weight").alias("market"), *[F.sum(F.col("weight") * F.col(s)).alias(s) for s in styles])
+    held = weights.join(exposures, "symbol", "left")
+    if check:
+        if weights.isEmpty():
+            raise StressError("no positions")
+        if holes := sorted(r["symbol"] for r in held.filter(" or ".join(f"{s} is null" for s in styles)).select("symbol").collect()):
+            raise StressError(f"no whole exposures for {holes}")
+    sums = held.agg(F.sum("weight").alias("market"), *[F.coalesce(F.sum(F.col("weight") * F.col(s)), F.lit(0.0)).alias(s) for s in styles])
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("exposure"), F.lit(float(s)).alias("shock")) for f, s in shocks.items()]))
     return sums.select(each.alias("e")).select("e.*").withColumn("contribution", F.col("exposure") * F.col("shock")).orderBy("contribution")

@@ -73,8 +73,8 @@ def cornish_fisher_var(series: DataFrame, confidence: float = 0.99, horizon: int
 
 def _tail(df: DataFrame, by: Sequence[str], col: str, confidence: float) -> DataFrame:
     """q, the quantile at 1 - confidence, and tail, the mean of what isn't above it."""
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    cut = df.withColumn("q", F.percentile(col, 1 - confidence).over(whole))
+    edge = F.broadcast(df.groupBy(*by).agg(F.percentile(col, 1 - confidence).alias("q"))) if not by else df.groupBy(*by).agg(F.percentile(col, 1 - confidence).alias("q"))
+    cut = df.join(edge, list(by)) if by else df.crossJoin(edge)  # without groups: one row
     return cut.groupBy(*by).agg(F.max("q").alias("q"), F.avg(F.when(F.col(col) <= F.col("q"), F.col(col))).alias("tail"))
 
 
@@ -90,11 +90,11 @@ def ewma_sigma(series: DataFrame, lam: float = LAMBDA, burn: int = BURN, by: Seq
 
     The recursion s' = lam s + (1 - lam) r^2 from the mean square of the burn-in
     is folded in logarithmic steps of its closed form: a running sum of
-    r^2 lam^-row. Blocks of 2000 rows keep lam^-row in range on long series.
+    r^2 lam^-row. Blocks of rows, the shorter the smaller lam, keep lam^-row in range.
     """
     if not 0 < lam < 1:
         raise VaRError(f"lambda must be between 0 and 1, got {lam}")
-    block = 2000
+    block = max(1, min(2000, int(600 / -math.log(lam))))
     rows = series.withColumn("row", F.row_number().over(over(by)) - 1)
     whole = Window.partitionBy(*(by or [F.lit(0)]))
     seed = F.avg(F.when(F.col("row") < burn, F.col("r") * F.col("r"))).over(whole)
@@ -117,11 +117,11 @@ def ewma_sigma(series: DataFrame, lam: float = LAMBDA, burn: int = BURN, by: Seq
 
 
 def filtered_historical(series: DataFrame, confidence: float = 0.99, horizon: int = 1, lam: float = LAMBDA, burn: int = BURN, by: Sequence[str] = ()) -> DataFrame:
-    """The quantile of returns in units of their own day's volatility, at tomorrow's volatility."""
+    """The quantile of returns in units of their own day's volatility, at tomorrow's volatility; null unless enough days follow the burn-in."""
     check(confidence, horizon)
     s = ewma_sigma(series, lam, burn, by)
-    z = s.filter(F.col("row") >= burn).select(*by, (F.col("r") / F.col("sigma")).alias("z"), "row", "next_sigma")
-    last = z.groupBy(*by).agg(F.max_by("next_sigma", "row").alias("next"))
+    z = s.filter(F.col("row") >= burn).select(*by, F.try_divide("r", "sigma").alias("z"), "row", "next_sigma")
+    last = z.groupBy(*by).agg(F.when(F.count("z") > needed(confidence), F.max_by("next_sigma", "row")).alias("next"))
     tail = _tail(z, by, "z", confidence)
     both = tail.join(last, list(by)) if by else tail.crossJoin(F.broadcast(last))  # one row
     scale = F.col("next") * math.sqrt(horizon)
@@ -147,19 +147,20 @@ def monte_carlo(spark: SparkSession, weights: np.ndarray, cov: np.ndarray, confi
 
 
 def rolling(series: DataFrame, method: str = "historical", confidence: float = 0.99, window: int = 750, lam: float = LAMBDA, by: Sequence[str] = ()) -> DataFrame:
-    """date, var, realized, breach of each day with a full window before it; a day never takes part in its own estimate."""
+    """date, var, realized, breach of each day with a full window before it; a day never takes part in its own estimate. A series of fewer than window + 2 days has none."""
     check(confidence)
     if method not in METHODS:
         raise VaRError(f"method must be one of {METHODS}, got {method!r}")
     past = over(by).rowsBetween(-window, -1)
     full = F.count("x").over(past) >= window
     if method == "filtered_historical":
-        rows = ewma_sigma(series, lam, min(30, window // 4), by).withColumn("x", F.col("r") / F.col("sigma"))
+        rows = ewma_sigma(series, lam, min(30, window // 4), by).withColumn("x", F.try_divide("r", "sigma"))
         var = -F.percentile("x", 1 - confidence).over(past) * F.col("sigma")
     elif method == "historical":
         rows, var = series.withColumn("x", F.col("r")), -F.percentile("x", 1 - confidence).over(past)
     else:
         rows = series.withColumn("x", F.col("r"))
         var = -(F.avg("x").over(past) + F.lit(ppf(1 - confidence)) * F.stddev_samp("x").over(past))
-    out = rows.withColumn("full_", full).withColumn("var", var).filter("full_ and var is not null")
+    long = F.count("*").over(Window.partitionBy(*(by or [F.lit(0)]))) >= window + 2
+    out = rows.withColumn("full_", full & long).withColumn("var", var).filter("full_ and var is not null")
     return out.select(*by, "date", "var", F.col("r").alias("realized"), (F.col("r") < -F.col("var")).alias("breach"))

@@ -9,6 +9,8 @@ from tessera.plans import queries as q
 
 _Z = NormalDist().inv_cdf(1 - q.CONFIDENCE)
 _PDF = NormalDist().pdf(_Z)
+#: Midpoints of the tail, in 200 parts.
+_TAIL = f"[{', '.join(repr(NormalDist().inv_cdf((1 - q.CONFIDENCE) * (i + 0.5) / 200)) for i in range(200))}]::DOUBLE[]"
 STYLES = ("value", "momentum", "size", "quality", "low_vol")
 RAW = ("bp", "ep", "log_mcap", "gp_assets", "leverage", "momentum", "vol")
 
@@ -231,6 +233,16 @@ def _risk() -> str:
 ), tt AS (SELECT (SELECT sum(part) FROM fp) AS fv, (SELECT sum(own) FROM pos) AS sv)"""
 
 
+def eliminated(systems: str, by: str = "") -> str:
+    """sol (by, i, x): linear systems (by, i, a row's coefficients and right side as a list) solved by Gauss-Jordan, a pivot a round."""
+    key, own = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f""", gauss AS (
+  SELECT {key}0 AS k, list(a ORDER BY i) AS m FROM {systems} {own}
+  UNION ALL SELECT {key}k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+    ELSE list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM gauss WHERE k < len(m)
+), sol AS (SELECT {key}unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS x FROM gauss WHERE k = len(m))"""
+
+
 def oracle_sql() -> dict[str, str]:
     half = prices("p_brand") + """, a AS (SELECT symbol, date, close, adj_close FROM prices WHERE date < DATE '1999-01-01'
 ), b AS (SELECT symbol, date, close * 1.1::DOUBLE AS close, adj_close * 1.1::DOUBLE AS adj_close FROM prices WHERE date >= DATE '1998-01-01')"""
@@ -244,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
     style = {"as_of!": None, "symbol!": None, **dict.fromkeys(STYLES)}
     moments = ", mo AS (SELECT count(r)::DOUBLE AS n, avg(r) AS mu, stddev_samp(r) AS sd, skewness(r) AS skew, kurtosis(r) AS kurt FROM ser)"
     z = f"({_Z!r}::DOUBLE)"
-    cf = f"({z} + ({z}**2 - 1) * skew / 6 + ({z}**3 - 3 * {z}) * kurt / 24 - (2 * {z}**3 - 5 * {z}) * skew * skew / 36)"
+    cf = lambda z: f"({z} + ({z}**2 - 1) * skew / 6 + ({z}**3 - 3 * {z}) * kurt / 24 - (2 * {z}**3 - 5 * {z}) * skew * skew / 36)"
     fhs = DAY + SIGMA + ", z AS (SELECT r / sigma AS z FROM sig WHERE i >= 30), nx AS (SELECT next_sigma AS nx FROM sig ORDER BY i DESC LIMIT 1)" + tail("z", "z")
     lw = "least((fo - sq) / (n * t), sq / n - (tr / n) ** 2) / nullif(sq / n - (tr / n) ** 2, 0)"
     oas = "CASE WHEN (t + 1 - 2 / n) * (sq - tr * tr / n) <= 0 THEN 1 ELSE least(((1 - 2 / n) * sq + tr * tr) / ((t + 1 - 2 / n) * (sq - tr * tr / n)), 1) END"
@@ -280,7 +292,28 @@ def oracle_sql() -> dict[str, str]:
         "cov_annualized": final(rets() + COV, {**cov, "cov": "cov * 52"}, "cov"),
         "resolve_weights": final(sized, {"symbol!": None, "weight": "coalesce(weight, dollars / nav)", "cash_weight": "50000.0::DOUBLE / nav", "nav": None, "ord!": None}, "nv", 6),
         "var_parametric": final(DAY, var, one("parametric", 10, f"-(avg(r) * 10 + {z} * stddev_samp(r) * sqrt(10))", f"stddev_samp(r) * sqrt(10) * {_PDF!r}::DOUBLE / {1 - q.CONFIDENCE!r}::DOUBLE - avg(r) * 10", "ser")),
-        "var_cornish_fisher": final(DAY + moments, {k: v for k, v in var.items() if k != "es"}, one("cornish_fisher", 1, f"-(mu + {cf} * sd)", "NULL", "mo")),
+        "var_cornish_fisher": final(DAY + moments, var, one("cornish_fisher", 1, f"-(mu + {cf(z)} * sd)", f"-(mu + sd * (SELECT avg({cf('t')}) FROM unnest({_TAIL}) AS u(t)))", "mo")),
+        "min_variance": final(rets() + SHRINK + f", lwc AS {shrunk(lw)}, whole AS (SELECT * FROM lwc UNION ALL SELECT sym_j, sym_i, cov FROM lwc WHERE sym_i < sym_j), nm AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM ret)), sy AS (SELECT i, list_append(list(cov ORDER BY sym_j), 1.0::DOUBLE) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)" + eliminated("sy"), {"symbol!": None, "weight": "x / (SELECT sum(x) FROM sol)"}, "sol JOIN nm USING (i)", 6).replace("WITH ", "WITH RECURSIVE ", 1),
+        "black_litterman": final(
+            rets() + book() + COV + IMPLIED + SCORED + """, vw AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i, implied + 0.05 * sqrt(52 * cov) * z - implied AS gap FROM zs JOIN implied USING (symbol) JOIN cov ON sym_i = symbol AND sym_j = symbol
+), sy AS (SELECT a.i, list_append(list(0.05 * cov * CASE WHEN a.i = b.i THEN 1 / 0.3::DOUBLE ELSE 1 END ORDER BY b.i), any_value(a.gap)) AS a FROM vw a, vw b JOIN fullcov ON sym_j = b.symbol WHERE sym_i = a.symbol GROUP BY a.i)""" + eliminated("sy"),
+            {"symbol!": None, "prior": "any_value(implied)", "posterior": "any_value(implied) + sum(0.05 * cov * x)"}, "implied JOIN fullcov ON sym_i = symbol JOIN vw ON vw.symbol = sym_j JOIN sol USING (i)", 8, "GROUP BY implied.symbol",
+        ).replace("SELECT symbol AS symbol, round((any_value", "SELECT implied.symbol AS symbol, round((any_value").replace("WITH ", "WITH RECURSIVE ", 1),
+        "fit_panel": final(
+            styles() + """, wk AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nxt FROM ends
+), mvs AS (SELECT wk.as_of, a.symbol, b.px / a.px - 1 AS r FROM wk JOIN px a ON a.date = wk.as_of JOIN px b ON b.date = wk.nxt AND a.symbol = b.symbol
+), obs AS (SELECT s.as_of, s.symbol, r, [1.0::DOUBLE, value, momentum, size, quality, low_vol] AS v FROM styled s JOIN mvs USING (as_of, symbol)
+  WHERE value + momentum + size + quality + low_vol + r IS NOT NULL
+), fat AS (SELECT as_of FROM obs GROUP BY 1 HAVING count(*) >= 8
+), cell AS (SELECT as_of, i, j, sum(v[i] * v[j]) AS c FROM obs, range(1, 7) AS f(i), range(1, 7) AS g(j) WHERE as_of IN (SELECT as_of FROM fat) GROUP BY ALL
+), rhs AS (SELECT as_of, i, sum(v[i] * r) AS c FROM obs, range(1, 7) AS f(i) GROUP BY ALL
+), sy AS (SELECT as_of, i, list_append(list(c.c ORDER BY j), any_value(rhs.c)) AS a FROM cell c JOIN rhs USING (as_of, i) GROUP BY ALL)""" + eliminated("sy", "as_of"),
+            {"as_of!": None, "factor!": f"({_NAMES})[i]", "value": "x"}, "sol", 6,
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "stress_scenario": final(
+            prices() + f", moved_px AS (SELECT symbol, date + {q.SHIFT} AS date, px FROM px)" + book("px") + ", e AS (SELECT symbol, min(date) AS d0, max(date) AS d1, arg_min(px, date) AS p0, arg_max(px, date) AS p1 FROM moved_px WHERE date BETWEEN DATE '2008-09-01' AND DATE '2009-03-09' GROUP BY 1), rr AS (SELECT symbol, weight, CASE WHEN d0 - DATE '2008-09-01' <= 7 AND DATE '2009-03-09' - d1 <= 7 THEN p1 / p0 - 1 END AS ret FROM w LEFT JOIN e USING (symbol))",
+            {"scenario!": "'gfc2008'", "symbol!": None, "weight": None, "ret": None, "contribution": "weight * ret"}, "rr",
+        ),
         "return_moments": final(DAY + moments, dict.fromkeys(("n", "mu", "sd", "skew", "kurt")), "mo"),
         "var_historical": final(DAY + tail("r", "ser"), var, one("historical", 1, "-q", "-t", "qq, tl")),
         "var_fhs": final(fhs, var, one("filtered_historical", 1, "-q * nx", "-t * nx", "qq, tl, nx")),

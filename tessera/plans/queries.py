@@ -19,6 +19,8 @@ BARS = {"skip": 4, "long": 52, "vol": 52, "least": 20}
 CONFIDENCE, ROLL = 0.99, 750
 AS_OF, CRISIS = "2000-06-30", ("1998-03-02", "1998-09-28")
 NAV = 1_000_000.0
+#: Days that prices are moved by to span the scenario of 2008: 11 years, whole weeks.
+SHIFT = 4018
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
 
@@ -184,7 +186,7 @@ def var_parametric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def var_cornish_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(var.cornish_fisher_var(day_series(spark, sf_dir), CONFIDENCE).drop("es"))
+    return rounded(var.cornish_fisher_var(day_series(spark, sf_dir), CONFIDENCE))
 
 
 @query
@@ -249,9 +251,11 @@ def pit_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(returns.latest_fundamentals(market.fundamentals(spark, sf_dir), AS_OF), 2)
 
 
-def characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def characteristics(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
     px = weekly(spark, sf_dir, "p_brand")
-    return exposures.raw_characteristics(px, market.fundamentals(spark, sf_dir), exposures.week_ends(px), **BARS)
+    days = exposures.week_ends(px)
+    days = days.agg(F.max("as_of").alias("as_of")) if last else days
+    return exposures.raw_characteristics(px, market.fundamentals(spark, sf_dir), days, **BARS)
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,16 +353,22 @@ def stress_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stress.replay(graded(px), px, *CRISIS))
 
 
+@query
+def stress_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named scenario, on prices whose days are moved so that they span it."""
+    name, start, end, _ = stress.SCENARIOS[0]
+    px = weekly(spark, sf_dir).withColumn("date", F.date_add("date", SHIFT))
+    return rounded(stress.replay(graded(px), px, start, end).select(F.lit(name).alias("scenario"), "*"))
+
+
 def last_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = materialized(exposures.clean(characteristics(spark, sf_dir)))
-    last = styles.agg(F.max("as_of").alias("as_of"))
-    return styles.join(F.broadcast(last), "as_of").select("symbol", *STYLES)  # last: one row
+    return materialized(exposures.clean(characteristics(spark, sf_dir, last=True)).select("symbol", *STYLES))
 
 
 @query
 def factor_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = last_exposures(spark, sf_dir)
-    return rounded(stress.factor_shock(graded(x), x, {"market": -0.2, "value": 0.05, "momentum": -0.1}, STYLES), 5)
+    return rounded(stress.factor_shock(graded(x), x, {"market": -0.2, "value": 0.05, "momentum": -0.1}, STYLES, check=False), 5)
 
 
 @query
@@ -378,7 +388,7 @@ def _risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     f = own_factors(spark, sf_dir).select("date", F.col("factor").alias("symbol"), F.col("value").alias("r"))
     r = week_returns(spark, sf_dir, "p_brand")
     specific = r.groupBy("symbol").agg(F.var_samp("r").alias("specific"))
-    return decompose.decompose(graded(r), last_exposures(spark, sf_dir), covariance.ewma(f, 0.97), specific)
+    return decompose.decompose(graded(r), last_exposures(spark, sf_dir), covariance.ewma(f, 0.97), specific, check_first=False)
 
 
 @query
@@ -400,7 +410,7 @@ def decompose_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factor returns of every week."""
     px = weekly(spark, sf_dir, "p_brand")
-    return regression.fit(regression.panel(px, market.fundamentals(spark, sf_dir), **BARS)).factor_returns
+    return rounded(regression.fit(regression.panel(px, market.fundamentals(spark, sf_dir), **BARS)).factor_returns, 6)
 
 
 @query
@@ -416,7 +426,7 @@ def optimizer_race(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _solved(method) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return optimize.weights_by(covariance.ledoit_wolf(week_returns(spark, sf_dir)), method)
+        return rounded(optimize.weights_by(covariance.ledoit_wolf(week_returns(spark, sf_dir)), method), 6)
 
     return run
 
@@ -442,4 +452,4 @@ def min_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def black_litterman(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = week_returns(spark, sf_dir)
     cov, held = covariance.annualized(covariance.sample(r), 52), graded(r)
-    return views.posterior(cov, held, views.views_from_scores(scores(r), cov, held))
+    return rounded(views.posterior(cov, held, views.views_from_scores(scores(r), cov, held)))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import FilingsError
+from tessera.operators.materialize import materialized
 from tessera.schemas import FUNDAMENTALS
+from tessera.sources.store import symbols_of
 
 FACT = "struct<units:map<string,array<struct<val:double,`end`:string,filed:string,form:string,fy:int,fp:string>>>>"
 FACTS = f"struct<facts:map<string,map<string,{FACT}>>>"
@@ -45,6 +47,24 @@ def cik_map(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.upper("e.ticker").alias("symbol"), F.col("e.cik_str").alias("cik"))
 
 
+def read_facts(spark: SparkSession, folder: str, ciks: DataFrame) -> DataFrame:
+    """(symbol, json) from one file of company facts each, whose name holds the CIK (CIK0000320193.json)."""
+    number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(number.alias("n"), F.col("value").alias("json"))
+    return raw.filter("n <> ''").withColumn("cik", F.col("n").cast("long")).join(ciks, "cik").select("symbol", "json")
+
+
+def store(spark: SparkSession, path: str, facts: DataFrame, ciks: DataFrame, symbols: list[str]) -> int:
+    """Adds the companies' new filings to the table at path; returns how many."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [c.split()[0] for c in FUNDAMENTALS.split(", ")]
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    stored = spark.read.schema(FUNDAMENTALS).parquet(path) if there else spark.createDataFrame([], FUNDAMENTALS)
+    new = materialized(ingest(stored, facts, ciks, symbols).join(stored.select(*KEY), list(KEY), "left_anti").select(*names))
+    new.write.mode("append").parquet(path)
+    return new.count()
+
+
 def appended(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored rows and those with new keys; of rows with one key in a delivery, one."""
     return stored.unionByName(rows.dropDuplicates(list(KEY)).join(stored.select(*KEY), list(KEY), "left_anti"))
@@ -53,6 +73,8 @@ def appended(stored: DataFrame, rows: DataFrame) -> DataFrame:
 def ingest(stored: DataFrame, facts: DataFrame, ciks: DataFrame, symbols: list[str]) -> DataFrame:
     """Adds the companies' filings; unknown companies and companies without rows are errors."""
     spark = facts.sparkSession
+    if not (symbols := symbols_of(symbols)):
+        raise FilingsError("no symbols given")
     asked = spark.createDataFrame([(s,) for s in symbols], "symbol string")
     if unknown := sorted(r[0] for r in asked.join(ciks, "symbol", "left_anti").collect()):
         raise FilingsError(f"no CIK for {unknown}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.errors import ImportSourceError, PriceDataError
+from tessera.operators.materialize import materialized
 from tessera.schemas import PRICES
 
 KEY = ("symbol", "date")
@@ -74,11 +75,8 @@ class PriceStore:
     def _replace(self, touched: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> None:
         names = touched.select("symbol").distinct()
         kept = self.read().join(names, "symbol", "left_semi")
-        # Read whole before partitions are replaced.
-        rows = merged(kept).checkpoint() if self.spark.sparkContext.getCheckpointDir() else merged(kept).persist()
-        rows.count()
-        self._write(rows)
-        rows.unpersist()
+        # Kept in the shared folder before partitions are replaced, so that a lost executor doesn't read them again.
+        self._write(materialized(merged(kept)))
 
     def store(self, tidy: DataFrame) -> int:
         """Upserts; returns the number of rows brought."""
@@ -92,6 +90,20 @@ class PriceStore:
         self._replace(foreign, lambda kept: imported(kept, foreign))
         return self.read().count() - before
 
-    def ingest(self, names: Sequence[str], fetch: Callable[[str], DataFrame]) -> dict[str, int]:
-        """Fetches, tidies and stores one symbol after another; what came before a failure stays."""
-        return {s: self.store(normalize(fetch(s), s)) for s in symbols_of(names)}
+    def ingest(self, names: Sequence[str], fetch: Callable[[str], DataFrame], start: str | None = None) -> dict[str, int]:
+        """Fetches, tidies and stores one symbol after another, from `start` on; what came before a failure stays. No symbols, and symbols without bars, are errors."""
+        if not (symbols := symbols_of(names)):
+            raise PriceDataError("no symbols given")
+        out = {}
+        for s in symbols:
+            tidy = normalize(fetch(s), s)
+            tidy = tidy if start is None else tidy.filter(F.col("date") >= F.lit(start).cast("date"))
+            out[s] = self.store(tidy)
+            if not out[s]:
+                raise PriceDataError(f"no bars for {s}")
+        return out
+
+
+def csv_frames(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
+    """A fetch for ingest(): a vendor's frame of a symbol from folder/SYMBOL.csv."""
+    return lambda s: spark.read.csv(f"{folder}/{s}.csv", header=True, inferSchema=True)

@@ -15,12 +15,14 @@ def read(spark: SparkSession, path: str, schema: str = PRICES, files_per_trigger
 
 
 def ingest(stream: DataFrame, store: PriceStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Upserts every micro-batch; of bars for one key in a batch the last one by `seq`, if there is one, stays. Replays are harmless."""
+    """Upserts every micro-batch; of bars for one key in a batch the last one by `seq` stays, or without that column the greatest. Replays are harmless."""
 
     def upsert(batch: DataFrame, _: int) -> None:
         if "seq" in batch.columns:
             batch = batch.groupBy("symbol", "date").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "seq"]), "seq").alias("b")).select("b.*")
-        store.store(batch.dropDuplicates(["symbol", "date"]))
+        else:  # without an order among them, the greatest
+            batch = batch.groupBy("symbol", "date").agg(F.max(F.struct(*batch.columns)).alias("b")).select("b.*")
+        store.store(batch)
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

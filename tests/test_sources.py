@@ -10,13 +10,15 @@ import zipfile
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import cli, errors
 from tessera.plans import oracle
 from tessera.plans import queries as core
-from tessera.schemas import FUNDAMENTALS, PRICES
-from tessera.sources import factorlib, filings, scores, spec, store
+from tessera.schemas import FACTOR_DAYS, FUNDAMENTALS, PRICES
+from tessera.sources import factorlib, filings, market, scores, spec, store
+from tessera.sources.store import PriceStore
 from tessera.streaming import bars
 
 SF = "/root/testdata/sf0.01"
@@ -118,7 +120,7 @@ def test_portfolio_specs(spark):
         spec.resolve_weights(full.frame(spark), latest, full.cash)
 
 
-@pytest.mark.parametrize("body", ["[]", "odd: 1", "positions: 3", "positions: [{symbol: A}]", "positions: [{symbol: A, shares: 1, weight: 0.1}]", "positions: [{symbol: A, shares: yes}]", "positions: [{symbol: A, shares: '5'}]", "positions: [{symbol: A, shares: -1}]", "positions: [{symbol: A, weight: 1.1}]", "positions: [{symbol: A, weight: 0.6}, {symbol: B, weight: 0.6}]", "positions: [{symbol: A, weight: 0.1}, {symbol: a, weight: 0.1}]", "cash: -1", "cash: 0", "positions: [{symbol: A B, weight: 0.1}]", "positions: [{symbol: A, weight: 0.1, note: x}]", "a: [", "positions: [{weight: 0.1}]"])
+@pytest.mark.parametrize("body", ["[]", "odd: 1", "positions: 3", "positions: [{symbol: A}]", "positions: [{symbol: A, shares: 1, weight: 0.1}]", "positions: [{symbol: A, shares: yes}]", "positions: [{symbol: A, shares: '5'}]", "positions: [{symbol: A, shares: -1}]", "positions: [{symbol: A, weight: 1.1}]", "positions: [{symbol: A, weight: 0.6}, {symbol: B, weight: 0.6}]", "positions: [{symbol: A, weight: 0.1}, {symbol: a, weight: 0.1}]", "cash: -1", "cash: 0", "positions: [{symbol: A B, weight: 0.1}]", "positions: [{symbol: A, weight: 0.1, note: x}]", "a: [", "positions: [{weight: 0.1}]", "name: ''\ncash: 1", "name: 3\ncash: 1", "cash: yes", "cash: .nan", "positions: [{symbol: 3, weight: 0.1}]", "positions: [{symbol: A, weight: .nan}]"])
 def test_bad_specs(body):
     with pytest.raises(errors.PortfolioSpecError):
         spec.parse(body)
@@ -151,14 +153,56 @@ def test_commands(spark, tmp_path, capsys):
     assert run("stats", tmp_path / "p.yaml") == 1
     assert run("import", tmp_path / "in") == 0
     p = tmp_path / "p.yaml"
-    for args in (["stats", p, "--benchmark", "SMALL"], ["var", p], ["validate-var", p, "--window", "200"], ["rebalance", p, tmp_path / "t.yaml"], ["optimize-views", tmp_path / "s.csv", "--out", tmp_path / "o.yaml"], ["cov-compare", "ECONOMY", "LARGE", "SMALL", "--window", "104"]):
+    for args in (["stats", p, "--benchmark", "SMALL"], ["var", p, "--start", "1996-01-01", "--end", "2000-12-31"], ["validate-var", p, "--window", "200"], ["rebalance", p, tmp_path / "t.yaml"], ["optimize-views", tmp_path / "s.csv", "--out", tmp_path / "o.yaml"], ["cov-compare", "ECONOMY", "LARGE", "SMALL", "--window", "104"]):
         assert run(*args) == 0, capsys.readouterr().err
     assert run("stress", p) == 1
+    assert run("optimize-compare", "ECONOMY", "LARGE", "SMALL", "--window", "104", "--step", "52") == 0
     out = capsys.readouterr()
+    assert "monte_carlo" in out.out and "money" in out.out and "scenarios have fewer than 10" in out.out
+    assert run("var", p, "--start", "2001-06-01") == 0
+    out2 = capsys.readouterr().out
+    assert "monte_carlo" in out2 and "finite returns are needed" in out2
     assert "new bars" in out.out and "cagr" in out.out and "cash_after" in out.out and "error:" in out.err
     assert spec.load(str(tmp_path / "o.yaml")).positions
 
 
+def test_commands_on_files_of_vendors(spark, tmp_path, capsys):
+    """Bars from CSV files from a day on, filings from JSON files, and the commands that need both."""
+    px = core.weekly(spark, SF, "p_brand").toPandas()
+    names = sorted(px["symbol"].unique())
+    place, facts = ["--store", str(tmp_path / "px")], ["--fundamentals", str(tmp_path / "facts")]
+    run = lambda *a: cli.main([*place, *map(str, a)])
+    (tmp_path / "v").mkdir()
+    for n in names[:2]:
+        px[px["symbol"] == n].rename(columns={"date": "Date", "close": "Close"})[["Date", "Close"]].to_csv(tmp_path / "v" / f"{n.upper()}.csv", index=False)
+    assert run("ingest", names[0], names[1], "--source", tmp_path / "v", "--start", "2000-01-01") == 0
+    assert PriceStore(spark, place[1]).read().agg(F.min("date")).first()[0] >= dt.date(2000, 1, 1)
+    assert run("ingest", names[0], "--source", tmp_path / "v", "--start", "2030-01-01") == 1
+    upper = lambda df: df.withColumn("symbol", F.upper("symbol"))
+    upper(market.prices(spark, SF, "p_brand", "day")).write.parquet(str(tmp_path / "in"))
+    assert run("import", tmp_path / "in") == 0
+    (tmp_path / "j").mkdir()
+    (tmp_path / "ciks.json").write_text(json.dumps({"0": {"cik_str": 7, "ticker": "seven"}, "1": {"cik_str": 8, "ticker": "EIGHT"}}))
+    item = {"val": 5.0, "end": "2020-03-31", "filed": "2020-05-05", "form": "10-Q", "fy": 2020, "fp": "Q1"}
+    (tmp_path / "j" / "CIK0000000007.json").write_text(json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [item]}}}}}))
+    ask = ("--source", tmp_path / "j", "--ciks", tmp_path / "ciks.json")
+    assert run("filings", "Seven", *ask, *facts) == 0 and run("filings", "seven", *ask, *facts) == 0
+    out = capsys.readouterr().out
+    assert "1 new filings" in out and "0 new filings" in out
+    assert run("filings", "EIGHT", *ask, *facts) == 1 and run("filings", "NINE", *ask, *facts) == 1
+    upper(market.fundamentals(spark, SF)).write.mode("overwrite").parquet(facts[1])
+    (tmp_path / "p.yaml").write_text("positions: [{symbol: %s, weight: 0.5}, {symbol: %s, weight: 0.3}]" % (names[5], names[6]))
+    days = core.weekly(spark, SF).select("date").distinct().toPandas()["date"]
+    spark.createDataFrame([(d, 0.01, 0.0, 0.0, 0.0, 0.0) for d in days], FACTOR_DAYS).write.parquet(str(tmp_path / "published"))
+    assert run("validate-factors", *facts, "--start", "1999-01-01", "--published", tmp_path / "published") == 0
+    assert run("stress", tmp_path / "p.yaml", *facts, "--start", "2000-01-01", "--shock", "market=-0.2", "momentum=0.1") in (0, 1)
+    assert run("decompose", tmp_path / "p.yaml", *facts, "--start", "1999-01-01") in (0, 1)
+    told = capsys.readouterr()
+    assert "correlation" in told.out and ("effective_bets" in told.out and "contribution" in told.out or "whole exposures for ['BRAND" in told.err)
+    (tmp_path / "q.yaml").write_text("positions: [{symbol: NOBODY, weight: 0.5}]")
+    assert run("decompose", tmp_path / "q.yaml", *facts) == 1 and run("stress", tmp_path / "p.yaml", "--scenario", "covid2020") == 1
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -185,10 +229,5 @@ def test_query_against_sql(spark, con, name):
             assert a[c].tolist() == b[c].tolist(), c
 
 
-@pytest.mark.parametrize("name", [n for n in core.queries() if n not in oracle.oracle_sql()])
-def test_other_queries_run(spark, name):
-    assert core.queries()[name](spark, SF).count() > 0
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
