@@ -94,7 +94,7 @@ WITH d AS (
   FROM t JOIN c3 USING (a, b, c) JOIN c2 ON c2.b = t.b AND c2.c = t.c JOIN c1 ON c1.c = t.c
     JOIN c2 x2 ON x2.b = t.a AND x2.c = t.b JOIN c1 x1 ON x1.c = t.b
 ), u AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(u.s, 0.0) AS log_score, u.s / nullif(len(ws), 0) AS mean_log_score FROM d LEFT JOIN u USING (r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(u.s, 0.0)::DOUBLE, 6) + 0.0 AS log_score, round((u.s / nullif(len(ws), 0))::DOUBLE, 6) + 0.0 AS mean_log_score FROM d LEFT JOIN u USING (r)
 """
 
 OP8 = """
