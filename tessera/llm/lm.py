@@ -1,135 +1,209 @@
 """Stupid-backoff language-model scores of a corpus by its own n-gram counts, as joins and sums.
 
-Texts are exploded into n-grams of every order, which travel as 64-bit hashes
-with those of their context (all words but the last) and tail (all but the
-first). Counts are a table partitioned by the hash. A word scores by the longest
-n-gram ending there that the corpus has often enough; an n-gram that is frequent
-enough has a tail that is, too, so a document's score is a sum over its n-grams
-of all orders:
+Texts become sequences of 64-bit word hashes once, kept in the shared folder.
+They are exploded into n-grams of one order at a time, which travel as 64-bit
+hashes with those of their context (all words but the last) and tail (all but
+the first). Counts are a table partitioned by the hash. A word scores by the
+longest n-gram ending there that the corpus has often enough; an n-gram that is
+frequent enough has a tail that is, too, so a document's score is a sum over its
+n-grams of all orders:
 
     what its single words score + for each longer n-gram of the table, what that
     n-gram scores more than its tail.
 
-Those differences are computed once for each n-gram of the count table, which is
-then joined to the exploded n-grams of the documents and summed per document.
+Those differences (gains) are found once for each n-gram of the count table,
+which is then joined to the exploded n-grams of the documents and summed per
+document. Both passes go over SLICES slices of the hashes, one after another,
+so that the shuffles on disk at a time are a fixed share of all n-grams.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, WORD, packed_id, stored, unpacked_id
+from tessera.llm.common import ASCII_LOWER, HOT_KEYS, packed_id, shared_folder, unpacked_id
 
 #: Longest n-gram, weight of a backoff step, least count of an n-gram of two words or more that isn't backed off.
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Characters of texts that are exploded at a time; a longer text is exploded alone.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
+#: Parts of the hash range that are shuffled one after another, a power of two.
+SLICES = 8
 _START = np.uint64(0x5851F42D4C957F2D)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = {"ids": np.int64, "marks": np.int32, "sizes": np.int64, "codes": np.int32, "words": np.uint64}
+_TABLE = "gram long, n long, score double, gain double"
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of documents: their ids, marks and lengths, the places of their words in a list of hashes, and that list."""
+    for batch in batches:
+        ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
+        for start, texts in _chunks(batch.column("text")):
+            index: defaultdict[bytes, int] = defaultdict()
+            index.default_factory = index.__len__
+            codes, sizes = [], []
+            for text in texts:
+                words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
+                codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+                sizes.append(len(words))
+            end = start + len(texts)
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+            values = (ids[start:end], marks[start:end], np.array(sizes, np.int64), np.concatenate(codes), words)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in values), pa.array([sum(sizes)])], [*_BLOCK, "n_words"])
 
 
-def _word_hashes(text: str | None) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of about CHUNK characters."""
+    held: list[str | None] = []
+    start = size = 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= CHUNK:
+            yield start, held
+            held, start, size = [], i + 1, 0
+    if held:
+        yield start, held
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[i].as_buffer() or b"", t) for c, t in _BLOCK.items()}
 
 
 class Grams:
-    """The n-grams of some documents: hashes of each order at each place of the word sequences, which start with order - 1 marks."""
+    """The n-grams of a block: hashes of each order at each place of its word sequences, which start with order - 1 marks."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, block: dict[str, np.ndarray], order: int):
         pad = order - 1
-        found = [_word_hashes(t) for t in texts]
-        size = np.array([len(f) for f in found], np.int64) + pad
-        self.doc = np.repeat(np.arange(len(found)), size)
+        size = block["sizes"] + pad
+        self.doc = np.repeat(np.arange(len(size)), size)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.real = place >= pad
         one = np.full(len(place), _START, np.uint64)
-        one[self.real] = np.concatenate([np.zeros(0, np.uint64), *found])
+        one[self.real] = block["words"][block["codes"]]
         self.hash, self.whole = [one], [np.ones(len(one), bool)]
         for o in range(2, order + 1):
             last = self.hash[-1]
             h = np.zeros_like(one)
-            h[1:] = (last[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (last[:-1] >> np.uint64(31))) + one[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(o)
+            h[1:] = (last[:-1] * _MIX ^ (last[:-1] >> np.uint64(31))) + one[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(o)
             self.hash.append(h)
             self.whole.append(place >= o - 1)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(place of the first, texts) of about CHUNK characters."""
-    held: list[str | None] = []
-    start = size = 0
-    for i, t in enumerate(texts):
-        held.append(t.as_py())
-        size += len(held[-1] or "")
-        if size >= CHUNK:
-            yield start, held
-            held, start, size = [], i + 1, 0
-    if held:
-        yield start, held
+#: Bits below those that tell a hash's slice.
+_LOW = 64 - (SLICES - 1).bit_length()
+
+
+def _in_slice(gram: np.ndarray, part: int) -> np.ndarray:
+    return (gram >> np.uint64(_LOW)) == part
+
+
+def _of_slice(df: DataFrame, part: int) -> DataFrame:
+    return df.filter(F.shiftrightunsigned("gram", _LOW) == part)
 
 
-def _counted(order: int):
-    """gram, size (its words), context, tail and n (how often it occurs) of the n-grams of each chunk."""
+def _counted(order: int, size: int, part: int | None):
+    """gram, context, tail and n (how often it occurs) of a slice of each block's n-grams of `size` words, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _chunks(batch.column("text")):
-                g = Grams(texts, order)
-                for o in range(1, order + 1):
-                    at = np.flatnonzero(g.whole[o - 1])
-                    gram, first, n = np.unique(g.hash[o - 1][at], return_index=True, return_counts=True)
-                    at, none = at[first], np.zeros(len(first), np.uint64)
-                    context, tail = (g.hash[o - 2][at - 1], g.hash[o - 2][at]) if o > 1 else (none, none)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (gram, context, tail)), pa.array(np.full(len(n), o, np.int32)), pa.array(n)], ["gram", "context", "tail", "size", "n"])
+        for block in _blocks(batches):
+            g = Grams(block, order)
+            whole = g.whole[size - 1]
+            at = np.flatnonzero(whole if part is None else whole & _in_slice(g.hash[size - 1], part))
+            gram, first, n = np.unique(g.hash[size - 1][at], return_index=True, return_counts=True)
+            at, none = at[first], np.zeros(len(first), np.uint64)
+            context, tail = (g.hash[size - 2][at - 1], g.hash[size - 2][at]) if size > 1 else (none, none)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (gram, context, tail)), pa.array(n)], ["gram", "context", "tail", "n"])
 
     return run
 
 
-def _exploded(order: int):
-    """id, mark, gram and n: the n-grams that end in a word of each document, and how often."""
+def _exploded(order: int, hot: np.ndarray, part: int | None):
+    """id, mark, gram and n: a slice of the n-grams that end in a word of each document, and how often; of the hot ones all where part is None, else none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
-            for start, texts in _chunks(batch.column("text")):
-                g = Grams(texts, order)
-                doc, gram = np.tile(g.doc[g.real], order), np.concatenate([h[g.real] for h in g.hash])
-                by = np.lexsort((gram, doc))
-                doc, gram = doc[by], gram[by]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(doc) else doc
-                own = start + doc[first]
-                columns = [pa.array(ids[own]), pa.array(marks[own]), pa.array(gram[first].view(np.int64)), pa.array(np.diff(first, append=len(doc)).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "gram", "n"])
+        for block in _blocks(batches):
+            g = Grams(block, order)
+            docs, grams = [], []
+            for h in g.hash:
+                mine = g.real if part is None else g.real & _in_slice(h, part)
+                at = np.flatnonzero(mine)
+                at = at[np.isin(h[at], hot, invert=part is not None)]
+                docs.append(g.doc[at])
+                grams.append(h[at])
+            doc, gram = np.concatenate(docs), np.concatenate(grams)
+            by = np.lexsort((gram, doc))
+            doc, gram = doc[by], gram[by]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(doc) else doc
+            own = doc[first]
+            columns = [pa.array(block["ids"][own]), pa.array(block["marks"][own]), pa.array(gram[first].view(np.int64)), pa.array(np.diff(first, append=len(doc)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "gram", "n"])
 
     return run
 
 
-def count_table(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """gram, size, context, tail and n for each n-gram of `texts` (text) that a score can use: all of one word, and those that occur `least` times."""
-    found = texts.select("text").mapInArrow(_counted(order), "gram long, context long, tail long, size int, n long")
-    counts = found.groupBy("gram").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("size", "context", "tail")])
-    return stored(counts.filter((F.col("size") == 1) | (F.col("n") >= least)))
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(block[c]) for c in ("ids", "marks", "sizes")], ["id", "mark", "n_words"])
 
 
-def gains(counts: DataFrame, words: int, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
-    """gram, gain: what a word scores by the n-gram more than by its tail (for one word: what it scores)."""
-    of = lambda o: counts.filter(F.col("size") == o)
+class _Folder:
+    """Tables in the shared folder. The shuffles of a write go as soon as it is done."""
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """The table `name` with the rows of df besides those that it has."""
+        before = self.spark.conf.get(self.CLEAN)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.mode("append").option("compression", "zstd").parquet(f"{self.top}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _tables(folder: _Folder, sequences: DataFrame, words: int, order: int, backoff: float, least: int) -> list[DataFrame]:
+    """For each order gram, n, score (of a word by this n-gram) and gain (its score over its tail's; of one word the score).
+
+    Of longer n-grams those that occur `least` times.
+    """
     step = math.log(backoff)
-    score = of(1).select("gram", (F.log("n") - math.log(max(words, 1)) + (order - 1) * step).alias("score"))
-    out = score.select("gram", F.col("score").alias("gain"))
+    found = sequences.mapInArrow(_counted(order, 1, None), "gram long, context long, tail long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    score = F.log("n") - math.log(max(words, 1)) + (order - 1) * step
+    tables = [folder.add(found.select("gram", "n", score.alias("score"), score.alias("gain")), "table-1")]
     for o in range(2, order + 1):
-        context = of(o - 1).select(F.col("gram").alias("context"), F.col("n").alias("times"))
-        longer = of(o).join(context, "context").select("gram", "tail", (F.log("n") - F.log("times") + (order - o) * step).alias("score"))
-        more = longer.join(score.select(F.col("gram").alias("tail"), F.col("score").alias("less")), "tail")
-        out = out.unionByName(more.select("gram", (F.col("score") - F.col("less")).alias("gain")))
-        score = longer.select("gram", "score")
-    return out
+        shorter = tables[-1].select(F.col("gram").alias("key"), F.col("n").alias("times"), F.col("score").alias("less"))
+        for part in range(SLICES):
+            found = sequences.mapInArrow(_counted(order, o, part), "gram long, context long, tail long, n long")
+            counts = found.groupBy("gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("tail").alias("tail")).filter(F.col("n") >= least)
+            # Context and tail are looked up in one join: a row with n for the context, one without for the tail.
+            sides = F.array(F.struct(F.col("context").alias("key"), F.col("n")), F.struct(F.col("tail").alias("key"), F.lit(None).cast("long").alias("n")))
+            sided = counts.select("gram", F.inline(sides)).join(shorter, "key")
+            score = F.log("n") - F.log("times") + (order - o) * step
+            both = sided.groupBy("gram").agg(F.max("n").alias("n"), F.max(score).alias("score"), F.max(F.when(F.col("n").isNull(), F.col("less"))).alias("less"))
+            table = folder.add(both.select("gram", "n", "score", (F.col("score") - F.col("less")).alias("gain")), f"table-{o}")
+        tables.append(table)
+    return tables
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,16 +216,36 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     blank) have n_words 0, log_score 0 and a null mean. Every row counts, however
     often it repeats; rows are told apart by id and a checksum of the text. Other
     columns are ignored; an empty table gives an empty result.
+
+    N-grams with over a thousandth of all words, at most HOT_KEYS of an order and
+    those of start marks alone, are joined by broadcast and so never gathered.
     """
     rows = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", (F.coalesce(F.crc32("text"), F.lit(0)) - F.lit(1 << 31)).cast("int"))
-    counts = count_table(rows, order, least)
+    folder = _Folder(docs.sparkSession)
+    sequences = folder.add(rows.mapInArrow(_hashed, ", ".join(f"{c} binary" for c in _BLOCK) + ", n_words long"), "sequences")
+    total = sequences.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    tables = _tables(folder, sequences, total, order, backoff, least)
+
+    gains = tables[0]
+    for longer in tables[1:]:
+        gains = gains.unionByName(longer)
+    often = gains.filter(F.col("n") > max(1_000, total // HOT_KEYS))
+    hot = np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)
+    gains = gains.select("gram", "gain")
+    shape, product = "id long, mark int, gram long, n int", F.sum(F.col("n") * F.col("gain")).alias("sum")
+    exploded = sequences.mapInArrow(_exploded(order, hot, None), shape)
+    sums = folder.add(exploded.join(F.broadcast(often.select("gram", "gain")), "gram").groupBy("id", "mark").agg(product), "sums")
+    for part in range(SLICES):
+        exploded = sequences.mapInArrow(_exploded(order, hot, part), shape)
+        sums = folder.add(exploded.join(_of_slice(gains, part), "gram").groupBy("id", "mark").agg(product), "sums")
+
     # Rows that repeat id and text are scored together, and part again at the end.
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = rows.select("id", "mark", words.alias("n_words")).groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
-    total = rows.agg(F.sum(words).alias("n")).first()["n"] or 0
-    exploded = rows.mapInArrow(_exploded(order), "id long, mark int, gram long, n int")
-    sums = exploded.join(gains(counts, total, order, backoff), "gram").groupBy("id", "mark").agg(F.sum(F.col("n") * F.col("gain")).alias("sum"))
-    scored = own.join(sums, ["id", "mark"], "left").withColumn("log_score", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0)))
+    own = sequences.mapInArrow(_sizes, "id long, mark int, n_words long").groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    whole = sums.groupBy("id", "mark").agg(F.sum("sum").alias("sum"))
+    scored = own.join(whole, ["id", "mark"], "left").withColumn("log_score", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0)))
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return scored.select(unpacked_id("id").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+    scored = scored.select(unpacked_id("id").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+    for o in range(1, order + 1):
+        folder.drop(f"table-{o}")
+    return scored
