@@ -17,7 +17,7 @@ RAW = ("bp", "ep", "log_mcap", "gp_assets", "leverage", "momentum", "vol")
 
 def prices(symbol: str = "p_type", period: str = "week") -> str:
     return f"""raw AS (
-  SELECT {symbol} AS symbol, date_trunc('{period}', l_shipdate)::DATE AS date, avg(l_extendedprice) AS px, sum(l_quantity) AS volume
+  SELECT {symbol} AS symbol, date_trunc('{period}', l_shipdate)::DATE AS date, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(l_extendedprice)) AS px, sum(l_quantity) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 ), bars AS (
   SELECT symbol, date, avg(px) OVER (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING) AS close,
@@ -132,7 +132,8 @@ FACTS = """, lines AS (
 ), tall AS (UNPIVOT wide ON book_equity, net_income, revenue, gross_profit, assets, liabilities, shares_outstanding INTO NAME field VALUE value
 ), facts AS (
   SELECT symbol, field, value * k AS value, (qs + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end,
-    ((qs + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE + d)::DATE AS filed, CASE WHEN quarter(qs) = 4 THEN 'FY' ELSE 'Q' || quarter(qs) END AS fp
+    ((qs + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE + d)::DATE AS filed, CASE WHEN quarter(qs) = 4 THEN 'FY' ELSE 'Q' || quarter(qs) END AS fp,
+    CASE d WHEN 45 THEN '10-Q' ELSE '10-Q/A' END AS form, year(qs)::INTEGER AS fy
   FROM tall, (VALUES (45, 1.0::DOUBLE), (120, 1.02::DOUBLE)) AS f(d, k)
 ), seen AS (SELECT * FROM facts WHERE field NOT IN ('net_income', 'revenue', 'gross_profit') OR fp = 'FY')"""
 PIT = FACTS + f""", best AS (
@@ -243,6 +244,37 @@ def eliminated(systems: str, by: str = "") -> str:
 ), sol AS (SELECT {key}unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS x FROM gauss WHERE k = len(m))"""
 
 
+PANEL = styles() + """, wk AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nxt FROM ends
+), mvs AS (SELECT wk.as_of, a.symbol, b.px / a.px - 1 AS r FROM wk JOIN px a ON a.date = wk.as_of JOIN px b ON b.date = wk.nxt AND a.symbol = b.symbol
+), obs AS (SELECT s.as_of, s.symbol, r, [1.0::DOUBLE, value, momentum, size, quality, low_vol] AS v FROM styled s JOIN mvs USING (as_of, symbol)
+  WHERE value + momentum + size + quality + low_vol + r IS NOT NULL
+), fat AS (SELECT as_of FROM obs GROUP BY 1 HAVING count(*) >= 8
+), cell AS (SELECT as_of, i, j, sum(v[i] * v[j]) AS c FROM obs, range(1, 7) AS f(i), range(1, 7) AS g(j) WHERE as_of IN (SELECT as_of FROM fat) GROUP BY ALL
+), rhs AS (SELECT as_of, i, sum(v[i] * r) AS c FROM obs, range(1, 7) AS f(i) GROUP BY ALL
+), sy AS (SELECT as_of, i, list_append(list(c.c ORDER BY j), any_value(rhs.c)) AS a FROM cell c JOIN rhs USING (as_of, i) GROUP BY ALL)""" + eliminated("sy", "as_of")
+RESIDUAL = """, res AS (
+  SELECT obs.as_of, symbol, r, r - list_inner_product(v, co) AS e FROM obs JOIN (SELECT as_of, list(x ORDER BY i) AS co FROM sol GROUP BY 1) USING (as_of))"""
+FILED = "SELECT upper(symbol) AS symbol, field, round(value, 7) + 0.0 AS value, period_end, filed, form, fy AS fiscal_year, fp AS fiscal_period FROM facts"
+ASKED = "('BRAND#4', 'BRAND#11', 'BRAND#7')"
+
+
+def chi_tail(x: str) -> str:
+    """The probability that a chi-square of one degree exceeds x: 1 - erf(sqrt(x / 2)) by its series of positive terms."""
+    z = f"sqrt(greatest({x}, 0) / 2)"
+    return f"1 - exp(-greatest({x}, 0) / 2) * list_sum(list_transform(range(0, 120), lambda m: {z} ** (2 * m + 1) / gamma(m + 1.5::DOUBLE)))"
+
+
+#: The probability of as many breaches or fewer.
+BINOMIAL = f"list_sum(list_transform(range(0, breaches + 1), lambda b: exp(lgamma(n + 1) - lgamma(b + 1) - lgamma(n - b + 1) + b * ln({_P}) + (n - b) * ln(1 - {_P}))))"
+TRAILING = f""", days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ret)
+), ks AS (SELECT unnest(range(0, (SELECT (max(i) - {q.WINDOW}) // {q.STEP} + 1 FROM days))) AS k
+), win AS (
+  SELECT k, symbol, var_samp(r) AS v, count(*) AS c FROM ks JOIN days ON i >= k * {q.STEP} AND i < k * {q.STEP} + {q.WINDOW} JOIN ret USING (date) GROUP BY 1, 2
+), tg AS (
+  SELECT 'inverse_variance' AS strategy, k, symbol, 1 / v / sum(1 / v) OVER (PARTITION BY k) AS weight, c FROM win
+  UNION ALL SELECT 'inverse_volatility', k, symbol, 1 / sqrt(v) / sum(1 / sqrt(v)) OVER (PARTITION BY k), c FROM win)"""
+
+
 def oracle_sql() -> dict[str, str]:
     half = prices("p_brand") + """, a AS (SELECT symbol, date, close, adj_close FROM prices WHERE date < DATE '1999-01-01'
 ), b AS (SELECT symbol, date, close * 1.1::DOUBLE AS close, adj_close * 1.1::DOUBLE AS adj_close FROM prices WHERE date >= DATE '1998-01-01')"""
@@ -281,6 +313,9 @@ def oracle_sql() -> dict[str, str]:
         "prices_normalized": final("e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id DESC) = 1)", {"symbol!": "'EVT'", "date!": "ts::DATE", "open": "NULL", "high": "value * 1.01::DOUBLE", "close": "value", "adj_close": "value"}, "e", 6),
         "prices_upsert": final(half, px, "(SELECT * FROM a ANTI JOIN b USING (symbol, date) UNION ALL SELECT * FROM b)", 4),
         "prices_import_ignore": final(half, px, "(SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (symbol, date))", 4),
+        "prices_selected": final(prices("p_brand"), {"symbol!": "upper(symbol)", "date!": None, "px": "close"}, "prices", 4, f"WHERE upper(symbol) IN {ASKED} AND date BETWEEN DATE '1996-01-01' AND DATE '{q.AS_OF}'"),
+        "filings_extracted": f"WITH {FACTS.removeprefix(', ')}\n{FILED}",
+        "filings_ingested": f"WITH {FACTS.removeprefix(', ')}, got AS ({FILED})\nSELECT * REPLACE (CASE WHEN filed < DATE '1998-01-01' THEN 1.0::DOUBLE ELSE value END AS value) FROM got WHERE filed < DATE '1998-01-01' OR symbol IN {ASKED}",
         "returns_aligned": final(rets("p_brand"), {"symbol!": None, "date!": None, "r": None}, "ret"),
         "blended_returns": final(WEEK, {"date!": None, "r": None}, "ser"),
         "equity_drawdown": final(WEEK + EQUITY, {"date!": None, "equity": None, "peak": None, "drawdown": "equity / peak - 1"}, "eqty"),
@@ -299,17 +334,11 @@ def oracle_sql() -> dict[str, str]:
 ), sy AS (SELECT a.i, list_append(list(0.05 * cov * CASE WHEN a.i = b.i THEN 1 / 0.3::DOUBLE ELSE 1 END ORDER BY b.i), any_value(a.gap)) AS a FROM vw a, vw b JOIN fullcov ON sym_j = b.symbol WHERE sym_i = a.symbol GROUP BY a.i)""" + eliminated("sy"),
             {"symbol!": None, "prior": "any_value(implied)", "posterior": "any_value(implied) + sum(0.05 * cov * x)"}, "implied JOIN fullcov ON sym_i = symbol JOIN vw ON vw.symbol = sym_j JOIN sol USING (i)", 8, "GROUP BY implied.symbol",
         ).replace("SELECT symbol AS symbol, round((any_value", "SELECT implied.symbol AS symbol, round((any_value").replace("WITH ", "WITH RECURSIVE ", 1),
-        "fit_panel": final(
-            styles() + """, wk AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nxt FROM ends
-), mvs AS (SELECT wk.as_of, a.symbol, b.px / a.px - 1 AS r FROM wk JOIN px a ON a.date = wk.as_of JOIN px b ON b.date = wk.nxt AND a.symbol = b.symbol
-), obs AS (SELECT s.as_of, s.symbol, r, [1.0::DOUBLE, value, momentum, size, quality, low_vol] AS v FROM styled s JOIN mvs USING (as_of, symbol)
-  WHERE value + momentum + size + quality + low_vol + r IS NOT NULL
-), fat AS (SELECT as_of FROM obs GROUP BY 1 HAVING count(*) >= 8
-), cell AS (SELECT as_of, i, j, sum(v[i] * v[j]) AS c FROM obs, range(1, 7) AS f(i), range(1, 7) AS g(j) WHERE as_of IN (SELECT as_of FROM fat) GROUP BY ALL
-), rhs AS (SELECT as_of, i, sum(v[i] * r) AS c FROM obs, range(1, 7) AS f(i) GROUP BY ALL
-), sy AS (SELECT as_of, i, list_append(list(c.c ORDER BY j), any_value(rhs.c)) AS a FROM cell c JOIN rhs USING (as_of, i) GROUP BY ALL)""" + eliminated("sy", "as_of"),
-            {"as_of!": None, "factor!": f"({_NAMES})[i]", "value": "x"}, "sol", 6,
-        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "fit_panel": final(PANEL, {"as_of!": None, "factor!": f"({_NAMES})[i]", "value": "x"}, "sol", 6).replace("WITH ", "WITH RECURSIVE ", 1),
+        "panel_factor_cov": final(PANEL + f", fr AS (SELECT as_of AS date, ({_NAMES})[i] AS symbol, x AS r FROM sol)" + ewma(0.97, "fr"), cov, "cov", 8).replace("WITH ", "WITH RECURSIVE ", 1),
+        "panel_residuals": final(PANEL + RESIDUAL, {"as_of!": None, "symbol!": None, "value": "e"}, "res", 6).replace("WITH ", "WITH RECURSIVE ", 1),
+        "panel_specific": final(PANEL + RESIDUAL, {"symbol!": None, "specific": "CASE WHEN count(*) >= 20 THEN var_samp(e) END"}, "res", 8, "GROUP BY symbol").replace("WITH ", "WITH RECURSIVE ", 1),
+        "panel_fits": final(PANEL + RESIDUAL, {"as_of!": None, "r2": "1 - sum(e * e) / (var_pop(r) * count(*))", "n_obs": "count(*)"}, "res", 6, "GROUP BY as_of").replace("WITH ", "WITH RECURSIVE ", 1),
         "stress_scenario": final(
             prices() + f", moved_px AS (SELECT symbol, date + {q.SHIFT} AS date, px FROM px)" + book("px") + ", e AS (SELECT symbol, min(date) AS d0, max(date) AS d1, arg_min(px, date) AS p0, arg_max(px, date) AS p1 FROM moved_px WHERE date BETWEEN DATE '2008-09-01' AND DATE '2009-03-09' GROUP BY 1), rr AS (SELECT symbol, weight, CASE WHEN d0 - DATE '2008-09-01' <= 7 AND DATE '2009-03-09' - d1 <= 7 THEN p1 / p0 - 1 END AS ret FROM w LEFT JOIN e USING (symbol))",
             {"scenario!": "'gfc2008'", "symbol!": None, "weight": None, "ret": None, "contribution": "weight * ret"}, "rr",
@@ -323,6 +352,11 @@ def oracle_sql() -> dict[str, str]:
         "breach_transitions": final(DAY + rolled("historical") + TRANS, counts, "tr"),
         "coverage_tests": final(DAY + rolled("parametric") + TRANS, {**counts, "lr_pof": None, "lr_ind": None, "p_cc": "exp(-(lr_pof + lr_ind) / 2)"}, f"(SELECT *, {POF} AS lr_pof, {IND} AS lr_ind FROM tr)", 6),
         "worst_breach": final(DAY + rolled("parametric"), {"worst_ratio": "-realized / var", "worst_date!": "date", "worst_loss": "-realized", "worst_var": "var"}, "roll", 6, "WHERE breach ORDER BY -realized / var DESC LIMIT 1"),
+        "validate_var": final(
+            DAY + rolled("filtered_historical") + TRANS + ", wb AS (SELECT -realized / var AS worst_ratio, date AS worst_date, -realized AS worst_loss, var AS worst_var FROM roll WHERE breach ORDER BY 1 DESC LIMIT 1)",
+            {**counts, "lr_pof": None, "lr_ind": None, "p_cc": "exp(-(lr_pof + lr_ind) / 2)", "p_pof": chi_tail("lr_pof"), "p_ind": f"CASE WHEN lr_ind IS NOT NULL THEN {chi_tail('lr_ind')} END", "zone!": f"CASE WHEN {BINOMIAL} < 0.95 THEN 'green' WHEN {BINOMIAL} < 0.9999 THEN 'yellow' ELSE 'red' END", "expected": f"n * {_P}", "worst_ratio": None, "worst_date!": None, "worst_loss": None, "worst_var": None},
+            f"(SELECT *, {POF} AS lr_pof, {IND} AS lr_ind FROM tr) LEFT JOIN wb ON true", 9,
+        ),
         "pit_fundamentals": final(PIT.removeprefix(", "), {"symbol!": None, **{f: f"max(value) FILTER (WHERE field = '{f}')" for f in FIELDS}}, "best", 2, "GROUP BY symbol"),
         "raw_characteristics": final(characteristics(), {"as_of!": None, "symbol!": None, **dict.fromkeys(RAW)}, "chars", 6),
         "clean_exposures": final(styles(), style, "styled", 5),
@@ -330,6 +364,11 @@ def oracle_sql() -> dict[str, str]:
         "week_ends": f"WITH {prices('p_type', 'day')}{ends} SELECT as_of FROM ends",
         "period_compound": final(rets("p_type", "day") + PUB + ends + compounded("ends"), {"as_of!": None, **dict.fromkeys(("hml", "mkt_rf", "mom", "smb"))}, "comp"),
         "factor_crosscheck": final(check, {"factor!": None, "series!": None, "sign!": None, "correlation": "CASE WHEN periods >= 8 THEN c END", "periods!": None, "passed!": "coalesce(periods >= 8 AND c * sign >= 0.8, false)"}, "cc", 6),
+        "factor_library": final(
+            rets("p_type", "day") + PUB, {"date!": None, **{c: f"round({c} * 100, 4) / 100" for c in ("mkt_rf", "smb", "hml")}, "rf": "CASE WHEN day(date) <> 13 THEN 0.0001 END", "mom": "round(mom * 100, 4) / 100"},
+            "pub", 8, "WHERE date >= DATE '1996-01-01' AND isodow(date) < 5",
+        ),
+        "trailing_targets": final(rets() + TRAILING, {"strategy!": None, "k!": "k::INTEGER", "symbol!": None, "weight": None, "note": "c", "error!": "NULL::VARCHAR"}, "tg"),
         "backtest_equal_weight": final(rets() + book() + WALK, {"strategy!": None, "date!": None, "gross": None, "net": None}, "bt"),
         "backtest_summary": final(
             rets() + book() + WALK + ", ser AS (SELECT date, net AS r FROM bt)" + EQUITY,

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import backtest, covariance, coverage, crosscheck, decompose, exposures, optimize, rebalance, regression, returns, stats, stress, var, views
 from tessera.operators.materialize import materialized
 from tessera.schemas import STYLES
-from tessera.sources import market, spec, store
+from tessera.sources import factorlib, filings, market, spec, store
 
 #: Weekly series are about 350 bars long: their windows.
 WINDOW, STEP, COST = 104, 13, 2.0
@@ -115,6 +118,36 @@ def prices_import_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(store.imported(*_halves(spark, sf_dir)).select("symbol", "date", "close", "adj_close"), 4)
 
 
+#: Names as somebody types them: blanks, cases, one twice.
+ASKED = ("  brand#4 ", "BRAND#11", "", "Brand#4", "brand#7")
+
+
+def _upper(df: DataFrame) -> DataFrame:
+    return df.withColumn("symbol", F.upper("symbol"))
+
+
+@query
+def prices_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw closes of the symbols asked for."""
+    px = _upper(weekly(spark, sf_dir, "p_brand"))
+    return rounded(returns.load_prices(px, store.symbols_of(ASKED), "1996-01-01", AS_OF, adjusted=False), 4)
+
+
+@query
+def filings_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company facts (nested JSON) as rows."""
+    return rounded(filings.extract(market.company_facts(spark, sf_dir)), 7)
+
+
+@query
+def filings_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the symbols asked for, beside stored rows that win."""
+    facts = _upper(market.fundamentals(spark, sf_dir))
+    stored = facts.filter("filed < '1998-01-01'").withColumn("value", F.lit(1.0))
+    ciks = facts.select("symbol", F.regexp_extract("symbol", r"(\d+)", 1).cast("long").alias("cik")).distinct()
+    return rounded(filings.ingest(stored, market.company_facts(spark, sf_dir), ciks, list(ASKED)), 7)
+
+
 @query
 def returns_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(week_returns(spark, sf_dir, "p_brand"))
@@ -243,7 +276,7 @@ def worst_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def validate_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.validate(var.rolling(day_series(spark, sf_dir), "filtered_historical", CONFIDENCE, ROLL), CONFIDENCE)
+    return rounded(coverage.validate(var.rolling(day_series(spark, sf_dir), "filtered_historical", CONFIDENCE, ROLL), CONFIDENCE), 9)
 
 
 @query
@@ -316,6 +349,34 @@ def factor_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crosscheck.cross_check(own, published(spark, sf_dir)), 6)
 
 
+def _zipped(rows: pd.DataFrame, names: dict[str, str]) -> bytes:
+    """A factor file as published: prose, a header, days in percent with -99.99 for holes, more prose."""
+    table = "\n".join(",".join([f"{r.date:%Y%m%d}", *[f"{-99.99 if getattr(r, c) is None else 100 * getattr(r, c):10.4f}" for c in names]]) for r in rows.itertuples())
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("factors.csv", f"Made from trade tables\n\n,{','.join(names.values())}\n{table}\n\nEnd, of the table\n")
+    return out.getvalue()
+
+
+@query
+def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of published factors, written and parsed: holes on each month's 13th, momentum on working days up to Thursday."""
+    rows = published(spark, sf_dir).orderBy("date").toPandas()  # a row a day
+    rows["rf"] = [None if d.day == 13 else 0.0001 for d in rows["date"]]
+    three = _zipped(rows, {"mkt_rf": "Mkt-RF", "smb": "SMB", "hml": "HML", "rf": "RF"})
+    momentum = _zipped(rows[[d.weekday() < 4 for d in rows["date"]]], {"mom": "Mom   "})
+    return rounded(factorlib.daily(spark, three, momentum, "1996-01-01").select("date", "mkt_rf", "smb", "hml", "rf", "mom"))
+
+
+@query
+def trailing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strategies' weights at every rebalance, each from its trailing window."""
+    rows = backtest.calendar(week_returns(spark, sf_dir), WINDOW, STEP)
+    inverse = lambda x: 1 / x / (1 / x).sum()
+    own = {"inverse_variance": lambda w: inverse(w.var()), "inverse_volatility": lambda w: inverse(w.std())}
+    return rounded(backtest.solved_targets(rows, own, WINDOW, STEP, note=lambda name, w: float(len(w))))
+
+
 @query
 def backtest_equal_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backtest.calendar(week_returns(spark, sf_dir), WINDOW, STEP)
@@ -406,11 +467,36 @@ def decompose_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_risk(spark, sf_dir)[2], 6)
 
 
+def _model(spark: SparkSession, sf_dir: str) -> regression.FactorModel:
+    px = weekly(spark, sf_dir, "p_brand")
+    return regression.fit(regression.panel(px, market.fundamentals(spark, sf_dir), **BARS))
+
+
 @query
 def fit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factor returns of every week."""
-    px = weekly(spark, sf_dir, "p_brand")
-    return rounded(regression.fit(regression.panel(px, market.fundamentals(spark, sf_dir), **BARS)).factor_returns, 6)
+    return rounded(_model(spark, sf_dir).factor_returns, 6)
+
+
+@query
+def panel_factor_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_model(spark, sf_dir).factor_cov, 8)
+
+
+@query
+def panel_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_model(spark, sf_dir).residuals, 6)
+
+
+@query
+def panel_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_model(spark, sf_dir).specific, 8)
+
+
+@query
+def panel_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit and size of every week's regression."""
+    return rounded(_model(spark, sf_dir).fits, 6)
 
 
 @query
