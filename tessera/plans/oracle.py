@@ -244,6 +244,21 @@ def eliminated(systems: str, by: str = "") -> str:
 ), sol AS (SELECT {key}unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda r: r[-1])) AS x FROM gauss WHERE k = len(m))"""
 
 
+#: Least variance with weights from 0 to a half: each way to hold symbols free (0), at 0 (1) or at a half (2) is a linear system; the best solution within the bounds.
+CORNERS = """, ways AS (SELECT unnest(range(0, (3 ** (SELECT count(*) FROM nm))::BIGINT)) AS s
+), st AS (SELECT s, i, symbol, (s // (3 ** (i - 1))::BIGINT) % 3 AS d FROM ways, nm QUALIFY min(d) OVER (PARTITION BY s) = 0
+), sy AS (
+  SELECT s, st.i, list_concat(list(CASE WHEN d = 0 THEN cov * 10000 WHEN nm.i = st.i THEN 1 ELSE 0 END::DOUBLE ORDER BY nm.i), [CASE WHEN d = 0 THEN -1 ELSE 0 END::DOUBLE, CASE WHEN d = 2 THEN 0.5 ELSE 0 END::DOUBLE]) AS a
+  FROM st JOIN whole ON sym_i = st.symbol JOIN nm ON nm.symbol = sym_j GROUP BY s, st.i, d
+  UNION ALL SELECT s, count(*) + 1, list_concat(list(1.0::DOUBLE), [0.0::DOUBLE, 1.0::DOUBLE]) FROM st GROUP BY s
+)""" + eliminated("sy", "s") + """, risk AS (
+  SELECT a.s, sum(a.x * b.x * cov) AS v FROM sol a JOIN nm p ON p.i = a.i JOIN sol b ON b.s = a.s JOIN nm q ON q.i = b.i JOIN whole ON sym_i = p.symbol AND sym_j = q.symbol
+  GROUP BY a.s HAVING min(a.x) >= -1e-12 AND max(a.x) <= 0.5 + 1e-12)"""
+#: Equal shares of variance: w -> sqrt(w / (S w)) until it stands still.
+PARITY = """, mat AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, list(cov ORDER BY sym_j) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)
+), parity AS (
+  SELECT 0 AS t, list(1.0::DOUBLE) AS w FROM nm
+  UNION ALL SELECT t + 1, list_transform(w, lambda x, i: sqrt(x / list_inner_product(m[i], w))) FROM parity, mat WHERE t < 200)"""
 PANEL = styles() + """, wk AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nxt FROM ends
 ), mvs AS (SELECT wk.as_of, a.symbol, b.px / a.px - 1 AS r FROM wk JOIN px a ON a.date = wk.as_of JOIN px b ON b.date = wk.nxt AND a.symbol = b.symbol
 ), obs AS (SELECT s.as_of, s.symbol, r, [1.0::DOUBLE, value, momentum, size, quality, low_vol] AS v FROM styled s JOIN mvs USING (as_of, symbol)
@@ -293,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
     lw = "least((fo - sq) / (n * t), sq / n - (tr / n) ** 2) / nullif(sq / n - (tr / n) ** 2, 0)"
     oas = "CASE WHEN (t + 1 - 2 / n) * (sq - tr * tr / n) <= 0 THEN 1 ELSE least(((1 - 2 / n) * sq + tr * tr) / ((t + 1 - 2 / n) * (sq - tr * tr / n)), 1) END"
     shrunk = lambda k: f"(SELECT sym_i, sym_j, (1 - coalesce({k}, 0)) * s + coalesce({k}, 0) * CASE WHEN sym_i = sym_j THEN tr / n ELSE 0 END AS cov FROM (SELECT emp.sym_i, emp.sym_j, emp.s, fx.* FROM emp, fx))"
+    shrunk_whole = rets() + SHRINK + f", lwc AS {shrunk(lw)}, whole AS (SELECT * FROM lwc UNION ALL SELECT sym_j, sym_i, cov FROM lwc WHERE sym_i < sym_j), nm AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM ret))"
     sized = prices() + """, names AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS ord FROM (SELECT DISTINCT symbol FROM prices)
 ), pos AS (SELECT symbol, ord::INTEGER AS ord, CASE WHEN ord % 2 = 1 THEN ord * 10.0::DOUBLE END AS shares, CASE WHEN ord % 2 = 0 THEN 0.1::DOUBLE END AS weight FROM names
 ), lp AS (SELECT symbol, arg_max(close, date) AS close FROM prices GROUP BY 1
@@ -328,7 +344,9 @@ def oracle_sql() -> dict[str, str]:
         "resolve_weights": final(sized, {"symbol!": None, "weight": "coalesce(weight, dollars / nav)", "cash_weight": "50000.0::DOUBLE / nav", "nav": None, "ord!": None}, "nv", 6),
         "var_parametric": final(DAY, var, one("parametric", 10, f"-(avg(r) * 10 + {z} * stddev_samp(r) * sqrt(10))", f"stddev_samp(r) * sqrt(10) * {_PDF!r}::DOUBLE / {1 - q.CONFIDENCE!r}::DOUBLE - avg(r) * 10", "ser")),
         "var_cornish_fisher": final(DAY + moments, var, one("cornish_fisher", 1, f"-(mu + {cf(z)} * sd)", f"-(mu + sd * (SELECT avg({cf('t')}) FROM unnest({_TAIL}) AS u(t)))", "mo")),
-        "min_variance": final(rets() + SHRINK + f", lwc AS {shrunk(lw)}, whole AS (SELECT * FROM lwc UNION ALL SELECT sym_j, sym_i, cov FROM lwc WHERE sym_i < sym_j), nm AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM ret)), sy AS (SELECT i, list_append(list(cov ORDER BY sym_j), 1.0::DOUBLE) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)" + eliminated("sy"), {"symbol!": None, "weight": "x / (SELECT sum(x) FROM sol)"}, "sol JOIN nm USING (i)", 6).replace("WITH ", "WITH RECURSIVE ", 1),
+        "min_variance": final(shrunk_whole + ", sy AS (SELECT i, list_append(list(cov ORDER BY sym_j), 1.0::DOUBLE) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)" + eliminated("sy"), {"symbol!": None, "weight": "x / (SELECT sum(x) FROM sol)"}, "sol JOIN nm USING (i)", 6).replace("WITH ", "WITH RECURSIVE ", 1),
+        "mvo": final(shrunk_whole + CORNERS, {"symbol!": None, "weight": "x"}, "sol JOIN nm USING (i)", 6, "WHERE s = (SELECT arg_min(s, v) FROM risk)").replace("WITH ", "WITH RECURSIVE ", 1),
+        "risk_parity": final(shrunk_whole + PARITY, {"symbol!": None, "weight": "w[i] / list_sum(w)"}, "parity, nm", 6, "WHERE t = 200").replace("WITH ", "WITH RECURSIVE ", 1),
         "black_litterman": final(
             rets() + book() + COV + IMPLIED + SCORED + """, vw AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i, implied + 0.05 * sqrt(52 * cov) * z - implied AS gap FROM zs JOIN implied USING (symbol) JOIN cov ON sym_i = symbol AND sym_j = symbol
 ), sy AS (SELECT a.i, list_append(list(0.05 * cov * CASE WHEN a.i = b.i THEN 1 / 0.3::DOUBLE ELSE 1 END ORDER BY b.i), any_value(a.gap)) AS a FROM vw a, vw b JOIN fullcov ON sym_j = b.symbol WHERE sym_i = a.symbol GROUP BY a.i)""" + eliminated("sy"),
