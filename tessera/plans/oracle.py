@@ -290,6 +290,46 @@ TRAILING = f""", days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS
   UNION ALL SELECT 'inverse_volatility', k, symbol, 1 / sqrt(v) / sum(1 / sqrt(v)) OVER (PARTITION BY k), c FROM win)"""
 
 
+WALKED = TRAILING + f""", seg AS (SELECT ret.*, i, (i - {q.WINDOW}) // {q.STEP} AS k FROM ret JOIN days USING (date) WHERE i >= {q.WINDOW}
+), val AS (SELECT strategy, symbol, date, i, k, weight * product(1 + r) OVER (PARTITION BY strategy, symbol, k ORDER BY i) AS v FROM seg JOIN tg USING (symbol, k)
+), gross AS (
+  SELECT strategy, date, i, k, v / coalesce(lag(v) OVER s, 1) - 1 AS gross, row_number() OVER s = 1 AS first_
+  FROM (SELECT strategy, date, i, k, sum(v) AS v FROM val GROUP BY ALL) WINDOW s AS (PARTITION BY strategy, k ORDER BY i)
+), drift AS (SELECT strategy, k + 1 AS k, symbol, v / sum(v) OVER (PARTITION BY strategy, i) AS had FROM val QUALIFY i = max(i) OVER (PARTITION BY strategy, k)
+), trade AS (SELECT strategy, k, sum(abs(weight - coalesce(had, 0))) AS traded FROM tg LEFT JOIN drift USING (strategy, k, symbol) GROUP BY ALL
+), bt AS (SELECT strategy, date, gross, gross - CASE WHEN first_ THEN traded * {q.COST}::DOUBLE / 10000 ELSE 0 END AS r FROM gross JOIN trade USING (strategy, k)
+), grown AS (SELECT *, product(1 + r) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM bt
+), eqty AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY date) AS peak FROM grown
+), done AS (SELECT strategy, {SUMMARY}, product(1 + gross) ** (252.0::DOUBLE / count(*)) - 1 AS gross_cagr, bool_or(gross <= -1) AS wiped_out FROM eqty GROUP BY strategy
+), turned AS (SELECT strategy, avg(traded / 2) AS avg_turnover, count(*) AS n_rebalances FROM trade GROUP BY strategy)"""
+#: The recursion of variances written out: each day's by all days before it.
+QUICK = """, num AS (SELECT date, r, row_number() OVER (ORDER BY date) - 1 AS i FROM ser
+), seed AS (SELECT avg(r * r) AS s FROM num WHERE i < 30
+), nx AS (
+  SELECT a.date, a.i, sqrt(0.6::DOUBLE ** (a.i - 29) * any_value(s) + sum(0.4 * b.r * b.r * 0.6::DOUBLE ** (a.i - b.i))) AS next_sigma
+  FROM num a JOIN num b ON b.i <= a.i AND b.i >= 30, seed WHERE a.i >= 30 GROUP BY a.date, a.i)"""
+
+
+def _spread(x: str) -> str:
+    """Variance of the cluster x (places of symbols) under inverse-variance weights; m: the matrix."""
+    cells = f"list_transform({x}, lambda a: list_sum(list_transform({x}, lambda b: m[a][b] / (m[a][a] * m[b][b]))))"
+    return f"(list_sum({cells}) / list_sum(list_transform({x}, lambda a: 1 / m[a][a])) ** 2)"
+
+
+#: Clusters are merged nearest first (older one to the left), the leaves halved, and each half weighted by the other's variance.
+_NEAR = "list_min(flatten(list_transform(c[p].x, lambda a: list_transform(c[q].x, lambda b: 1 - m[a][b] / sqrt(m[a][a] * m[b][b])))))"
+_HALF = "len(x) // 2"
+HALVED = f""", mat AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, list(cov ORDER BY sym_j) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)
+), tree AS (
+  SELECT (SELECT count(*) FROM nm) AS made, (SELECT list({{'id': i, 'x': [i]}} ORDER BY i) FROM nm) AS c
+  UNION ALL SELECT made + 1, list_append(list_filter(c, lambda e, i: i <> near.p AND i <> near.q), {{'id': made + 1, 'x': CASE WHEN c[near.p].id < c[near.q].id THEN c[near.p].x || c[near.q].x ELSE c[near.q].x || c[near.p].x END}})
+  FROM (SELECT *, list_min(flatten(list_transform(range(1, len(c)), lambda p: list_transform(range(p + 1, len(c) + 1), lambda q: {{'d': {_NEAR}, 'p': p, 'q': q}})))) AS near FROM tree, mat WHERE len(c) > 1)
+), halved AS (
+  SELECT c[1].x AS x, 1.0::DOUBLE AS weight FROM tree WHERE len(c) = 1
+  UNION ALL SELECT CASE h WHEN 0 THEN x[:{_HALF}] ELSE x[{_HALF} + 1:] END, weight * CASE h WHEN 0 THEN vr ELSE vl END / (vl + vr)
+  FROM (SELECT x, weight, {_spread(f"x[:{_HALF}]")} AS vl, {_spread(f"x[{_HALF} + 1:]")} AS vr FROM halved, mat WHERE len(x) > 1), (VALUES (0), (1)) AS t(h))"""
+
+
 def oracle_sql() -> dict[str, str]:
     half = prices("p_brand") + """, a AS (SELECT symbol, date, close, adj_close FROM prices WHERE date < DATE '1999-01-01'
 ), b AS (SELECT symbol, date, close * 1.1::DOUBLE AS close, adj_close * 1.1::DOUBLE AS adj_close FROM prices WHERE date >= DATE '1998-01-01')"""
@@ -346,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "var_cornish_fisher": final(DAY + moments, var, one("cornish_fisher", 1, f"-(mu + {cf(z)} * sd)", f"-(mu + sd * (SELECT avg({cf('t')}) FROM unnest({_TAIL}) AS u(t)))", "mo")),
         "min_variance": final(shrunk_whole + ", sy AS (SELECT i, list_append(list(cov ORDER BY sym_j), 1.0::DOUBLE) AS a FROM whole JOIN nm ON symbol = sym_i GROUP BY i)" + eliminated("sy"), {"symbol!": None, "weight": "x / (SELECT sum(x) FROM sol)"}, "sol JOIN nm USING (i)", 6).replace("WITH ", "WITH RECURSIVE ", 1),
         "mvo": final(shrunk_whole + CORNERS, {"symbol!": None, "weight": "x"}, "sol JOIN nm USING (i)", 6, "WHERE s = (SELECT arg_min(s, v) FROM risk)").replace("WITH ", "WITH RECURSIVE ", 1),
+        "hrp": final(shrunk_whole + HALVED, {"symbol!": None, "weight": None}, "halved JOIN nm ON i = x[1]", 6, "WHERE len(x) = 1").replace("WITH ", "WITH RECURSIVE ", 1),
         "risk_parity": final(shrunk_whole + PARITY, {"symbol!": None, "weight": "w[i] / list_sum(w)"}, "parity, nm", 6, "WHERE t = 200").replace("WITH ", "WITH RECURSIVE ", 1),
         "black_litterman": final(
             rets() + book() + COV + IMPLIED + SCORED + """, vw AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i, implied + 0.05 * sqrt(52 * cov) * z - implied AS gap FROM zs JOIN implied USING (symbol) JOIN cov ON sym_i = symbol AND sym_j = symbol
@@ -387,6 +428,12 @@ def oracle_sql() -> dict[str, str]:
             "pub", 8, "WHERE date >= DATE '1996-01-01' AND isodow(date) < 5",
         ),
         "trailing_targets": final(rets() + TRAILING, {"strategy!": None, "k!": "k::INTEGER", "symbol!": None, "weight": None, "note": "c", "error!": "NULL::VARCHAR"}, "tg"),
+        "backtest_trailing": final(
+            rets() + WALKED,
+            {"strategy!": None, "n!": None, "ann_return": "cagr", "vol": None, "sharpe": None, "max_drawdown": None, "avg_turnover": None, "cost_drag": "gross_cagr - cagr", "n_rebalances!": None, "wiped_out!": None},
+            "done JOIN turned USING (strategy)", 6,
+        ),
+        "volatility": final(DAY + QUICK, {"date!": None, "sigma": "CASE WHEN i = 30 THEN sqrt((SELECT s FROM seed)) WHEN i > 30 THEN lag(next_sigma) OVER (ORDER BY i) END", "next_sigma": None}, "num LEFT JOIN nx USING (date, i)"),
         "backtest_equal_weight": final(rets() + book() + WALK, {"strategy!": None, "date!": None, "gross": None, "net": None}, "bt"),
         "backtest_summary": final(
             rets() + book() + WALK + ", ser AS (SELECT date, net AS r FROM bt)" + EQUITY,

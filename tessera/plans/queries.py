@@ -237,6 +237,12 @@ def var_fhs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(var.filtered_historical(day_series(spark, sf_dir), CONFIDENCE))
 
 
+@query
+def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's volatility by the days before it, with a quick decay."""
+    return rounded(var.ewma_sigma(day_series(spark, sf_dir), 0.6).select("date", "sigma", "next_sigma"))
+
+
 @query
 def var_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = week_returns(spark, sf_dir)
@@ -368,13 +374,25 @@ def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factorlib.daily(spark, three, momentum, "1996-01-01").select("date", "mkt_rf", "smb", "hml", "rf", "mom"))
 
 
+def _shares(x: pd.Series) -> pd.Series:
+    return 1 / x / (1 / x).sum()
+
+
+_INVERSE = {"inverse_variance": lambda w: _shares(w.var()), "inverse_volatility": lambda w: _shares(w.std())}
+
+
 @query
 def trailing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two strategies' weights at every rebalance, each from its trailing window."""
+    """Two strategies' weights at every rebalance, each from its trailing window, with the window's length."""
+    rows = backtest.calendar(week_returns(spark, sf_dir), WINDOW, STEP)
+    return rounded(backtest.solved_targets(rows, _INVERSE, WINDOW, STEP, note=lambda name, w: float(len(w))))
+
+
+@query
+def backtest_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their walks: targets that change at every rebalance, traded from where the book drifted to."""
     rows = backtest.calendar(week_returns(spark, sf_dir), WINDOW, STEP)
-    inverse = lambda x: 1 / x / (1 / x).sum()
-    own = {"inverse_variance": lambda w: inverse(w.var()), "inverse_volatility": lambda w: inverse(w.std())}
-    return rounded(backtest.solved_targets(rows, own, WINDOW, STEP, note=lambda name, w: float(len(w))))
+    return rounded(backtest.results(*backtest.walk(rows, backtest.solved_targets(rows, _INVERSE, WINDOW, STEP), COST)), 6)
 
 
 @query
