@@ -64,15 +64,16 @@ def solved_targets(rows: DataFrame, strategies: Mapping[str, WeightsFn], window:
 
     def solve_all(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot(index="row", columns="symbol", values="r").sort_index().sort_index(axis=1)
-        return pd.concat([solve(strategy, int(pdf["k"].iloc[0]), x) for strategy in strategies])
+        found = [row for strategy in strategies for row in solve(strategy, int(pdf["k"].iloc[0]), x)]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in TARGETS.split(", ")])
 
-    def solve(strategy: str, k: int, x: pd.DataFrame) -> pd.DataFrame:
+    def solve(strategy: str, k: int, x: pd.DataFrame) -> list[tuple]:
         try:
             w = validated(strategies[strategy](x), list(x.columns), strategy)
             extra = note(strategy, x) if note else None
         except (RiskError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame([(strategy, k, None, None, None, str(e))], columns=["strategy", "k", "symbol", "weight", "note", "error"])
-        return pd.DataFrame({"strategy": strategy, "k": k, "symbol": w.index, "weight": w.to_numpy(float), "note": extra, "error": None})
+            return [(strategy, k, None, None, None, str(e))]
+        return [(strategy, k, symbol, float(v), extra, None) for symbol, v in w.items()]
 
     return windows.groupBy("k").applyInPandas(solve_all, TARGETS)
 

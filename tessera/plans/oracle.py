@@ -281,16 +281,16 @@ def chi_tail(x: str) -> str:
 
 #: The probability of as many breaches or fewer.
 BINOMIAL = f"list_sum(list_transform(range(0, breaches + 1), lambda b: exp(lgamma(n + 1) - lgamma(b + 1) - lgamma(n - b + 1) + b * ln({_P}) + (n - b) * ln(1 - {_P}))))"
-TRAILING = f""", days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ret)
-), ks AS (SELECT unnest(range(0, (SELECT (max(i) - {q.WINDOW}) // {q.STEP} + 1 FROM days))) AS k
-), win AS (
+WINDOWS = f""", days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ret)
+), ks AS (SELECT unnest(range(0, (SELECT (max(i) - {q.WINDOW}) // {q.STEP} + 1 FROM days))) AS k)"""
+TRAILING = WINDOWS + f""", win AS (
   SELECT k, symbol, var_samp(r) AS v, count(*) AS c FROM ks JOIN days ON i >= k * {q.STEP} AND i < k * {q.STEP} + {q.WINDOW} JOIN ret USING (date) GROUP BY 1, 2
 ), tg AS (
   SELECT 'inverse_variance' AS strategy, k, symbol, 1 / v / sum(1 / v) OVER (PARTITION BY k) AS weight, c FROM win
   UNION ALL SELECT 'inverse_volatility', k, symbol, 1 / sqrt(v) / sum(1 / sqrt(v)) OVER (PARTITION BY k), c FROM win)"""
 
 
-WALKED = TRAILING + f""", seg AS (SELECT ret.*, i, (i - {q.WINDOW}) // {q.STEP} AS k FROM ret JOIN days USING (date) WHERE i >= {q.WINDOW}
+PATHS = f""", seg AS (SELECT ret.*, i, (i - {q.WINDOW}) // {q.STEP} AS k FROM ret JOIN days USING (date) WHERE i >= {q.WINDOW}
 ), val AS (SELECT strategy, symbol, date, i, k, weight * product(1 + r) OVER (PARTITION BY strategy, symbol, k ORDER BY i) AS v FROM seg JOIN tg USING (symbol, k)
 ), gross AS (
   SELECT strategy, date, i, k, v / coalesce(lag(v) OVER s, 1) - 1 AS gross, row_number() OVER s = 1 AS first_
@@ -302,6 +302,43 @@ WALKED = TRAILING + f""", seg AS (SELECT ret.*, i, (i - {q.WINDOW}) // {q.STEP}
 ), eqty AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY date) AS peak FROM grown
 ), done AS (SELECT strategy, {SUMMARY}, product(1 + gross) ** (252.0::DOUBLE / count(*)) - 1 AS gross_cagr, bool_or(gross <= -1) AS wiped_out FROM eqty GROUP BY strategy
 ), turned AS (SELECT strategy, avg(traded / 2) AS avg_turnover, count(*) AS n_rebalances FROM trade GROUP BY strategy)"""
+
+
+def leading(source: str, name: str) -> str:
+    """lead: the largest eigenvalue of each symmetric matrix m of source (strategy, wk, m), by squaring it 40 times."""
+    return f""", {name}_pw AS (
+  SELECT strategy, wk, 0 AS t, m AS p FROM {source}
+  UNION ALL SELECT strategy, wk, t + 1, list_transform(q, lambda r: list_transform(r, lambda x: CASE WHEN size > 0 THEN x / size ELSE 0 END)) FROM (
+    SELECT *, list_sum(list_transform(q, lambda r, i: r[i])) AS size FROM (
+      SELECT strategy, wk, t, list_transform(p, lambda r: list_transform(p, lambda c: list_inner_product(r, c))) AS q FROM {name}_pw WHERE t < 40))
+), {name} AS (
+  SELECT strategy, wk, m, list_sum(list_transform(m, lambda r, i: list_inner_product(r, p[i]))) / nullif(list_sum(list_transform(p, lambda r, i: r[i])), 0) AS lead
+  FROM {name}_pw JOIN {source} USING (strategy, wk) WHERE t = 40)"""
+
+
+def estimator_race(lw: str, oas: str) -> str:
+    """Least-variance books on four estimates of each trailing window, and 1/N; cond: their mean condition numbers."""
+    shrunk = lambda name, k: f"SELECT '{name}', wk, sym_i, sym_j, (1 - coalesce({k}, 0)) * s + coalesce({k}, 0) * CASE WHEN sym_i = sym_j THEN tr / n ELSE 0 END FROM cells JOIN fx USING (wk)"
+    return rets() + WINDOWS + f""", nm AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM ret)
+), wr AS (
+  SELECT k AS wk, symbol, date, r, r - avg(r) OVER (PARTITION BY k, symbol) AS d, 0.94::DOUBLE ** (k * {q.STEP} + {q.WINDOW - 1} - i) AS wt
+  FROM ks JOIN days ON i >= k * {q.STEP} AND i < k * {q.STEP} + {q.WINDOW} JOIN ret USING (date)
+), cells AS (
+  SELECT wk, a.symbol AS sym_i, b.symbol AS sym_j, avg(a.d * b.d) AS s, avg(a.d * a.d * b.d * b.d) AS m, covar_samp(a.r, b.r) AS sample, sum(a.wt * a.r * b.r) / sum(a.wt) AS ewma
+  FROM wr a JOIN wr b USING (wk, date) GROUP BY ALL
+), fx AS (SELECT wk, count(*) FILTER (WHERE sym_i = sym_j)::DOUBLE AS n, {q.WINDOW}::DOUBLE AS t, sum(s) FILTER (WHERE sym_i = sym_j) AS tr, sum(s * s) AS sq, sum(m) AS fo FROM cells GROUP BY wk
+), est AS (
+  SELECT 'sample' AS strategy, wk, sym_i, sym_j, sample AS c FROM cells UNION ALL SELECT 'ewma', wk, sym_i, sym_j, ewma FROM cells
+  UNION ALL {shrunk('ledoit_wolf', lw)} UNION ALL {shrunk('oas', oas)}
+), rw AS (SELECT strategy, wk, i, list(c ORDER BY sym_j) AS a FROM est JOIN nm ON symbol = sym_i GROUP BY ALL
+), sy AS (SELECT strategy, wk, i, list_append(a, 1.0::DOUBLE) AS a FROM rw){eliminated("sy", "strategy, wk")}, tg AS (
+  SELECT strategy, wk AS k, symbol, x / sum(x) OVER (PARTITION BY strategy, wk) AS weight FROM sol JOIN nm USING (i)
+  UNION ALL SELECT 'equal_weight', k, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) FROM ks, nm
+){PATHS}, mats AS (SELECT strategy, wk, list(a ORDER BY i) AS m FROM rw GROUP BY ALL){leading("mats", "top")}, rest AS (
+  SELECT strategy, wk, list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = j THEN lead - x ELSE -x END)) AS m FROM top
+){leading("rest", "low")}, cond AS (SELECT strategy, avg(top.lead / greatest(top.lead - coalesce(low.lead, 0), 1e-18)) AS avg_condition FROM top JOIN low USING (strategy, wk) GROUP BY strategy)"""
+
+
 #: The recursion of variances written out: each day's by all days before it.
 QUICK = """, num AS (SELECT date, r, row_number() OVER (ORDER BY date) - 1 AS i FROM ser
 ), seed AS (SELECT avg(r * r) AS s FROM num WHERE i < 30
@@ -339,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
     one = lambda m, h, v, e, source: f"(SELECT '{m}' AS method, {q.CONFIDENCE}::DOUBLE AS confidence, {h} AS horizon, {v} AS var, {e} AS es FROM {source})"
     tail = lambda col, source: f", qq AS (SELECT quantile_cont({col}, {1 - q.CONFIDENCE}) AS q FROM {source}), tl AS (SELECT avg({col}) AS t FROM {source}, qq WHERE {col} <= q)"
     roll = {"date!": None, "var": None, "realized": None, "breach!": None}
+    walked = {"strategy!": None, "n!": None, "ann_return": "cagr", "vol": None, "sharpe": None, "max_drawdown": None, "avg_turnover": None, "cost_drag": "gross_cagr - cagr", "n_rebalances!": None, "wiped_out!": None}
     counts = {f"{c}!": None for c in ("n", "breaches", "n00", "n01", "n10", "n11")}
     style = {"as_of!": None, "symbol!": None, **dict.fromkeys(STYLES)}
     moments = ", mo AS (SELECT count(r)::DOUBLE AS n, avg(r) AS mu, stddev_samp(r) AS sd, skewness(r) AS skew, kurtosis(r) AS kurt FROM ser)"
@@ -428,11 +466,10 @@ def oracle_sql() -> dict[str, str]:
             "pub", 8, "WHERE date >= DATE '1996-01-01' AND isodow(date) < 5",
         ),
         "trailing_targets": final(rets() + TRAILING, {"strategy!": None, "k!": "k::INTEGER", "symbol!": None, "weight": None, "note": "c", "error!": "NULL::VARCHAR"}, "tg"),
-        "backtest_trailing": final(
-            rets() + WALKED,
-            {"strategy!": None, "n!": None, "ann_return": "cagr", "vol": None, "sharpe": None, "max_drawdown": None, "avg_turnover": None, "cost_drag": "gross_cagr - cagr", "n_rebalances!": None, "wiped_out!": None},
-            "done JOIN turned USING (strategy)", 6,
-        ),
+        "backtest_trailing": final(rets() + TRAILING + PATHS, walked, "done JOIN turned USING (strategy)", 6),
+        "cov_race": final(
+            estimator_race(lw, oas), {**walked, "avg_condition": None, "error!": "NULL::VARCHAR"}, "done JOIN turned USING (strategy) LEFT JOIN cond USING (strategy)", 6,
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
         "volatility": final(DAY + QUICK, {"date!": None, "sigma": "CASE WHEN i = 30 THEN sqrt((SELECT s FROM seed)) WHEN i > 30 THEN lag(next_sigma) OVER (ORDER BY i) END", "next_sigma": None}, "num LEFT JOIN nx USING (date, i)"),
         "backtest_equal_weight": final(rets() + book() + WALK, {"strategy!": None, "date!": None, "gross": None, "net": None}, "bt"),
         "backtest_summary": final(

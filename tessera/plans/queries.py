@@ -519,7 +519,7 @@ def panel_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cov_race(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimize.estimator_race(week_returns(spark, sf_dir), window=WINDOW, step=STEP)
+    return rounded(optimize.estimator_race(week_returns(spark, sf_dir), window=WINDOW, step=STEP), 6)
 
 
 @query
