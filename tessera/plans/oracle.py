@@ -408,6 +408,14 @@ def oracle_sql() -> dict[str, str]:
         "prices_upsert": final(half, px, "(SELECT * FROM a ANTI JOIN b USING (symbol, date) UNION ALL SELECT * FROM b)", 4),
         "prices_import_ignore": final(half, px, "(SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (symbol, date))", 4),
         "prices_selected": final(prices("p_brand"), {"symbol!": "upper(symbol)", "date!": None, "px": "close"}, "prices", 4, f"WHERE upper(symbol) IN {ASKED} AND date BETWEEN DATE '1996-01-01' AND DATE '{q.AS_OF}'"),
+        "store_ingested": final(
+            prices("p_brand") + f""", up AS (SELECT * REPLACE (upper(symbol) AS symbol) FROM prices
+), own AS (SELECT symbol, date, close, close AS adj_close FROM up WHERE symbol IN {ASKED} AND date >= DATE '1996-01-01'
+), new AS (SELECT symbol, date, close * 2 AS close, adj_close * 2 AS adj_close FROM up ANTI JOIN own USING (symbol, date) WHERE date < DATE '1997-01-01'
+), cnt AS (SELECT symbol, count(*) AS brought FROM own GROUP BY 1)""",
+            {"symbol!": None, "date!": None, "close": None, "adj_close": None, "brought!": "coalesce(brought, 0)", "added!": "(SELECT count(*) FROM new)"}, "(SELECT * FROM own UNION ALL SELECT * FROM new) LEFT JOIN cnt USING (symbol)", 4,
+        ),
+        "scores_loaded": final(prices("p_brand") + book("prices") + SCORED, {"symbol!": "upper(symbol)", "score": None}, "sc"),
         "filings_extracted": f"WITH {FACTS.removeprefix(', ')}\n{FILED}",
         "filings_ingested": f"WITH {FACTS.removeprefix(', ')}, got AS ({FILED})\nSELECT * REPLACE (CASE WHEN filed < DATE '1998-01-01' THEN 1.0::DOUBLE ELSE value END AS value) FROM got WHERE filed < DATE '1998-01-01' OR symbol IN {ASKED}",
         "returns_aligned": final(rets("p_brand"), {"symbol!": None, "date!": None, "r": None}, "ret"),

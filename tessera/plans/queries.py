@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import backtest, covariance, coverage, crosscheck, decompose, exposures, optimize, rebalance, regression, returns, stats, stress, var, views
-from tessera.operators.materialize import materialized
+from tessera.operators.materialize import materialized, shared_folder
 from tessera.schemas import STYLES
 from tessera.sources import factorlib, filings, market, spec, store
+from tessera.sources import scores as score_files
 
 #: Weekly series are about 350 bars long: their windows.
 WINDOW, STEP, COST = 104, 13, 2.0
@@ -133,6 +135,26 @@ def prices_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(returns.load_prices(px, store.symbols_of(ASKED), "1996-01-01", AS_OF, adjusted=False), 4)
 
 
+@query
+def store_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new store that takes the bars asked for from 1996 on, then imports others, at twice the price, where it has none."""
+    px = materialized(_upper(weekly(spark, sf_dir, "p_brand")))
+    own = store.PriceStore(spark, f"{shared_folder(spark)}/prices-{uuid.uuid4().hex}")
+    brought = own.ingest(ASKED, lambda s: px.filter(F.col("symbol") == s).select(F.col("date").alias("Date"), F.col("close").alias("Close")), "1996-01-01")
+    added = own.import_from(px.filter(F.col("date") < "1997-01-01").withColumns({c: F.col(c) * 2 for c in ("close", "adj_close")}))
+    counts = spark.createDataFrame(list(brought.items()), "symbol string, brought long")  # the symbols asked for
+    rows = own.read().join(F.broadcast(counts), "symbol", "left")
+    return rounded(rows.select("symbol", "date", "close", "adj_close", F.coalesce("brought", F.lit(0)).alias("brought"), F.lit(added).cast("long").alias("added")), 4)
+
+
+@query
+def scores_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking written as CSV and read again."""
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    scores(weekly(spark, sf_dir, "p_brand")).coalesce(1).write.csv(path, header=True)  # a row a symbol
+    return rounded(score_files.load(spark, path))
+
+
 @query
 def filings_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company facts (nested JSON) as rows."""
