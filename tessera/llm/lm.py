@@ -3,18 +3,21 @@
 Texts become sequences of 64-bit word hashes once, kept in the shared folder.
 They are exploded into n-grams of one order at a time, which travel as 64-bit
 hashes with those of their context (all words but the last) and tail (all but
-the first). Counts are a table partitioned by the hash. A word scores by the
-longest n-gram ending there that the corpus has often enough; an n-gram that is
-frequent enough has a tail that is, too, so a document's score is a sum over its
-n-grams of all orders:
+the first). A word scores by the longest n-gram ending there that the corpus has
+often enough; an n-gram that is frequent enough has a tail that is, too, so a
+document's score is a sum over its n-grams of all orders:
 
     what its single words score + for each longer n-gram of the table, what that
     n-gram scores more than its tail.
 
-Those differences (gains) are found once for each n-gram of the count table,
-which is then joined to the exploded n-grams of the documents and summed per
-document. Both passes go over SLICES slices of the hashes, one after another,
-so that the shuffles on disk at a time are a fixed share of all n-grams.
+The exploded n-grams are dealt by hash once. From there they are counted, the
+counts are joined with those of the order below, which gives the table of
+differences (gains), and the same exploded n-grams are joined to that table and
+summed per document. This goes over SLICES slices of the hashes, one after
+another, so that the shuffles on disk at a time are a fixed share of all n-grams.
+
+The most frequent n-grams, a bounded number, are counted like all others, but
+from one row a block; their gains then go to the sequences by broadcast.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, HOT_KEYS, packed_id, shared_folder, unpacked_id
+from tessera.llm.common import ASCII_LOWER, packed_id, shared_folder, unpacked_id
 
 #: Longest n-gram, weight of a backoff step, least count of an n-gram of two words or more that isn't backed off.
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
@@ -38,16 +43,22 @@ ORDER, BACKOFF, LEAST = 3, 0.4, 2
 CHUNK = 8 << 20
 #: Parts of the hash range that are shuffled one after another, a power of two.
 SLICES = 8
+#: N-grams that occur FLOOR times and are over 1 / HOT of all words are frequent, at most 2 * HOT of each order.
+HOT, FLOOR = 1 << 18, 64
 _START = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = {"ids": np.int64, "marks": np.int32, "sizes": np.int64, "codes": np.int32, "words": np.uint64}
-_TABLE = "gram long, n long, score double, gain double"
+_BLOCK = {"ids": np.int64, "first": np.int64, "sizes": np.int64, "codes": np.int32, "words": np.uint64}
+_ROWS = "gram long not null, context long, tail long, doc long, n long"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of documents: their ids, marks and lengths, the places of their words in a list of hashes, and that list."""
+    """A row for each chunk of documents: their ids, the number of the first, lengths, the places of their words in a list of hashes, and that list.
+
+    Documents are numbered within a partition, above its own number, so that each row has a number of its own.
+    """
+    number = TaskContext.get().partitionId() << 40
     for batch in batches:
-        ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
+        ids = batch.column("id").to_numpy()
         for start, texts in _chunks(batch.column("text")):
             index: defaultdict[bytes, int] = defaultdict()
             index.default_factory = index.__len__
@@ -56,10 +67,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
                 codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 sizes.append(len(words))
-            end = start + len(texts)
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-            values = (ids[start:end], marks[start:end], np.array(sizes, np.int64), np.concatenate(codes), words)
+            values = (ids[start : start + len(texts)], np.array([number]), np.array(sizes, np.int64), np.concatenate(codes), words)
             yield pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in values), pa.array([sum(sizes)])], [*_BLOCK, "n_words"])
+            number += len(texts)
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -83,80 +94,108 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 
 class Grams:
-    """The n-grams of a block: hashes of each order at each place of its word sequences, which start with order - 1 marks."""
+    """The n-grams of a block: hashes of each order at each place of its word sequences, which start with order - 1 marks.
 
-    def __init__(self, block: dict[str, np.ndarray], order: int):
+    `whole` tells where an n-gram of `top` words, the longest that are hashed, lies within one sequence, `real` where a word ends it.
+    """
+
+    def __init__(self, block: dict[str, np.ndarray], order: int, top: int):
         pad = order - 1
         size = block["sizes"] + pad
-        self.doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.real = place >= pad
-        one = np.full(len(place), _START, np.uint64)
+        starts = np.cumsum(size) - size
+        self.size, self.number = size, block["first"][0]
+        self.real = np.ones(int(size.sum()), bool)
+        self.whole = self.real.copy()
+        for i in range(pad):
+            self.real[starts + i] = False
+            if i < top - 1:
+                self.whole[starts + i] = False
+        one = np.full(len(self.real), _START, np.uint64)
         one[self.real] = block["words"][block["codes"]]
-        self.hash, self.whole = [one], [np.ones(len(one), bool)]
-        for o in range(2, order + 1):
+        self.hash = [one]
+        step = one * np.uint64(0xD6E8FEB86659FD93) if top > 1 else one
+        for o in range(2, top + 1):
             last = self.hash[-1]
             h = np.zeros_like(one)
-            h[1:] = (last[:-1] * _MIX ^ (last[:-1] >> np.uint64(31))) + one[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(o)
+            h[1:] = (last[:-1] * _MIX ^ (last[:-1] >> np.uint64(31))) + step[1:] + np.uint64(o)
             self.hash.append(h)
-            self.whole.append(place >= o - 1)
+
+    def docs(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of the documents at these places."""
+        return np.repeat(np.arange(self.number, self.number + len(self.size)), self.size)[at]
 
 
 #: Bits below those that tell a hash's slice.
 _LOW = 64 - (SLICES - 1).bit_length()
 
 
-def _in_slice(gram: np.ndarray, part: int) -> np.ndarray:
-    return (gram >> np.uint64(_LOW)) == part
+def _found(grams: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """The place of each in `among`, or -1."""
+    return pc.fill_null(pc.index_in(pa.array(grams), pa.array(among)), -1).to_numpy()
 
 
-def _of_slice(df: DataFrame, part: int) -> DataFrame:
-    return df.filter(F.shiftrightunsigned("gram", _LOW) == part)
+def _often(order: int):
+    """o, gram and n: the n-grams of a block that are over half of 1 / HOT of it, and how often they occur there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            for o in range(1, order + 1):
+                g = Grams(block, order, o)
+                grams = np.sort(g.hash[-1][g.whole])
+                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+                n = np.diff(first, append=len(grams))
+                much = n > max(1, len(block["codes"]) // (2 * HOT))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(much.sum(), o)), pa.array(grams[first[much]].view(np.int64)), pa.array(n[much])], ["o", "gram", "n"])
+
+    return run
+
 
+def _exploded(order: int, size: int, hot: np.ndarray, part: int | None):
+    """A slice of the n-grams of `size` words, or all: gram, context, tail, doc and n (1).
 
-def _counted(order: int, size: int, part: int | None):
-    """gram, context, tail and n (how often it occurs) of a slice of each block's n-grams of `size` words, or of all."""
+    The hot ones and those of start marks alone are one row a block, with the number there and no doc.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            g = Grams(block, order)
-            whole = g.whole[size - 1]
-            at = np.flatnonzero(whole if part is None else whole & _in_slice(g.hash[size - 1], part))
-            gram, first, n = np.unique(g.hash[size - 1][at], return_index=True, return_counts=True)
-            at, none = at[first], np.zeros(len(first), np.uint64)
-            context, tail = (g.hash[size - 2][at - 1], g.hash[size - 2][at]) if size > 1 else (none, none)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (gram, context, tail)), pa.array(n)], ["gram", "context", "tail", "n"])
+            g = Grams(block, order, size)
+            h = g.hash[-1]
+            at = np.flatnonzero(g.whole if part is None else g.whole & ((h >> np.uint64(_LOW)) == part))
+            known = np.unique(np.r_[hot, h[at[~g.real[at]]]])
+            place = _found(h[at], known)
+            cold = at[place < 0]
+            n = np.bincount(place[place >= 0], minlength=len(known))
+            last = np.zeros(len(known), np.int64)
+            last[place[place >= 0]] = at[place >= 0]
+            ends = np.r_[cold, last[n > 0]]
+            docs = pa.concat_arrays([pa.array(g.docs(cold)), pa.nulls(int((n > 0).sum()), pa.int64())])
+            context, tail = (g.hash[-2][ends - 1], g.hash[-2][ends]) if size > 1 else (np.zeros(len(ends), np.uint64),) * 2
+            columns = [*(pa.array(x.view(np.int64)) for x in (h[ends], context, tail)), docs, pa.array(np.r_[np.ones(len(cold), np.int64), n[n > 0]])]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "context", "tail", "doc", "n"])
 
     return run
 
 
-def _exploded(order: int, hot: np.ndarray, part: int | None):
-    """id, mark, gram and n: a slice of the n-grams that end in a word of each document, and how often; of the hot ones all where part is None, else none."""
+def _hot_sums(order: int, hot: list[np.ndarray], gains: list[np.ndarray]):
+    """doc and sum: what the hot n-grams of each document gain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            g = Grams(block, order)
-            docs, grams = [], []
-            for h in g.hash:
-                mine = g.real if part is None else g.real & _in_slice(h, part)
-                at = np.flatnonzero(mine)
-                at = at[np.isin(h[at], hot, invert=part is not None)]
-                docs.append(g.doc[at])
-                grams.append(h[at])
-            doc, gram = np.concatenate(docs), np.concatenate(grams)
-            by = np.lexsort((gram, doc))
-            doc, gram = doc[by], gram[by]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(doc) else doc
-            own = doc[first]
-            columns = [pa.array(block["ids"][own]), pa.array(block["marks"][own]), pa.array(gram[first].view(np.int64)), pa.array(np.diff(first, append=len(doc)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "gram", "n"])
+            g = Grams(block, order, order)
+            gain = np.zeros(len(g.real))
+            for h, known, values in zip(g.hash, hot, gains, strict=True):
+                gain += np.r_[values, 0.0][_found(h, known)]
+            doc = np.repeat(np.arange(len(g.size)), g.size)
+            sums = np.bincount(doc, weights=np.where(g.real, gain, 0.0), minlength=len(g.size))
+            yield pa.RecordBatch.from_arrays([pa.array(g.number + np.arange(len(g.size))), pa.array(sums)], ["doc", "sum"])
 
     return run
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(block[c]) for c in ("ids", "marks", "sizes")], ["id", "mark", "n_words"])
+        ids = block["ids"]
+        yield pa.RecordBatch.from_arrays([pa.array(block["first"][0] + np.arange(len(ids))), pa.array(ids), pa.array(block["sizes"])], ["doc", "id", "n_words"])
 
 
 class _Folder:
@@ -167,43 +206,59 @@ class _Folder:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
 
-    def add(self, df: DataFrame, name: str) -> DataFrame:
-        """The table `name` with the rows of df besides those that it has."""
+    def write(self, save: Callable[[], None]) -> None:
         before = self.spark.conf.get(self.CLEAN)
         self.spark.conf.set(self.CLEAN, "true")
         try:
-            df.write.mode("append").option("compression", "zstd").parquet(f"{self.top}/{name}")
+            save()
         finally:
             self.spark.conf.set(self.CLEAN, before)
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """The table `name` with the rows of df besides those that it has."""
+        self.write(lambda: df.write.mode("append").option("compression", "zstd").parquet(f"{self.top}/{name}"))
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
+    def deal(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df in files dealt by key, which joins needn't deal again; the session knows them as a table until undeal()."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        files = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.top}/{name}").bucketBy(n, key)
+        self.write(lambda: files.saveAsTable(self.known(name)))
+        return self.spark.table(self.known(name))
+
+    def undeal(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {self.known(name)}")
+        self.drop(name)
+
+    def known(self, name: str) -> str:
+        return f"{self.top.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _tables(folder: _Folder, sequences: DataFrame, words: int, order: int, backoff: float, least: int) -> list[DataFrame]:
-    """For each order gram, n, score (of a word by this n-gram) and gain (its score over its tail's; of one word the score).
+def _asked(value: Column, *names: str) -> Column:
+    """value, which needs these columns too: Spark then reads one exchange twice, where it would else cut another of fewer columns."""
+    return F.when(F.greatest(*(F.col(c).isNotNull().cast("int") for c in names)) == 1, value)
 
-    Of longer n-grams those that occur `least` times.
-    """
-    step = math.log(backoff)
-    found = sequences.mapInArrow(_counted(order, 1, None), "gram long, context long, tail long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    score = F.log("n") - math.log(max(words, 1)) + (order - 1) * step
-    tables = [folder.add(found.select("gram", "n", score.alias("score"), score.alias("gain")), "table-1")]
-    for o in range(2, order + 1):
-        shorter = tables[-1].select(F.col("gram").alias("key"), F.col("n").alias("times"), F.col("score").alias("less"))
-        for part in range(SLICES):
-            found = sequences.mapInArrow(_counted(order, o, part), "gram long, context long, tail long, n long")
-            counts = found.groupBy("gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("tail").alias("tail")).filter(F.col("n") >= least)
-            # Context and tail are looked up in one join: a row with n for the context, one without for the tail.
-            sides = F.array(F.struct(F.col("context").alias("key"), F.col("n")), F.struct(F.col("tail").alias("key"), F.lit(None).cast("long").alias("n")))
-            sided = counts.select("gram", F.inline(sides)).join(shorter, "key")
-            score = F.log("n") - F.log("times") + (order - o) * step
-            both = sided.groupBy("gram").agg(F.max("n").alias("n"), F.max(score).alias("score"), F.max(F.when(F.col("n").isNull(), F.col("less"))).alias("less"))
-            table = folder.add(both.select("gram", "n", "score", (F.col("score") - F.col("less")).alias("gain")), f"table-{o}")
-        tables.append(table)
-    return tables
+
+def _gains(counts: DataFrame, shorter: DataFrame | None, hot: DataFrame | None, words: int, o: int, order: int, backoff: float) -> DataFrame:
+    """counts with score (of a word by this n-gram) and gain (its score over its tail's; of one word the score)."""
+    step = (order - o) * math.log(backoff)
+    if shorter is None:
+        score = F.log("n") - math.log(max(words, 1)) + step
+        return counts.select("gram", "n", "hot", score.alias("score"), score.alias("gain"))
+    # Context and tail are looked up in one join: a row with n for the context, one without for the tail.
+    # What is hot is found by broadcast, and goes on under the n-gram, so that no key gathers rows.
+    sides = F.array(F.struct(F.col("context").alias("key"), F.col("n")), F.struct(F.col("tail").alias("key"), F.lit(None).cast("long").alias("n")))
+    sided = counts.select("gram", "hot", F.inline(sides)).join(F.broadcast(hot), "key", "left")
+    sided = sided.withColumn("key", F.when(F.col("hot_times").isNull(), F.col("key")).otherwise(F.col("gram")))
+    sided = sided.hint("shuffle_hash").join(shorter, "key", "left")
+    times, less = F.coalesce("hot_times", "times"), F.coalesce("hot_less", "less")
+    score = F.log("n") - F.log(times) + step
+    both = sided.groupBy("gram").agg(F.max("n").alias("n"), F.max("hot").alias("hot"), F.max(score).alias("score"), F.max(F.when(F.col("n").isNull(), less)).alias("less"))
+    return both.select("gram", "n", "hot", "score", (F.col("score") - F.col("less")).alias("gain"))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,38 +269,48 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     given up; a single word scores its share of all words. Sequences start with
     order - 1 start marks, which contexts count. Documents without words (null,
     blank) have n_words 0, log_score 0 and a null mean. Every row counts, however
-    often it repeats; rows are told apart by id and a checksum of the text. Other
-    columns are ignored; an empty table gives an empty result.
+    often it repeats, and is scored by itself. Other columns are ignored; an empty table gives an empty result.
 
-    N-grams with over a thousandth of all words, at most HOT_KEYS of an order and
-    those of start marks alone, are joined by broadcast and so never gathered.
+    The most frequent n-grams (at most 2 * HOT of an order) and those of start
+    marks alone are counted by block and joined by broadcast, so never gathered.
     """
     rows = docs.select(packed_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("mark", (F.coalesce(F.crc32("text"), F.lit(0)) - F.lit(1 << 31)).cast("int"))
     folder = _Folder(docs.sparkSession)
     sequences = folder.add(rows.mapInArrow(_hashed, ", ".join(f"{c} binary" for c in _BLOCK) + ", n_words long"), "sequences")
     total = sequences.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    tables = _tables(folder, sequences, total, order, backoff, least)
-
-    gains = tables[0]
-    for longer in tables[1:]:
-        gains = gains.unionByName(longer)
-    often = gains.filter(F.col("n") > max(1_000, total // HOT_KEYS))
-    hot = np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)
-    gains = gains.select("gram", "gain")
-    shape, product = "id long, mark int, gram long, n int", F.sum(F.col("n") * F.col("gain")).alias("sum")
-    exploded = sequences.mapInArrow(_exploded(order, hot, None), shape)
-    sums = folder.add(exploded.join(F.broadcast(often.select("gram", "gain")), "gram").groupBy("id", "mark").agg(product), "sums")
-    for part in range(SLICES):
-        exploded = sequences.mapInArrow(_exploded(order, hot, part), shape)
-        sums = folder.add(exploded.join(_of_slice(gains, part), "gram").groupBy("id", "mark").agg(product), "sums")
-
-    # Rows that repeat id and text are scored together, and part again at the end.
-    own = sequences.mapInArrow(_sizes, "id long, mark int, n_words long").groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
-    whole = sums.groupBy("id", "mark").agg(F.sum("sum").alias("sum"))
-    scored = own.join(whole, ["id", "mark"], "left").withColumn("log_score", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0)))
-    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    scored = scored.select(unpacked_id("id").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+    often = sequences.mapInArrow(_often(order), "o long, gram long, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
+    often = often.filter(F.col("n") > max(FLOOR, total // (2 * HOT))).toPandas()
+    gained = [np.zeros(0)] * order
+    hot = [np.sort(often.loc[often["o"] == o, "gram"].to_numpy(np.int64).view(np.uint64)) for o in range(1, order + 1)]
+
+    shorter = found = None
     for o in range(1, order + 1):
-        folder.drop(f"table-{o}")
-    return scored
+        for part in range(SLICES) if o > 1 else (None,):
+            own = hot[o - 1] if part is None else hot[o - 1][hot[o - 1] >> np.uint64(_LOW) == part]
+            exploded = sequences.mapInArrow(_exploded(order, o, own, part), _ROWS).repartition("gram")
+            counts = exploded.groupBy("gram").agg(F.sum("n").alias("n"), F.max("context").alias("context"), F.max("tail").alias("tail"), F.max(F.col("doc").isNull()).alias("hot"))
+            gains = _gains(counts.filter(F.col("n") >= least) if o > 1 else counts, shorter, found, total, o, order, backoff)
+            gain = _asked(F.col("gain"), "context", "tail", "n", "score", "hot", "often")
+            scored = exploded.join(gains.withColumnRenamed("n", "often").hint("shuffle_hash"), "gram").groupBy("doc").agg(F.sum(gain).alias("gain"))
+            # One write holds both, so that the n-grams are dealt once: rows of the table, and sums of documents.
+            table = (gains if o < order else gains.filter("hot")).withColumn("gain", F.when(F.col("hot"), F.col("gain")))
+            both = table.unionByName(scored.withColumnRenamed("doc", "gram"), allowMissingColumns=True)
+            made = folder.add(both, f"order-{o}")
+        table = made.filter(F.col("n").isNotNull())
+        heads = table.filter("hot").select("gram", "n", "score", "gain").toArrow()
+        hot[o - 1], gained[o - 1] = heads["gram"].to_numpy().view(np.uint64), heads["gain"].to_numpy()
+        mine = made.filter("n IS NULL AND gram IS NOT NULL").groupBy(F.col("gram").alias("doc")).agg(F.sum("gain").alias("sum"))
+        sums = folder.add(mine, "sums")
+        if shorter is not None:
+            folder.undeal(f"dealt-{o - 1}")
+        if o < order:
+            found = folder.spark.createDataFrame(heads.select(["gram", "n", "score"]).rename_columns(["key", "hot_times", "hot_less"]))
+            shorter = table.select(F.col("gram").alias("key"), F.col("n").alias("times"), F.col("score").alias("less"))
+            shorter = folder.deal(shorter, "key", f"dealt-{o}")
+        folder.drop(f"order-{o}")
+
+    sums = sums.unionByName(sequences.mapInArrow(_hot_sums(order, hot, gained), "doc long, sum double"))
+    whole = sums.groupBy("doc").agg(F.sum("sum").alias("sum"))
+    own = sequences.mapInArrow(_sizes, "doc long, id long, n_words long")
+    scored = own.join(whole, "doc", "left").withColumn("log_score", F.when(F.col("n_words") > 0, F.col("sum")).otherwise(F.lit(0.0)))
+    return scored.select(unpacked_id("id").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

@@ -190,6 +190,37 @@ def test_backoff_scores_of_nothing_and_of_repeats(spark):
     np.testing.assert_allclose(got, want)
 
 
+@pytest.mark.parametrize("floor", [0, 1 << 40])
+def test_backoff_scores_with_all_or_no_ngrams_by_broadcast(spark, monkeypatch, floor):
+    monkeypatch.setattr(lm, "FLOOR", floor)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 20, int(rng.integers(0, 60)))) for _ in range(50)] + [None, "", "w1 " * 300, "w1 " * 300]
+    got = lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    np.testing.assert_allclose(got["log_score"], brute_scores(texts, 3, 0.4, 2), rtol=1e-9, atol=1e-9)
+
+
+def test_backoff_scores_deal_each_ngram_once(spark):
+    """Rows that shuffles write: an n-gram is dealt for its count and its gain together, three rows a word, and one of the word's sum."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 3000, 300)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    df.count()
+
+    def written():
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        lm.score_documents(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = sum(n for stage, n in written().items() if stage not in before)
+    assert rows < 4.5 * 300 * 300
+
+
 PAGE = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{x}</style></head><body><!-- no --><p>Un <b>deux</b>&nbsp;trois</p><script>var t="</p>";</script><ul><li><a href="/x?a=1&amp;b=2">ici</a></li><li><a href=\'/y\'>là</a> <a href=/x?a=1&amp;b=2>again</a></ul></body></html>'
 
 
