@@ -344,3 +344,33 @@ def test_query_against_another_parser(spark):
         assert made["block"].split() == "".join(Shown(html).out).split()
         assert made["source_digest"] == got[r["url"], "metadata"]["source_digest"] == warc.digest(html.encode())
         assert made["refers_to"] == got[r["url"], "metadata"]["refers_to"] and made["block_digest"] == warc.digest(made["block"].encode())
+
+
+@pytest.mark.parametrize(("order", "least"), [(4, 2), (3, 3), (2, 1)])
+def test_backoff_scores_over_many_blocks(spark, order, least):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.5, int(rng.integers(0, 60))) % 50) for _ in range(90)] + [None, "\t a\x0bB  b\x0c\r\n", "ä Ä\x1fé x"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    got = lm.score_documents(df, order, least=least).toPandas().sort_values("doc_id")
+    words = [(t or "").encode().lower().split() for t in texts]
+    want = brute_scores([" ".join(x.hex() for x in w) for w in words], order, 0.4, least)
+    np.testing.assert_allclose(got["log_score"], want, rtol=1e-9, atol=1e-9)
+    assert got["n_words"].tolist() == [len(w) for w in words]
+
+
+def test_backoff_scores_deal_only_ngrams_that_can_be_in_the_table(spark):
+    """Of random words few pairs occur twice, so that hardly any n-gram of three words can: shuffles write about a row a word."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(w)}" for w in rng.integers(0, 3000, 300)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    df.count()
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def written():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    lm.score_documents(df).collect()
+    rows = sum(n for stage, n in written().items() if stage not in before)
+    assert 300 * 300 < rows < 1.6 * 300 * 300
