@@ -54,17 +54,28 @@ def forget(*checkpoints: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a task, where partitions would hold fewer.
+TASK_ROWS = 50_000
+
+
+def in_tasks(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in as few tasks as its number of rows, if it is known, asks for: each task costs the driver memory."""
+    return df if rows is None else df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
+
+
 #: Keys that are joined by broadcast at most, because each has more than its share of the rows.
 HOT_KEYS = 1_000
 
 
-def join_hot(rows: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, small: DataFrame, key: str, count: str, total: int, most: int | None = None) -> DataFrame:
     """rows joined with small on key, where `count` tells how many rows have the key, and `total` how many there are.
 
-    At most HOT_KEYS keys can have over total / HOT_KEYS rows each: those are
+    `most` is the largest count, if it is known: without hot keys nothing is looked up. At most HOT_KEYS keys can have over total / HOT_KEYS rows each: those are
     broadcast, so that their rows stay where they are.
     """
     least = max(1_000, total // HOT_KEYS + 1)
+    if most is not None and most < least:
+        return rows.join(small, key)
     hot = F.broadcast(small.filter(F.col(count) >= least))
     cold = small.filter(F.col(count) < least)
     if hot.isEmpty():

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, forget, join_hot
-
+from tessera.llm.common import checkpointed, forget, in_tasks, join_hot
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest reachable node.
@@ -17,23 +16,27 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     hub's neighbours are never gathered, and links stay distributed. Every round is checkpointed and the round before
     removed: lost executors cost one round. Self-links and links with a null end
     are ignored; repeated links count once; no links give an empty table.
+
+    Each node's least neighbour is checkpointed, too: it tells whether a round was
+    the last, and has the result then. From the first count on a stage has as many
+    tasks as its rows ask for: plans, exchanges and tasks cost the driver memory.
     """
     ends = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     edges = checkpointed(ends.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v"))).distinct())
-    while not _is_forest_of_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
-        large = join_hot(both, least, "u", "n", 2 * edges.count()).filter("v > u").select(F.col("m").alias("u"), "v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+    n = None  # ends of edges; not known before the first count, and never more than there
+    while True:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        near = checkpointed(in_tasks(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n))
+        # In a forest of stars a node with a smaller neighbour has no other one.
+        (seen,) = near.agg(F.max((F.col("m") < F.col("u")) & (F.col("n") > 1)).alias("deeper"), F.sum("n").alias("ends"), F.max("n").alias("most")).collect()
+        n = seen["ends"] or 0
+        least = in_tasks(near, n).withColumn("m", F.least("m", "u"))
+        if not seen["deeper"]:
+            forget(edges)
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        large = join_hot(in_tasks(both, n), least, "u", "n", n, seen["most"]).filter("v > u").select(F.col("m").alias("u"), "v")
+        large = in_tasks(in_tasks(large, n).distinct(), n)
+        low = in_tasks(large.groupBy("v").agg(F.min("u").alias("m")), n)
         moved = large.join(low, "v").filter("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        before, edges = edges, checkpointed(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
-        forget(before)
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
-        edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    )
-
-
-def _is_forest_of_stars(edges: DataFrame) -> bool:
-    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("below")))
-    seen = ends.groupBy("node").agg(F.min("below").alias("lo"), F.max("below").alias("hi"), F.sum("below").alias("n"))
-    return seen.filter("lo < hi or n > 1").isEmpty()
+        before, edges = edges, checkpointed(in_tasks(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct(), n))
+        forget(before, near)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, NO_ID, checkpointed, fixed_bytes, forget, join_hot, packed_id, roots, run_starts, unpacked_id, whole_groups
+from tessera.llm.common import ASCII_LOWER, NO_ID, checkpointed, fixed_bytes, forget, in_tasks, join_hot, packed_id, roots, run_starts, unpacked_id, whole_groups
 from tessera.llm.components import connected_components
 
 TREES, DEPTH, ROOT = 16, 8, 3
@@ -328,32 +328,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = checkpointed(own.join(need.select("id", "mark", "rep"), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("rep", "text"))
     fits = (F.col("rows") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
 
-    def by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("fits", fits)
-        both = members.join(sizes.select("comp", "fits"), "comp")
-        return both.filter("fits"), both.filter("not fits")
+    def by_size(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The members of groups that one task links, and those of larger groups, if there are any."""
+        crowded = checkpointed(members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter(~fits).select("comp"))
+        if crowded.isEmpty():
+            return members, None
+        return members.join(crowded, "comp", "left_anti"), members.join(crowded, "comp", "left_semi")
 
     small, large = by_size(need)
     links = _linked(small.select("comp", "rep").join(texts, "rep"), "comp", words, percent)
-    if not large.isEmpty():
+    if large is not None:
         finer = checkpointed(_parted(large, texts, words, percent).join(need.select("rep", "n"), "rep"))
         small, large = by_size(finer)
         links = links.unionByName(_linked(small.select("comp", "rep").join(texts, "rep"), "comp", words, percent))
-        if not large.isEmpty():
+        if large is not None:
             crowd = found.filter("node is not null").select(F.col("a").alias("rep"), "node")
             links = links.unionByName(_crowds(large.select("comp", "rep"), crowd, texts, words, percent, SIDE))
     # The vertices of one id are one component.
-    several = usable.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo < hi").select("id")
-    members = usable.join(several, "id", "left_semi").select("id", "same").distinct().join(vertex.select("same", "rep"), "same")
-    shared_id = members.join(members.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
-    final = checkpointed(connected_components(links.unionByName(shared_id)))
+    several = checkpointed(usable.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo < hi").select("id"))
+    if not several.isEmpty():
+        members = usable.join(several, "id", "left_semi").select("id", "same").distinct().join(vertex.select("same", "rep"), "same")
+        links = links.unionByName(members.join(members.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")))
+    final = connected_components(links)
     forget(found, texts, need)
 
     # A component's name is its smallest id; vertices of one row, linked with nothing, need none.
     vertices = vertex.select("rep", "same", "id", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null")
     vertices = vertices.withColumn("component", F.coalesce("component", "rep"))
-    names = vertices.join(vertices.groupBy("component").agg(F.min("id").alias("name")), "component").select("same", "copies", "name")
-    by_id = join_hot(usable.select("id", "same"), names, "same", "copies", signed.count()).groupBy("id").agg(F.min("name").alias("name"))
+    names = checkpointed(vertices.join(vertices.groupBy("component").agg(F.min("id").alias("name")), "component").select("same", "copies", "name"))
+    (seen,) = names.agg(F.count("*").alias("rows"), F.max("copies").alias("most")).collect()
+    total = signed.count()
+    named = join_hot(usable.select("id", "same"), in_tasks(names, seen["rows"]), "same", "copies", total, seen["most"])
+    by_id = in_tasks(named.groupBy("id").agg(F.min("name").alias("name")), total)
     rows = signed.select("id", "n").filter(F.col("id") != NO_ID).join(by_id, "id", "left").withColumn("name", F.coalesce("name", "id"))
     rows = rows.unionByName(signed.filter(F.col("id") == NO_ID).select("id", "n", F.lit(None).cast("long").alias("name")))
     return rows.select(

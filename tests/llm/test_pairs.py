@@ -123,6 +123,27 @@ def test_components_of_paths_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_take_as_many_tasks_as_their_rows_ask_for(spark):
+    # The driver's memory follows the number of tasks: with 64 partitions these rounds once had 11,227.
+    links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(1500)] + [(1699, 5000)]
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    sc, group = spark.sparkContext, "components-in-few-tasks"
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {100: 100, 5000: 100} | {200 + i: 100 for i in range(1500)}
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))
+    assert tasks < 4_000
+
+
 def vectors(rng, n, dim=16):
     x = rng.standard_normal((n, dim))
     for i in range(0, n // 2, 5):
